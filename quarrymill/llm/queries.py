@@ -28,9 +28,16 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.ftrl import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op9_bpe_tree": op9_bpe_tree,
+    "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
 
 ORACLE_SQL = {
