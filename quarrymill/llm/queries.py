@@ -14,6 +14,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.ecoc_lang import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,7 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_language_ecoc": op6_language_ecoc,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
