@@ -14,6 +14,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.ecoc_lang import language_id
 
@@ -42,6 +48,7 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash_join": op2_minhash_join,
     "op6_language_ecoc": op6_language_ecoc,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
