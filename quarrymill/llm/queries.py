@@ -26,6 +26,12 @@ def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.recompress import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_join": op2_minhash_join,
     "op6_language_ecoc": op6_language_ecoc,
+    "op8_recompression": op8_recompression,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
