@@ -26,6 +26,13 @@ def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.crf_html import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.recompress import substring_dedup
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_join": op2_minhash_join,
     "op6_language_ecoc": op6_language_ecoc,
+    "op7_html_crf": op7_html_crf,
     "op8_recompression": op8_recompression,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
