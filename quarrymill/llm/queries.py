@@ -20,6 +20,12 @@ def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.template_decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.ecoc_lang import language_id
 
@@ -39,12 +45,8 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from quarrymill.llm.bpe import encode_decode
-
-    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def token_digests(coded: DataFrame) -> DataFrame:
+    """Counts and digests of ids and decoded bytes."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -53,6 +55,14 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarrymill.llm.bpe import encode_decode
+
+    return token_digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.ftrl import toxicity
 
@@ -62,6 +72,7 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_join": op2_minhash_join,
+    "op3_template_decontam": op3_template_decontam,
     "op6_language_ecoc": op6_language_ecoc,
     "op7_html_crf": op7_html_crf,
     "op8_recompression": op8_recompression,
