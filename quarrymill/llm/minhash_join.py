@@ -6,10 +6,7 @@ of them in common; then the pair also meets in the prefix of each, its rarest to
 prefixes are joined (tokens that no other document has are skipped at once, and so is a document with fewer than
 ``matches`` others). A text that very many documents share makes frequent tokens, which stand last in that order.
 
-A posting list isn't expanded into all its pairs. First each list links its members to one pivot; pairs with enough
-common tokens are verified on their full shingle sets, and the verified links give components. A pair inside one
-component needs no test of its own. What is left are pairs between components within a list: for those, the members
-outside the list's largest component meet the others. If these are very many, further pivots come first.
+A posting list isn't expanded into all its pairs (see pairing.py).
 """
 
 from __future__ import annotations
@@ -23,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.pairing import linked_components, long_lists, similar
 from quarrymill.llm.words import WordHashes, sequences
-from quarrymill.operators.components import connected_components
 from quarrymill.session import Scratch
 
 
@@ -58,19 +55,13 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def _signatures(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), np.random.default_rng(11).integers(0, 2**63, s.coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
             sigs = [signature(x, factors) if len(x) else x for x in sets]
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), _lists(sigs)]
+            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), long_lists(sigs)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig"])
 
     return run
@@ -85,7 +76,7 @@ def _sets(s: Settings):
                 sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
                 own = [_set_key(x) == k for x, k in zip(sets, batch.column("set_key").to_pylist())]
                 sets = [x for x, o in zip(sets, own) if o]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(own, pa.bool_())), _lists(sets)], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(own, pa.bool_())), long_lists(sets)], ["rep", "shingles"])
 
     return run
 
@@ -125,49 +116,14 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -
     if not count:
         return None
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - (s.matches - 1))
-    postings = scratch.table(ranked.select("rep", "n", F.explode(prefix).alias("token")), "postings")
+    postings = scratch.table(ranked.select(F.col("rep").alias("node"), "n", F.explode(prefix).alias("token")), "postings")
     wanted = docs.join(classes.join(ranked.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
     sets = wanted.select(F.col("doc_id").alias("rep"), "set_key", "text").mapInArrow(_sets(s), "rep long, shingles array<long>")
-    sets = scratch.table(sets.dropDuplicates(["rep"]), "sets")
-
-    members, edges, tested, comp = postings.withColumn("comp", F.col("rep")), None, None, None
-    for k in range(s.pivot_rounds + 1):
-        last = k == s.pivot_rounds
-        if k:
-            members = postings.join(comp, "rep", "left").select("rep", "n", "token", F.coalesce("comp", "rep").alias("comp"))
-            parts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-            lists = parts.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            lists = scratch.table(lists.select("token", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open"), F.col("top.comp").alias("most")), f"lists_{k}")
-            left = lists.agg(F.sum("open")).first()[0] or 0
-            if not left:
-                break
-            last = last or left <= s.pairs_a_document * count
-            members = members.join(lists.select("token", "most"), "token")
-        right = members.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if last:
-            left = members.where("comp <> most").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        else:
-            # A list's pivot is its first member in an order that differs from round to round.
-            first = F.min(F.struct((F.xxhash64(F.col("rep"), F.lit(k)) if k else F.col("rep")).alias("order"), "rep", "n", "comp")).alias("p")
-            left = members.groupBy("token").agg(first).select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
-        met = left.join(right, "token").where("ca <> cb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent)
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs_{k}")
-        found = scratch.table(_verified(pairs, ranked, sets, s), f"edges_{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc_{k}").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        if last:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    return comp.select(F.col("rep").alias("node"), F.col("comp").alias("component"))
-
-
-def _verified(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) with enough common tokens whose full shingle sets are similar enough."""
+    sets = scratch.table(sets.dropDuplicates(["rep"]).withColumnRenamed("rep", "node"), "sets")
     ta, tb = (ranked.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    likely = pairs.join(ta, "a").join(tb, "b").where(F.size(F.array_intersect("ta", "tb")) >= s.matches).select("a", "b")
-    sa, sb = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = likely.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * s.percent).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(ta, "a").join(tb, "b").where(F.size(F.array_intersect("ta", "tb")) >= s.matches).select("a", "b")
+        return similar(likely, sets, s.percent)
+
+    return linked_components(postings, verify, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds)
