@@ -26,6 +26,13 @@ def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.fuzzy_lines import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.ecoc_lang import language_id
 
@@ -73,6 +80,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_join": op2_minhash_join,
     "op3_template_decontam": op3_template_decontam,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op6_language_ecoc": op6_language_ecoc,
     "op7_html_crf": op7_html_crf,
     "op8_recompression": op8_recompression,
