@@ -169,6 +169,20 @@ def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
+_kept: dict[tuple[str, str], tuple[Encoder, list[bytes]]] = {}
+
+
+def _worker(name: str, ranks: dict[bytes, int], pattern: str) -> tuple[Encoder, list[bytes]]:
+    """A Python worker's encoder and the tokens by id; tasks that run in one worker share what it has learned."""
+    if (name, pattern) not in _kept:
+        _kept.clear()
+        tokens = [b""] * (max(ranks.values(), default=0) + 1)
+        for t, r in ranks.items():
+            tokens[r] = t
+        _kept[name, pattern] = Encoder(ranks, pattern), tokens
+    return _kept[name, pattern]
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: key, columns named in keep, ids array<int>, decoded binary.
 
@@ -183,11 +197,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
     schema = T.StructType([*(rows.schema[c] for c in (key, *keep)), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pattern = shared.value
-        encoder = Encoder(ranks, pattern)
-        tokens = [b""] * (max(ranks.values(), default=0) + 1)
-        for t, r in ranks.items():
-            tokens[r] = t
+        encoder, tokens = _worker(ranks_path, *shared.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.session import table
+from quarrymill.session import Scratch, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,23 @@ def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record of ``pages``: where it lies, its digest, and whether the second replica still has it.
+
+    The second replica is the written archive read back, with one byte changed in each record whose page_id leaves 13
+    when divided by 97, as a disk might. The audit has to find exactly these.
+    """
+    from quarrymill.llm.merkle import archive, fixity_audit, leaves
+
+    scratch = Scratch(spark)
+    ours = scratch.table(archive(table(spark, sf_dir, "pages")), "archive")
+    damaged = F.when(F.col("record_id") % 97 == 13, F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit("#"), F.expr("substring(record, length(record) - 3)"))).otherwise(F.col("record"))
+    theirs = ours.withColumn("record", damaged)
+    bad = fixity_audit(ours, theirs, scratch).select("file", "place", F.lit(True).alias("bad"))
+    found = leaves(ours).join(bad, ["file", "place"], "left")
+    return found.select(F.col("record_id").alias("page_id"), "file", "offset", "length", "digest", F.coalesce("bad", F.lit(False)).alias("corrupt"))
+
+
 def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.ecoc_lang import language_id
 
@@ -81,6 +98,7 @@ QUERIES = {
     "op2_minhash_join": op2_minhash_join,
     "op3_template_decontam": op3_template_decontam,
     "op4_fuzzy_lines": op4_fuzzy_lines,
+    "op5_merkle_fixity": op5_merkle_fixity,
     "op6_language_ecoc": op6_language_ecoc,
     "op7_html_crf": op7_html_crf,
     "op8_recompression": op8_recompression,
