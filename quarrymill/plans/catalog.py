@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarrymill.plans import lineage
+
+QUERIES: dict = dict(lineage.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(lineage.ORACLE_SQL)
