@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import sample_order, unit_hash
+from quarrymill.session import Scratch
 
 
 def fixed_rows(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -80,7 +81,9 @@ def nearest_prefix(rows: DataFrame, order: Sequence[Column], cost: str, target:
     few, then sums within chunks.
     """
     ordered = rows.select(F.struct(*order).alias("o"), F.col(cost).cast("double").alias("c"))
+    # Written first: range bounds are sampled, and come out differently when a plan is run twice.
     chunked = ordered.repartitionByRange(ordered.sparkSession.sparkContext.defaultParallelism, "o").withColumn("p", F.spark_partition_id())
+    chunked = Scratch(rows.sparkSession).table(chunked, "ranges")
     totals = chunked.groupBy("p").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c").isNull()).alias("gaps"))
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("p", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("gaps").over(before), F.lit(0)).alias("g0"))

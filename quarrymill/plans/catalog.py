@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import lineage
+from quarrymill.plans import lineage, studies
 
-QUERIES: dict = dict(lineage.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(lineage.ORACLE_SQL)
+QUERIES: dict = lineage.QUERIES | studies.QUERIES
+ORACLE_SQL: dict[str, str] = lineage.ORACLE_SQL | studies.ORACLE_SQL
