@@ -42,7 +42,7 @@ class Settings:
     #: Contaminated from this share of an item's windows on.
     share: float = 0.5
     #: Share of an alignment's values that may stand for several.
-    conflicts: float = 0.2
+    conflicts: float = 0.1
     #: Up to so many item windows are sent to every task (8 bytes each).
     broadcast_windows: int = 2_000_000
 
