@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.pairing import linked_components, long_lists, similar
+from quarrymill.llm.pairing import linked_components, long_lists
 from quarrymill.llm.words import M2, mix
 from quarrymill.session import Scratch
 
@@ -127,7 +127,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings(), scratch: Sc
         sets = scratch.table(sets, "sets")
         postings = postings.join(sets.select("node", F.size("shingles").alias("n")), "node")
         postings = scratch.table(postings, "postings")
-        comp = linked_components(postings, lambda pairs: similar(pairs, sets, s.percent), s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
+        comp = linked_components(postings, sets, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
         root = root.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("node"))
     places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
     return places.where(F.struct("doc_id", "at") != F.col("node")).select("doc_id", "at")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.pairing import linked_components, long_lists, similar
+from quarrymill.llm.pairing import linked_components, long_lists
 from quarrymill.llm.words import WordHashes, sequences
 from quarrymill.session import Scratch
 
@@ -122,8 +122,7 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -
     sets = scratch.table(sets.dropDuplicates(["rep"]).withColumnRenamed("rep", "node"), "sets")
     ta, tb = (ranked.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(ta, "a").join(tb, "b").where(F.size(F.array_intersect("ta", "tb")) >= s.matches).select("a", "b")
-        return similar(likely, sets, s.percent)
+    def likely(pairs: DataFrame) -> DataFrame:
+        return pairs.join(ta, "a").join(tb, "b").where(F.size(F.array_intersect("ta", "tb")) >= s.matches).select("a", "b")
 
-    return linked_components(postings, verify, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds)
+    return linked_components(postings, sets, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds, likely)

@@ -1,68 +1,104 @@
-"""Components of documents (or lines) that meet in posting lists and pass an exact test, without all pairs of a list.
+"""Components of documents (or lines) that meet in posting lists and whose sets are similar, without all pairs of a list.
 
-First each list links its members to one pivot, and what passes the test gives components. A pair inside one component
-needs no test of its own. What is left are pairs between components within a list: for those, the members outside the
-list's largest component meet the others. If these are very many, further pivots come first.
+First each list tests its members against one pivot, and the links found give components. A pair inside one component
+needs no test of its own. What is left are pairs between components within a list. While these are very many, and
+fewer with each round, other pivots are tried; then the members outside a list's largest component meet the others, where the sizes allow a link:
+with c(x) shingles shared with the pivot, u(x) that no other open member has, and e(x) = n(x) - c(x) - u(x) others, two
+members share at most min(c(x), c(y)) + min(e(x), e(y)). Near copies of one text that differ too much from it, each in
+its own way, have nearly all of their differences in u, and so don't meet at all. The bound is exact: it drops no link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators.components import connected_components
 from quarrymill.session import Scratch
 
 
-def linked_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, few: int, scratch: Scratch, pivot_rounds: int = 4) -> DataFrame:
+#: Width of the size classes by which members are matched.
+STEP = 1.02
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+
+
+def linked_components(postings: DataFrame, sets: DataFrame, percent: int, few: int, scratch: Scratch, pivot_rounds: int = 4, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the nodes that have links.
 
-    postings: token, node, n (the size of the node's set). verify: the pairs (a, b) of those given that are linked; a
-    link needs sizes that differ by no more than ``percent`` allows. Up to ``few`` open pairs are listed at once.
+    postings: token, node, n (the size of the node's set). sets: node, shingles (distinct). Linked are nodes that meet
+    in a list if 100 * |intersection| >= percent * |union|. Up to ``few`` open pairs are looked at at once. ``likely``
+    may drop pairs (a, b) before their sets are read, if it knows that they can't be linked.
     """
-    members, edges, tested, comp = postings.withColumn("comp", F.col("node")), None, None, None
-    for k in range(pivot_rounds + 1):
-        last = k == pivot_rounds
-        if k:
-            members = postings.join(comp, "node", "left").select("node", "n", "token", F.coalesce("comp", "node").alias("comp"))
-            parts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-            lists = parts.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            lists = scratch.table(lists.select("token", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open"), F.col("top.comp").alias("most")), f"lists_{k}")
-            left = lists.agg(F.sum("open")).first()[0] or 0
-            if not left:
-                break
-            last = last or left <= few
-            members = members.join(lists.select("token", "most"), "token")
-        right = members.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if last:
-            left = members.where("comp <> most").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        else:
-            # A list's pivot is its first member in an order that differs from round to round.
-            first = F.min(F.struct((F.xxhash64(F.col("node"), F.lit(k)) if k else F.col("node")).alias("order"), "node", "n", "comp")).alias("p")
-            left = members.groupBy("token").agg(first).select("token", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
-        met = left.join(right, "token").where("ca <> cb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs_{k}")
-        found = scratch.table(verify(pairs), f"links_{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc_{k}").select("node", F.col("component").alias("comp"))
-        if last:
+    p = percent / 100
+    enough = lambda both, a, b: both * 100 >= (a + b - both) * percent
+    members, tested, comp, left = postings.withColumn("comp", F.col("node")), None, None, math.inf
+    for k in range(pivot_rounds):
+        # A list's pivot is its first member in an order that differs from round to round.
+        order = (F.xxhash64(F.col("node"), F.lit(k)) if k else F.col("node")).alias("order")
+        pivots = scratch.table(members.groupBy("token").agg(F.min(F.struct(order, "node")).alias("p")).select("token", F.col("p.node").alias("pivot")), f"pivots_{k}")
+        stars = members.select("token", "node").join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        stars = stars if tested is None else stars.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = scratch.table(shared(stars, sets), f"tested_{k}")
+        tested = found if tested is None else tested.unionByName(found)
+        edges = tested.where(enough(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        comp = connected_components(edges, scratch, f"cc_{k}").select("node", F.col("component").alias("comp"))
+        members = postings.join(comp, "node", "left").select("node", "n", "token", F.coalesce("comp", "node").alias("comp"))
+        parts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        lists = parts.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        lists = scratch.table(lists.select("token", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open"), F.col("top.comp").alias("most")), f"lists_{k}")
+        members = members.join(lists.select("token", "most"), "token")
+        before, left = left, lists.agg(F.sum("open")).first()[0] or 0
+        # Pivots that close less than half of what was open aren't what is missing.
+        if left <= few or left > before / 2:
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    return comp.select("node", F.col("comp").alias("component"))
+    if not left:
+        return comp.select("node", F.col("comp").alias("component"))
+
+    # Lists with one pivot are looked at as one, so that members of many common lists meet once. What a member shares
+    # with the pivot is known, and what it shares with no one.
+    groups = members.join(pivots, "token").select("pivot", "node", "n", "comp").distinct()
+    most = groups.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "comp")).alias("top")).select("pivot", F.col("top.comp").alias("most"))
+    known = groups.join(most, "pivot").join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "common"), ["pivot", "node"], "left")
+    own = F.col("node") == F.col("pivot")
+    known = known.select("pivot", "node", "n", "comp", "most", F.when(own, F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("c"), (F.col("common").isNotNull() | own).alias("is_known"))
+    open_nodes = members.select("node").distinct()
+    each = sets.join(open_nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    lone = each.groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    known = known.join(lone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    # Without a test against the pivot, anything that isn't the member's own may be shared.
+    known = known.select("pivot", "node", "n", "comp", "most", F.when(F.col("is_known"), F.col("c")).otherwise(F.col("n") - F.col("u")).alias("c"), F.when(F.col("is_known"), F.col("n") - F.col("c") - F.col("u")).otherwise(F.col("n") - F.col("u")).alias("e"), (F.col("n") - F.col("u")).alias("most_shared"))
+    known = scratch.table(known, "open_members")
+    # x can be linked to sizes from p * n up to most_shared * (1 + p) / p - n.
+    low, high = F.col("n") * p, F.least(F.col("n") / p, F.col("most_shared") * ((1 + p) / p) - F.col("n"))
+    x = known.where("comp <> most").where(low <= high + 1e-6)
+    x = x.select("pivot", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("c").alias("px"), F.col("e").alias("ex"), F.explode(F.sequence(_size_class(F.greatest(low, F.lit(1.0))) - 1, _size_class(F.greatest(high, F.lit(1.0))) + 1)).alias("size"))
+    y = known.select("pivot", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("c").alias("py"), F.col("e").alias("ey"), _size_class(F.col("n")).alias("size"))
+    bound = F.least("px", "py") + F.least("ex", "ey")
+    met = x.join(y, (x["pivot"] == y["pivot"]) & (x["size"] == y["size"]) & (F.col("cx") != F.col("cy")) & enough(bound, F.col("nx"), F.col("ny")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = scratch.table(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open_pairs")
+    rest = shared(likely(pairs) if likely else pairs, sets).where(enough(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # Components of what was found, contracted to the components so far.
+    own = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    rest = rest.join(own("src"), "src", "left").join(own("dst"), "dst", "left").select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst"))
+    over = connected_components(rest, scratch, "cc_open")
+    named = comp.join(over.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
+    fresh = over.join(comp, "node", "left_anti")
+    return named.unionByName(fresh.select("node", "component")).dropDuplicates(["node"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (node, shingles) are similar enough."""
+def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets and of the intersection: a, b, na, nb, common."""
     sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
 def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
