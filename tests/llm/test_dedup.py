@@ -129,7 +129,7 @@ def test_substrings_of_few_words(spark):
 
 def test_substrings_odd(odd, empty):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup(odd).collect())
-    n = 25
+    n = 26
     assert got == [(0, 0, 0), (0, n, 0), (1, n, 0), (1, n, 0), (2, n, n), (3, 0, 0)]
     assert substring_dedup(empty).count() == 0
 
