@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import lineage, studies
+from quarrymill.plans import lineage, reports, studies
 
-QUERIES: dict = lineage.QUERIES | studies.QUERIES
-ORACLE_SQL: dict[str, str] = lineage.ORACLE_SQL | studies.ORACLE_SQL
+QUERIES: dict = lineage.QUERIES | studies.QUERIES | reports.QUERIES
+ORACLE_SQL: dict[str, str] = lineage.ORACLE_SQL | studies.ORACLE_SQL | reports.ORACLE_SQL
