@@ -317,7 +317,7 @@ def fit(pages: DataFrame, sample_pages: int = 300, made_pages: int = 500) -> Mod
     """A model from ``made_pages`` pages of the grammar and at most ``sample_pages`` pages of the corpus, chosen by a hash of page_id."""
     order = F.xxhash64("page_id", F.lit("fit"))
     ids = pages.select("page_id").where("page_id is not null").orderBy(order, "page_id").limit(sample_pages)
-    picked = pages.join(F.broadcast(ids.distinct()), "page_id").select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, 200_000).alias("html"))
+    picked = pages.join(F.broadcast(ids.distinct()), "page_id").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     found = []
     for row in picked.orderBy("page_id", "html").limit(sample_pages).toLocalIterator():
         blocks = leaf_blocks(row["html"])
