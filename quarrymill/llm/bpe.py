@@ -37,9 +37,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes pieces and texts with given ranks. Keeps at most ``cache`` results of each kind."""
+    """Encodes pieces and texts with given ranks. Keeps at most ``cache`` results of each kind, some 100 MB in all."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 8, cache: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 8, cache: int = 120_000):
         self.ranks, self.leaf, self.cache = ranks, leaf, cache
         self.pattern = regex.compile(pattern)
         self.settled_pairs: dict[tuple[bytes, bytes], bool] = {}
@@ -63,8 +63,8 @@ class Encoder:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        if len(data) <= 16:
-            if len(self.merged) >= self.cache:
+        if len(data) <= 8:
+            if len(self.merged) >= self.cache // 2:
                 self.merged.clear()
             self.merged[data] = parts
         return parts
@@ -95,7 +95,7 @@ class Encoder:
         key = (x, y)
         found = self.settled_pairs.get(key)
         if found is None:
-            if len(self.settled_pairs) >= self.cache:
+            if len(self.settled_pairs) >= self.cache // 2:
                 self.settled_pairs.clear()
             found = self.settled_pairs[key] = self.merge(x + y) == [x, y]
         return found

@@ -14,7 +14,7 @@ M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.ui
 class WordHashes(dict):
     """64-bit hash of each word (bytes), kept while there are at most ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
