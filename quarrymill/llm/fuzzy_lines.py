@@ -38,16 +38,30 @@ class Settings:
     pairs_a_line: int = 4
 
 
+_kept_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse modulo 2**64, kept for the next call."""
+    if not _kept_powers or len(_kept_powers[0]) < n:
+        _kept_powers.clear()
+        for base in (int(M2), pow(int(M2), -1, 1 << 64)):
+            p = np.full(2 * n, base, np.uint64)
+            p[0] = 1
+            _kept_powers.append(np.cumprod(p))
+    return _kept_powers[0][:n], _kept_powers[1][:n]
+
+
 def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every shingle of every line, and where each line's begin. A shorter line is one shingle."""
     lengths = np.array([len(x) for x in lines], np.int64)
     # Lines are padded to a shingle's length at least, and each is followed by what no shingle crosses.
     padded = np.maximum(lengths, size)
     codes = np.frombuffer("".join(x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(max(0, len(codes) - size + 1), np.uint64)
-    for i in range(size):
-        h *= M2
-        h += codes[i : len(codes) - size + 1 + i]
+    up, down = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up, out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * down[: len(sums) - size]
     counts = padded - size + 1
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     begin = np.concatenate([[0], np.cumsum(padded)[:-1]])
@@ -60,14 +74,13 @@ def _bands(s: Settings):
     k = s.bands * s.rows
     rng = np.random.default_rng(17)
     factors = rng.integers(0, 2**31, k, np.uint32) * np.uint32(2) + np.uint32(1)
-    shifts = rng.integers(0, 2**32, k, np.uint32)
 
     def of(lines: list[str]) -> np.ndarray:
         h, starts = shingle_hashes(lines, s.shingle)
         h = (h >> np.uint64(32)).astype(np.uint32)
         out = np.zeros((len(lines), s.bands), np.uint64)
         for j in range(k):
-            least = np.minimum.reduceat(mix32(h * factors[j] + shifts[j]), starts)
+            least = np.minimum.reduceat(h * factors[j], starts)
             out[:, j // s.rows] = mix(out[:, j // s.rows] * M2 + least + np.uint64(j // s.rows))
         return out
 
@@ -82,18 +95,42 @@ def _bands(s: Settings):
     return run
 
 
-def mix32(h: np.ndarray) -> np.ndarray:
-    return h ^ (h >> np.uint32(15))
+def _shingles(lines: list[str], size: int) -> list[np.ndarray]:
+    """The set of each line, sorted."""
+    h, starts = shingle_hashes(lines, size)
+    return [np.unique(x) for x in np.split(h, starts[1:])] if lines else []
+
+
+def _sizes(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                n = [len(x) for x in _shingles(batch.column("line").to_pylist(), s.shingle)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "line")), pa.array(n, pa.int32())], ["doc_id", "at", "line", "n"])
+
+    return run
+
+
+def _elements(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), long_lists(_shingles(batch.column("line").to_pylist(), s.shingle))], ["doc_id", "at", "shingles"])
+
+    return run
 
 
-def _sets(s: Settings):
+def _compared(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                lines = batch.column("line").to_pylist()
-                h, starts = shingle_hashes(lines, s.shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), long_lists([np.unique(x) for x in np.split(h, starts[1:])])], ["doc_id", "at", "shingles"])
+                a, b = (_shingles(batch.column(c).to_pylist(), s.shingle) for c in ("la", "lb"))
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+                sizes = [pa.array(x, pa.int32()) for x in ([len(x) for x in a], [len(x) for x in b], common)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *sizes], ["a_id", "a_at", "b_id", "b_at", "na", "nb", "common"])
 
     return run
 
@@ -123,11 +160,22 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings(), scratch: Sc
     root = classes.select("k1", "k2", "node")
     if not nodes.isEmpty():
         wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-        sets = wanted.mapInArrow(_sets(s), "doc_id long, at int, shingles array<long>").select(F.struct("doc_id", "at").alias("node"), "shingles")
-        sets = scratch.table(sets, "sets")
-        postings = postings.join(sets.select("node", F.size("shingles").alias("n")), "node")
-        postings = scratch.table(postings, "postings")
-        comp = linked_components(postings, sets, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
+        texts = scratch.table(wanted.mapInArrow(_sizes(s), "doc_id long, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
+        postings = scratch.table(postings.join(texts.select("node", "n"), "node"), "postings")
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            # Lines are some ten times shorter than their shingle sets, so the sets are made where two lines meet.
+            ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+            both = pairs.join(tb, "b").join(ta, "a").select(F.col("a.doc_id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.doc_id").alias("b_id"), F.col("b.at").alias("b_at"), "la", "lb")
+            done = both.mapInArrow(_compared(s), "a_id long, a_at int, b_id long, b_at int, na int, nb int, common int")
+            node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_at").alias("at")).alias(x)
+            return done.select(node("a"), node("b"), "na", "nb", "common")
+
+        def elements(nodes: DataFrame) -> DataFrame:
+            lines = texts.join(nodes, "node", "left_semi").select("node.doc_id", "node.at", "line")
+            return lines.mapInArrow(_elements(s), "doc_id long, at int, shingles array<long>").select(F.struct("doc_id", "at").alias("node"), F.explode("shingles").alias("s"))
+
+        comp = linked_components(postings, compare, elements, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
         root = root.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("node"))
     places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
     return places.where(F.struct("doc_id", "at") != F.col("node")).select("doc_id", "at")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.pairing import linked_components, long_lists
+from quarrymill.llm.pairing import linked_components, long_lists, shared
 from quarrymill.llm.words import WordHashes, sequences
 from quarrymill.session import Scratch
 
@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), scratch: S
 def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -> DataFrame | None:
     """(node, component) of class representatives that have links; None if no pair needs a test."""
     tokens = classes.select("rep", "n", F.posexplode("sig").alias("c", "v")).select("rep", "n", F.xxhash64("v", "c").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(shared, "token").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = tokens.join(several, "token").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     ranked = ranked.where(F.size("ranked") >= s.matches)
     ranked = scratch.table(ranked.select("rep", "n", F.transform("ranked", lambda x: x["token"]).alias("tokens")), "ranked")
     count = ranked.count()
@@ -125,4 +125,7 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -
     def likely(pairs: DataFrame) -> DataFrame:
         return pairs.join(ta, "a").join(tb, "b").where(F.size(F.array_intersect("ta", "tb")) >= s.matches).select("a", "b")
 
-    return linked_components(postings, sets, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds, likely)
+    def elements(nodes: DataFrame) -> DataFrame:
+        return sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+
+    return linked_components(postings, lambda pairs: shared(pairs, sets), elements, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds, likely)

@@ -30,12 +30,22 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
 
 
-def linked_components(postings: DataFrame, sets: DataFrame, percent: int, few: int, scratch: Scratch, pivot_rounds: int = 4, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_components(
+    postings: DataFrame,
+    compare: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    percent: int,
+    few: int,
+    scratch: Scratch,
+    pivot_rounds: int = 4,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, component) of the nodes that have links.
 
-    postings: token, node, n (the size of the node's set). sets: node, shingles (distinct). Linked are nodes that meet
-    in a list if 100 * |intersection| >= percent * |union|. Up to ``few`` open pairs are looked at at once. ``likely``
-    may drop pairs (a, b) before their sets are read, if it knows that they can't be linked.
+    postings: token, node, n (the size of the node's set). compare: from pairs (a, b) to a, b, na, nb, common, the sizes
+    of their sets and of the intersection. elements: from nodes (node) to node, s, the entries of their sets. Linked are
+    nodes that meet in a list if 100 * |intersection| >= percent * |union|. Up to ``few`` open pairs are looked at at
+    once. ``likely`` may drop pairs (a, b) before they are compared, if it knows that they can't be linked.
     """
     p = percent / 100
     enough = lambda both, a, b: both * 100 >= (a + b - both) * percent
@@ -46,7 +56,7 @@ def linked_components(postings: DataFrame, sets: DataFrame, percent: int, few: i
         pivots = scratch.table(members.groupBy("token").agg(F.min(F.struct(order, "node")).alias("p")).select("token", F.col("p.node").alias("pivot")), f"pivots_{k}")
         stars = members.select("token", "node").join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         stars = stars if tested is None else stars.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = scratch.table(shared(stars, sets), f"tested_{k}")
+        found = scratch.table(compare(stars), f"tested_{k}")
         tested = found if tested is None else tested.unionByName(found)
         edges = tested.where(enough(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         comp = connected_components(edges, scratch, f"cc_{k}").select("node", F.col("component").alias("comp"))
@@ -70,8 +80,7 @@ def linked_components(postings: DataFrame, sets: DataFrame, percent: int, few: i
     own = F.col("node") == F.col("pivot")
     known = known.select("pivot", "node", "n", "comp", "most", F.when(own, F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("c"), (F.col("common").isNotNull() | own).alias("is_known"))
     open_nodes = members.select("node").distinct()
-    each = sets.join(open_nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    lone = each.groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    lone = elements(open_nodes).groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     known = known.join(lone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # Without a test against the pivot, anything that isn't the member's own may be shared.
     known = known.select("pivot", "node", "n", "comp", "most", F.when(F.col("is_known"), F.col("c")).otherwise(F.col("n") - F.col("u")).alias("c"), F.when(F.col("is_known"), F.col("n") - F.col("c") - F.col("u")).otherwise(F.col("n") - F.col("u")).alias("e"), (F.col("n") - F.col("u")).alias("most_shared"))
@@ -85,7 +94,7 @@ def linked_components(postings: DataFrame, sets: DataFrame, percent: int, few: i
     met = x.join(y, (x["pivot"] == y["pivot"]) & (x["size"] == y["size"]) & (F.col("cx") != F.col("cy")) & enough(bound, F.col("nx"), F.col("ny")))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = scratch.table(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open_pairs")
-    rest = shared(likely(pairs) if likely else pairs, sets).where(enough(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    rest = compare(likely(pairs) if likely else pairs).where(enough(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # Components of what was found, contracted to the components so far.
     own = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     rest = rest.join(own("src"), "src", "left").join(own("dst"), "dst", "left").select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst"))
