@@ -58,11 +58,13 @@ def _set_key(shingles: np.ndarray) -> bytes:
 def _signatures(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), np.random.default_rng(11).integers(0, 2**63, s.coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
-            sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
-            sigs = [signature(x, factors) if len(x) else x for x in sets]
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), long_lists(sigs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
+                sigs = [signature(x, factors) if len(x) else x for x in sets]
+                columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), long_lists(sigs)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig"])
 
     return run
 
@@ -71,8 +73,8 @@ def _sets(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
                 own = [_set_key(x) == k for x, k in zip(sets, batch.column("set_key").to_pylist())]
                 sets = [x for x, o in zip(sets, own) if o]
