@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import OrderedDict
 
@@ -165,3 +166,22 @@ def test_lines_odd(odd, empty):
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in dedup_lines(odd).collect())
     assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 1), (3, 0)]
     assert dedup_lines(empty).count() == 0
+
+
+def test_lines_of_ordinary_length(spark):
+    """One-letter, one-number and one-word variants in mid-line, with the settings of production."""
+    rng, data, pairs = random.Random(21), [], []
+    for length in range(30, 111, 2):
+        for kind in ("letter", "number", "word"):
+            half = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(length)) for _ in "ab"]
+            spaced = ["".join(" " if k % 6 == 5 else c for k, c in enumerate(x))[: length // 2 - 2].strip() for x in half]
+            old, new = {"letter": ("mole", "mule"), "number": ("1994", "1934"), "word": ("moor", "hill")}[kind]
+            pairs.append(tuple(f"{spaced[0]} {x} {spaced[1]}" for x in (old, new)))
+    for i, (a, b) in enumerate(pairs):
+        data += [(2 * i, a), (2 * i + 1, b)]
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: gone for i, (_, _, gone) in brute_lines(data, 5).items()}
+    linked = [len(a) for i, (a, b) in enumerate(pairs) if got[2 * i + 1]]
+    assert all(got[2 * i + 1] for i, (a, _) in enumerate(pairs) if i % 3 < 2 and len(a) >= 49) and len(linked) >= 60
+    # A shingle of 12 characters keeps all of them apart.
+    assert not any(gone for _, _, gone in brute_lines(data, 12).values())
