@@ -6,6 +6,9 @@ or names. Then slots are checked: within one alignment of a document and an item
 stand for one value of the document. A document is contaminated by an item if consistent windows make up at least a
 given share of the item's windows.
 
+Adjacent names are one placeholder, as a name may have any number of words. Since a name is told by its capital letter,
+a copy in another letter case has no names; so each window with names is also looked for by its words in lower case.
+
 The windows of all documents aren't shuffled: the item windows' hashes, if they are few enough, go to every task, and
 only windows that have one of them are joined. With a larger benchmark all windows are.
 """
@@ -13,7 +16,7 @@ only windows that have one of them are joined. With a larger benchmark all windo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.words import WordHashes, mix, sequences
+from quarrymill.llm.words import M3, WordHashes, mix, sequences
 from quarrymill.session import Scratch
 
 #: Units of measure that count as a unit after a number. Fixed values.
@@ -77,14 +80,45 @@ class _Tokens(dict):
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D0000000001, 0x6E616D0000000003, 0x756E690000000005))
 
 
-def windows(text: str | None, tokens: _Tokens, s: Settings) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The hash of each window of a text's template; which tokens are slots; and the tokens."""
+@dataclass
+class Windows:
+    """Windows of a text: hash, place among template tokens and among words, the template hash of the window that each stands for."""
+
+    hash: np.ndarray
+    at: np.ndarray
+    word: np.ndarray
+    window: np.ndarray
+
+
+def _hashes(template: np.ndarray, h: np.ndarray, slot: np.ndarray, n: int, s: Settings, salt: np.uint64, begin: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the windows of n tokens that begin at ``begin`` (all, if it is None)."""
+    plain = np.convolve(~slot, np.ones(n, np.int64), "valid")
+    at = np.arange(len(plain)) if begin is None else begin
+
+    def of(column: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            out = mix(out * M3 + column[at + k])
+        return out
+
+    out = sequences(template, n) if begin is None else of(template, at)
+    few = np.flatnonzero(plain[at] < min(s.plain, n))
+    out[few] = mix(of(h, at[few]) ^ salt)
+    return out
+
+
+def windows(text: str | None, tokens: _Tokens, s: Settings, item: bool = False) -> tuple[Windows | None, Callable[[int], list[str]]]:
+    """The windows of a text, and what gives the slots of one of them by its index.
+
+    A window without names is there once. One with names is there with placeholders for them, and with their words
+    in lower case: in items for each template window, in documents from each word on.
+    """
     if len(tokens) > tokens.most:
         tokens.reset()
     words = (text or "").split()
     ids = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
     if not len(ids):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), []
+        return None, lambda i: []
     # Properties of the distinct tokens of this text, spread back to its tokens.
     some, back = np.unique(ids, return_inverse=True)
     take = lambda column, kind: np.array([column[i] for i in some], kind)[back]
@@ -94,20 +128,45 @@ def windows(text: str | None, tokens: _Tokens, s: Settings) -> tuple[np.ndarray,
     number = kind == _Tokens.NUMBER
     unit = (kind == _Tokens.UNIT) & after_number
     name = title & ~starts & ~number & ~unit
-    slot = number | unit | name
-    template = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
     real = np.flatnonzero(kind != _Tokens.NOTHING)
-    h, template, slot = h[real], template[real], slot[real]
+    if not len(real):
+        return None, lambda i: []
+    h, number, unit, name = h[real], number[real], unit[real], name[real]
+    literal = np.where(number, NUM, np.where(unit, UNIT, h))
     n = min(s.window, len(real))
-    if not n:
-        return np.zeros(0, np.uint64), slot, []
-    plain = np.convolve(~slot, np.ones(n, np.int64), "valid")
-    out = np.where(plain >= min(s.plain, n), sequences(template, n), mix(sequences(h, n) ^ NUM))
-    return out, slot, [words[i] for i in real]
-
-
-def _slots(words: list[str], slot: np.ndarray, at: int, n: int) -> list[str]:
-    return [words[i].strip(EDGE) for i in range(at, min(at + n, len(words))) if slot[i]]
+    by_word = _hashes(literal, h, number | unit, n, s, NUM)
+    if not name.any():
+        at = np.arange(len(by_word))
+        valued = number | unit
+        return Windows(by_word, at, at, by_word), lambda i: [words[real[k]].strip(EDGE) for k in range(i, i + n) if valued[k]]
+    # The first word of each template token, and the token of each word. A text of too few tokens keeps its runs.
+    first = np.flatnonzero(~(name & np.concatenate([[False], name[:-1]])))
+    if len(first) < n:
+        first = np.arange(len(real))
+    token = np.searchsorted(first, np.arange(len(real)), "right") - 1
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(np.diff(np.append(first, len(real))).max()), M3)]))
+    joined = np.add.reduceat(h * powers[np.arange(len(real)) - first[token]], first)
+    names, slot = name[first], (number | unit | name)[first]
+    has = np.convolve(names, np.ones(n, np.int64), "valid") > 0
+    at = np.arange(len(has))
+    template = by_word[first[at]]
+    template[has] = _hashes(np.where(names, NAME, literal[first]), joined, slot, n, s, NAME, np.flatnonzero(has))
+    again = first[np.flatnonzero(has)] if item else np.flatnonzero(np.convolve(name, np.ones(n, np.int64), "valid") > 0)
+    meant = template[token[again]] if item else by_word[again]
+    out = Windows(np.concatenate([template, by_word[again]]), np.concatenate([at, token[again]]), np.concatenate([first[at], again]), np.concatenate([template, meant]))
+    stop = np.append(first, len(real))
+
+    def slots(i: int) -> list[str]:
+        bare = lambda k: words[real[k]].strip(EDGE)
+        if i >= len(at):
+            return [bare(k) for k in range(out.word[i], out.word[i] + n) if number[k] or unit[k]]
+        return [" ".join(map(bare, range(stop[k], stop[k + 1]))) for k in range(out.at[i], out.at[i] + n) if slot[k]]
+
+    return out, slots
+
+
+#: Columns of windows beside the key.
+COLUMNS = "hash long, at int, word int, window long, slots array<string>"
 
 
 def _rows(s: Settings, key: str, only: np.ndarray | None):
@@ -120,20 +179,22 @@ def _rows(s: Settings, key: str, only: np.ndarray | None):
         tokens = _Tokens()
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
-                batch, keys, hashes, places, slots = whole.slice(start, 500), [], [], [], []
+                batch, keys, slots, parts = whole.slice(start, 500), [], [], []
                 for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
-                    found, slot, words = windows(text, tokens, s)
-                    at = np.arange(len(found))
-                    if seen is not None and len(found):
-                        at = np.flatnonzero(seen[(found >> np.uint64(42)).astype(np.int64)])
-                        at = at[only[np.minimum(np.searchsorted(only, found[at]), len(only) - 1)] == found[at]]
-                    for i in at.tolist():
-                        keys.append(k)
-                        places.append(i)
-                        slots.append(_slots(words, slot, i, s.window))
-                    hashes.append(found[at].view(np.int64))
-                flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(flat), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "hash", "at", "slots"])
+                    found, of = windows(text, tokens, s, only is None and key == "item_id")
+                    if found is None:
+                        continue
+                    at = np.arange(len(found.hash))
+                    if seen is not None:
+                        at = np.flatnonzero(seen[(found.hash >> np.uint64(42)).astype(np.int64)])
+                        at = at[only[np.minimum(np.searchsorted(only, found.hash[at]), len(only) - 1)] == found.hash[at]]
+                    if len(at):
+                        keys += [k] * len(at)
+                        slots += map(of, at.tolist())
+                        parts.append((found.hash[at].view(np.int64), found.at[at], found.word[at], found.window[at].view(np.int64)))
+                flat = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(flat, kinds)), pa.array(slots, pa.list_(pa.string()))], [key, "hash", "at", "word", "window", "slots"])
 
     return run
 
@@ -146,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     """
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    items = scratch.table(items.mapInArrow(_rows(s, "item_id", None), "item_id long, hash long, at int, slots array<string>"), "items")
+    items = scratch.table(items.mapInArrow(_rows(s, "item_id", None), f"item_id long, {COLUMNS}"), "items")
     n = items.count()
     if not n:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("share"))
@@ -154,16 +215,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     if n <= s.broadcast_windows:
         only = np.sort(items.select("hash").distinct().toPandas()["hash"].to_numpy().view(np.uint64))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(_rows(s, "doc_id", only), "doc_id long, hash long, at int, slots array<string>")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("hash").alias("of"))
-    side = items.select("item_id", "hash", F.col("at").alias("j"), F.col("slots").alias("theirs"))
-    met = found.join(side, "hash").select("doc_id", "item_id", "hash", (F.col("at") - F.col("j")).alias("shift"), "slots", "theirs")
+    found = texts.mapInArrow(_rows(s, "doc_id", only), f"doc_id long, {COLUMNS}")
+    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("of"))
+    side = items.select("item_id", "hash", "window", F.col("at").alias("at2"), F.col("word").alias("word2"), F.col("slots").alias("theirs"))
+    met = found.drop("window").join(side, "hash").select("doc_id", "item_id", "window", (F.col("at") - F.col("at2")).alias("by_token"), (F.col("word") - F.col("word2")).alias("by_word"), "slots", "theirs")
     met = scratch.table(met.distinct(), "met")
+    # Copies with other names are in line by template tokens, and those without capitals by words. What holds more windows in one line is taken.
+    most = lambda by: met.groupBy("doc_id", "item_id", by).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias(f"most_{by}"))
+    lines = most("by_token").join(most("by_word"), ["doc_id", "item_id"])
+    lines = lines.select("doc_id", "item_id", (F.col("most_by_word") > F.col("most_by_token")).alias("words"))
+    met = met.join(lines, ["doc_id", "item_id"]).withColumn("shift", F.when(F.col("words"), F.col("by_word")).otherwise(F.col("by_token")))
+    met = scratch.table(met.drop("by_word", "by_token", "words"), "in_line")
     pairs = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("theirs", "slots")).alias("p"))
     values = pairs.groupBy("doc_id", "item_id", "shift", F.lower("p.theirs").alias("value")).agg(F.countDistinct(F.lower("p.slots")).alias("stands_for"))
     clashes = values.groupBy("doc_id", "item_id", "shift").agg(F.avg((F.col("stands_for") > 1).cast("double")).alias("clash")).where(F.col("clash") > s.conflicts)
     good = met.join(clashes, ["doc_id", "item_id", "shift"], "left_anti")
-    shares = good.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sizes, "item_id")
+    shares = good.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n")).join(sizes, "item_id")
     return shares.select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("share")).where(F.col("share") >= s.share)
 
 

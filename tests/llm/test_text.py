@@ -69,6 +69,27 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False}
 
 
+def test_leaks_in_another_case_or_with_longer_names(spark):
+    items = [
+        "We read that a train leaves Boston at 9 am for New York and that another one leaves New York for Boston at 10 am with Alice Smith on board. When do Alice Smith and Bob meet?",
+        "This morning Janet sells 16 eggs to Mark and Lucy at the market while Peter sells 12 eggs to Nancy and Oscar. How many eggs do Janet and Peter sell?",
+    ]
+    longer = items[1]
+    for one, two in (("Janet", "Mary Ann"), ("Mark", "John Paul"), ("Lucy", "Eva Maria"), ("Peter", "Carl Otto"), ("Nancy", "Anna Lena"), ("Oscar", "Hans Peter")):
+        longer = longer.replace(one, two)
+    clash = longer.replace("do Mary Ann and Carl Otto", "do Rosa Lee and Kim Jong").replace("while Carl Otto", "while Mary Ann").replace("John Paul and Eva Maria", "Hans Peter and Hans Peter")
+    other = "This morning the farmer walked to the market while his friends sold many eggs and then went home to read a book about trains."
+    texts = [f(x) for x in items for f in (str, str.lower, str.upper, str.title)] + [longer, longer.lower(), other]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["share"]) for r in decontaminate(docs, bench).collect()}
+    assert all(got[i] == ([i // 4], 1.0) for i in range(8)) and got[8] == ([1], 1.0)
+    assert got[10] == ([], 0.0)
+    lower = spark.createDataFrame([(i, x.lower()) for i, x in enumerate(items)], "item_id long, text string")
+    assert all(r["item_ids"] == [r["doc_id"] // 4] for r in decontaminate(docs.where("doc_id < 8"), lower).collect())
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate(spark.createDataFrame([(0, clash)], "doc_id long, text string"), bench).collect()} == {0: False}
+
+
 LANGS = {"aa": ["the", "and", "thing", "with", "was"], "bb": ["der", "und", "ein", "nicht", "schon"], "cc": ["les", "une", "que", "pas", "être"]}
 
 
