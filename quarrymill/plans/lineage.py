@@ -107,11 +107,27 @@ def components_min_label(spark, sf):
     SELECT count(*) AS train_rows, count(*) FILTER (g NOT IN (SELECT node FROM bad)) AS clean_rows FROM x WHERE g % 10 <> 0""")
 def leakage_clean(spark, sf):
     rows = Scratch(spark).table(table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey"), "rows")
+    return _leakage(rows)
+
+
+def _leakage(rows: DataFrame) -> DataFrame:
     train, exam = rows.where("l_orderkey % 10 <> 0"), rows.where("l_orderkey % 10 = 0")
     clean = canonical.without_leaks(train, exam, "l_orderkey", "l_partkey")
     return train.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(clean.agg(F.count(F.lit(1)).alias("clean_rows")))
 
 
+@query()
+def components_whole(spark, sf):
+    """components_min_label over all of lineitem, where recursive SQL is too slow to be compared with."""
+    return canonical.link_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+
+
+@query()
+def leakage_clean_whole(spark, sf):
+    """leakage_clean over all of lineitem."""
+    return _leakage(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"))
+
+
 @query("""SELECT d.doc_id, count(l.doc_id) * 2 AS n_labels, max(l.quality)::DOUBLE AS quality, max(l.toxic)::DOUBLE AS toxic
     FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def label_join_agg(spark, sf):

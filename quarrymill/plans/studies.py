@@ -30,6 +30,13 @@ def coverage_counts_explode(spark: SparkSession, sf: str) -> DataFrame:
     return triage.coverage_counts(rows, F.split(F.lower("text"), r"\s+")).where("n > 20 or key = '__positions__'")
 
 
+@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS key FROM documents)
+    SELECT key, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT '__positions__', count(*) FROM documents""")
+def coverage_counts_whole(spark, sf):
+    """coverage_counts_explode with the rare keys, too."""
+    return triage.coverage_counts(table(spark, sf, "documents").select("text"), F.split(F.lower("text"), r"\s+"))
+
+
 @query("""WITH c AS (SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT count(*) AS total FROM orders)
     SELECT key, n, round_even(least(1.0, greatest(50.0, 0.15 * total) / greatest(1.0, n)), 6) AS rarity FROM c, t""")
 def rarity_weights(spark, sf):
