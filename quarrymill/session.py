@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting for deleting the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the folder that the driver and all executors share.
 
@@ -48,7 +52,13 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written and read back. Names must be new within one Scratch."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        # The shuffles that made the table go with the write; no one reads them again.
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
