@@ -11,12 +11,18 @@ ORDER = "QRBNP"
 PLANES = "PNBRQKpnbrqk"
 
 
+def field(fen: Column, k: int) -> Column:
+    """The k-th field, null if it is missing."""
+    return F.get(F.split(fen, " "), k)
+
+
 def placement(fen: Column) -> Column:
-    return F.split(fen, " ")[0]
+    return field(fen, 0)
 
 
 def side(fen: Column) -> Column:
-    return F.split(fen, " ")[1]
+    """The side to move; white where the field is missing."""
+    return F.when(fen.isNotNull(), F.coalesce(field(fen, 1), F.lit("w")))
 
 
 def count(fen: Column, piece: str) -> Column:
@@ -36,7 +42,7 @@ def non_pawn_material(fen: Column) -> Column:
 
 def phase(fen: Column, opening: int = 5600, endgame: int = 2600) -> Column:
     n = non_pawn_material(fen)
-    return F.when(n >= opening, "opening").when(n <= endgame, "endgame").otherwise("middlegame")
+    return F.when(n >= opening, "opening").when(n < endgame, "endgame").otherwise("middlegame")
 
 
 def signature(fen: Column) -> Column:
@@ -46,8 +52,8 @@ def signature(fen: Column) -> Column:
 
 
 def ply(fen: Column) -> Column:
-    """Half-moves since the start, from the move number and the side to move."""
-    return 2 * (F.split(fen, " ")[5].cast("int") - 1) + F.when(side(fen) == "b", 1).otherwise(0)
+    """Half-moves since the start, from the move number (1 where it is missing or no number) and the side to move."""
+    return 2 * (F.coalesce(field(fen, 5).try_cast("int"), F.when(fen.isNotNull(), 1)) - 1) + F.when(side(fen) == "b", 1).otherwise(0)
 
 
 def four_fields(fen: Column) -> Column:
@@ -60,7 +66,7 @@ def is_well_formed(fen: Column) -> Column:
     ranks = F.split(placement(fen), "/")
     width = lambda r: F.aggregate(F.split(r, ""), F.lit(0), lambda a, c: a + F.coalesce(c.try_cast("int"), F.when(c != "", 1).otherwise(0)))
     good = (F.size(ranks) == 8) & F.forall(ranks, lambda r: r.rlike("^[PNBRQKpnbrqk1-8]+$") & (width(r) == 8))
-    return F.coalesce(good & (count(fen, "K") == 1) & (count(fen, "k") == 1) & side(fen).isin("w", "b"), F.lit(False))
+    return F.coalesce(good & (count(fen, "K") == 1) & (count(fen, "k") == 1) & field(fen, 1).isin("w", "b"), F.lit(False))
 
 
 def expanded(fen: Column) -> Column:
@@ -84,3 +90,24 @@ def active_inputs(fen: Column) -> Column:
     index = lambda x: (F.instr(F.lit(PLANES), x["c"]) - 1) * 64 + square(x["i"])
     return F.array_sort(F.transform(pairs, index))
 
+
+
+def units(fen: Column) -> Column:
+    """Non-pawn units of both sides: 1 for a minor piece, 2 for a rook, 4 for a queen."""
+    return sum(((count(fen, p) + count(fen, p.lower())) * w for p, w in {"N": 1, "B": 1, "R": 2, "Q": 4}.items()), F.lit(0))
+
+
+def unit_phase(fen: Column, opening: int = 22, endgame: int = 8) -> Column:
+    """The phase by non-pawn units, as funnel runs tell it."""
+    n = units(fen)
+    return F.when(n >= opening, "opening").when(n <= endgame, "endgame").otherwise("middlegame")
+
+
+def material_bucket(fen: Column) -> Column:
+    """Both sides' queens, rooks, minor pieces and thirds of up to eight pawns, as Q1R2m4P2-q1r2m4p2."""
+    def part(case) -> Column:
+        n = lambda p: count(fen, case(p))
+        pawns = F.floor(F.least(F.lit(8), n("P")) / 3)
+        return F.concat(F.lit(case("Q")), n("Q").cast("string"), F.lit(case("R")), n("R").cast("string"), F.lit("m"), (n("N") + n("B")).cast("string"), F.lit(case("P")), pawns.cast("string"))
+
+    return F.concat(part(str.upper), F.lit("-"), part(str.lower))

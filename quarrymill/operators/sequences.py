@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.session import Scratch
+
+
+def _numbered(rows: DataFrame, source: str, order: Sequence[str], value: Column, begins: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with ``__number``: in its source's order, how many rows so far begin a session, as ``begins`` tells from a row's
+    value and the one before it. A source's first row always does.
+
+    A source of any size is spread over range partitions, which are written first, since bounds are sampled and come out
+    differently when a plan is run twice. What goes on from one partition to the next is its last row, and the sums of
+    the sources that cross its bounds.
+    """
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.struct(source, *order)
+    held = rows.withColumn("__v", value).repartitionByRange(n, source, *order).withColumn("__p", F.spark_partition_id())
+    held = Scratch(spark).table(held, "ranges")
+    ends = held.groupBy("__p").agg(F.max_by(F.struct(F.col(source).alias("s"), F.col("__v").alias("v")), place).alias("last"), F.min(source).alias("__first"), F.max(source).alias("__last"))
+    ends = ends.withColumn("__before", F.lag("last").over(Window.orderBy("__p"))).drop("last")
+    within = Window.partitionBy("__p", source).orderBy(*order)
+    marked = held.join(F.broadcast(ends), "__p").withColumn("__k", F.row_number().over(within))
+    goes_on = F.col("__before.s").eqNullSafe(F.col(source)) & F.col("__before").isNotNull()
+    starts = F.when(F.col("__k") > 1, begins(F.col("__v"), F.lag("__v").over(within))).when(goes_on, begins(F.col("__v"), F.col("__before.v"))).otherwise(True)
+    marked = marked.withColumn("__start", F.coalesce(starts, F.lit(True)).cast("int"))
+    crossing = marked.where(F.col(source).eqNullSafe(F.col("__first")) | F.col(source).eqNullSafe(F.col("__last"))).groupBy("__p", source).agg(F.sum("__start").alias("sum"))
+    # At most two rows a partition.
+    earlier = F.sum("sum").over(Window.partitionBy(source).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    carried = crossing.select("__p", F.col(source).alias("__s"), F.coalesce(earlier, F.lit(0)).alias("__carried"))
+    out = marked.join(F.broadcast(carried), (marked["__p"] == carried["__p"]) & marked[source].eqNullSafe(carried["__s"]), "left").drop(carried["__p"])
+    number = F.coalesce("__carried", F.lit(0)) + F.sum("__start").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("__number", number).select(*rows.columns, "__number")
+
 
 def sessions_by_counter(rows: DataFrame, source: str, order: Sequence[str], counter: str, explicit: str | None = None) -> DataFrame:
     """rows with a session: the explicit one where given, else a new one whenever the counter doesn't advance.
 
-    Explicit rows don't move the counter. One source's rows are ordered in one task, as the sequence is theirs.
+    Explicit rows don't move the counter.
     """
-    unnamed = F.col(explicit).isNull() if explicit else F.lit(True)
-    w = Window.partitionBy(source, unnamed).orderBy(*order)
-    starts = F.when(F.lag(counter).over(w).isNull() | (F.col(counter) <= F.lag(counter).over(w)), 1).otherwise(0)
-    rows = rows.withColumn("__starts", starts)
-    number = F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    named = F.format_string("g%06d", number)
-    return rows.withColumn("session", F.when(unnamed, named).otherwise(F.col(explicit)) if explicit else named).drop("__starts")
+    unnamed = rows.where(F.col(explicit).isNull()) if explicit else rows
+    found = _numbered(unnamed, source, order, F.col(counter), lambda v, before: v <= before)
+    found = found.withColumn("session", F.format_string("g%06d", "__number")).drop("__number")
+    return found.unionByName(rows.where(F.col(explicit).isNotNull()).withColumn("session", F.col(explicit))) if explicit else found
 
 
 def sessions_by_gap(rows: DataFrame, source: str, time: str, seconds: int, tie: str) -> DataFrame:
     """rows with a session number of their source; a longer gap than ``seconds`` starts one."""
-    w = Window.partitionBy(source).orderBy(time, tie)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    rows = rows.withColumn("__starts", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0))
-    return rows.withColumn("session", F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
+    return _numbered(rows, source, [time, tie], micros, lambda v, before: v - before > seconds * 1_000_000).withColumnRenamed("__number", "session")
 
 
 def universe_order(old: DataFrame, new: DataFrame, key: str, position: str, order: Column) -> DataFrame:

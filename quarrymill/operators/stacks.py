@@ -13,9 +13,37 @@ from quarrymill.functions.hashing import sample_order, unit_hash
 from quarrymill.session import Scratch
 
 
+#: Up to so many rows are sorted at the edge of a selection; more are told apart by further digits first.
+EDGE_ROWS = 100_000
+
+
+def smallest(rows: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The first n rows by ``order``, a column of strings of equal length, and then by key; n may be a share of all rows.
+
+    No task gathers n rows: rows are counted by the order's leading digits, those of all lower digits are taken as they
+    are, and only the rows that share the digits at the edge are sorted.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    held, prefix, need = rows.withColumn("__order", order), "", n
+    while True:
+        digits = F.substring("__order", len(prefix) + 1, 4).alias("digits")
+        counts = held.where(F.col("__order").startswith(prefix)).groupBy(digits).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, 0))
+        edge = counts.withColumn("upto", upto).where(F.col("upto") >= need).orderBy("digits").first()
+        if edge is None:
+            return rows
+        prefix, need = prefix + edge["digits"], need - (edge["upto"] - edge["n"])
+        if edge["n"] <= EDGE_ROWS or not edge["digits"]:
+            break
+    below = held.where(F.col("__order") < prefix)
+    last = held.where(F.col("__order").startswith(prefix)).orderBy("__order", key).limit(need)
+    return below.unionByName(last).drop("__order")
+
+
 def fixed_rows(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The first n rows by hash order."""
-    return rows.orderBy(sample_order(seed, F.col(key)), key).limit(n)
+    return smallest(rows, sample_order(seed, F.col(key)), key, n)
 
 
 def fraction_rows(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -38,6 +66,13 @@ def stack(arms: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
     return every.groupBy(key).agg(F.min_by(F.struct(*body), "arm_order").alias("b"), F.count(F.lit(1)).alias("in_arms")).select(key, "b.*", "in_arms")
 
 
+def containment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys only one side has, and whether each side holds the other."""
+    per = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    only_left, only_right = F.count_if(F.col("r") == 0), F.count_if(F.col("l") == 0)
+    return per.agg(only_left.alias("only_left"), only_right.alias("only_right"), (only_left == 0).alias("right_holds_left"), (only_right == 0).alias("left_holds_right"))
+
+
 def preview(arms: Sequence[tuple[str, DataFrame, DataFrame]], key: str) -> DataFrame:
     """For each arm (name, available rows, sampled rows): available, sampled and effective (after earlier arms) counts."""
     sizes = reduce(lambda a, b: a.unionByName(b), (df.agg(F.count(F.lit(1)).alias("available")).withColumn("arm", F.lit(n)) for n, df, _ in arms))
@@ -55,23 +90,28 @@ def selected_arms(ranked: DataFrame, key: str, deep: float, audit: float, seed:
     """Arms over a ranked pool (key, rank, holdout): the deep arm has the best ranks, the uniform arm as many by hash
     order, and the audit arm a share of what deep left, by hash order. Holdouts are in none, but count in the shares.
 
-    Ranks by hash order over the whole pool take one global order each; these keep only the key and an order.
+    Each arm is a prefix of an order, taken without a global sort (see smallest).
     """
     n = ranked.count()
     k, a = round(deep * n), round(audit * n)
     pool = ranked.where("not holdout").select(key, "rank")
-    deep_ids = pool.orderBy("rank", key).limit(k).select(key, F.lit(True).alias("deep"))
-    uniform = pool.orderBy(sample_order(seed, F.col(key), "uniform"), key).limit(k).select(key, F.lit(True).alias("uniform"))
+    deep_ids = smallest(pool, F.lpad(F.hex(F.col("rank").cast("long")), 16, "0"), key, k).select(key, F.lit(True).alias("deep"))
+    uniform = smallest(pool, sample_order(seed, F.col(key), "uniform"), key, k).select(key, F.lit(True).alias("uniform"))
     left = pool.join(deep_ids, key, "left_anti")
-    audit_ids = left.orderBy(sample_order(seed, F.col(key), "audit"), key).limit(a).select(key, F.lit(True).alias("audit"))
+    audit_ids = smallest(left, sample_order(seed, F.col(key), "audit"), key, a).select(key, F.lit(True).alias("audit"))
     out = ranked.join(deep_ids, key, "left").join(uniform, key, "left").join(audit_ids, key, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("deep", "uniform", "audit")})
 
 
 def by_exact_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """rows of the asked ids, in the asked order (ids: key, position); of an id asked twice, the first place counts."""
+    """rows of the asked ids, in the asked order (ids: key, position); of an id asked twice, the first place counts.
+
+    An id without a row fails the query.
+    """
     asked = ids.groupBy(key).agg(F.min("position").alias("position"))
-    return rows.join(asked, key)
+    got = asked.join(rows.withColumn("__there", F.lit(True)), key, "left")
+    there = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("no record "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return got.where(there).select(*rows.columns, "position")
 
 
 def nearest_prefix(rows: DataFrame, order: Sequence[Column], cost: str, target: float) -> DataFrame:

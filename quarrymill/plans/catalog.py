@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import lineage, reports, studies
+from quarrymill.plans import campaigns, lineage, reports, studies, writing
 
-QUERIES: dict = lineage.QUERIES | studies.QUERIES | reports.QUERIES
-ORACLE_SQL: dict[str, str] = lineage.ORACLE_SQL | studies.ORACLE_SQL | reports.ORACLE_SQL
+QUERIES: dict = lineage.QUERIES | studies.QUERIES | reports.QUERIES | writing.QUERIES | campaigns.QUERIES
+ORACLE_SQL: dict[str, str] = lineage.ORACLE_SQL | studies.ORACLE_SQL | reports.ORACLE_SQL | writing.ORACLE_SQL | campaigns.ORACLE_SQL

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarrymill.functions import scalars
 from quarrymill.functions.hashing import content_id, sample_order, split_name, split_unit, unit_hash
 from quarrymill.operators import canonical, catalog, diffs, labels, sequences, stacks
+from quarrymill.plans.registering import registers
 from quarrymill.session import Scratch, table
+from quarrymill.streaming.funnel import pending_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,15 +20,7 @@ NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 UNIT32 = "('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0"
 UNIT64 = "('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0"
 
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = registers(QUERIES, ORACLE_SQL)
 
 
 @query(f"""
@@ -337,7 +331,7 @@ def holdout_hash(spark, sf):
 
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def resume_left_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
+    return pending_rows(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").where("quality = 1"), "doc_id")
 
 
 @query("""WITH w AS (SELECT l_quantity AS c, sum(l_quantity) OVER (ORDER BY sha256('1:' || l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber) AS cost,

@@ -6,20 +6,14 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import split_name, split_unit
 from quarrymill.operators import stats, views
+from quarrymill.plans.registering import registers
 from quarrymill.session import table
+from quarrymill.streaming.funnel import windowed_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = registers(QUERIES, ORACLE_SQL)
 
 
 @query("""SELECT o_orderkey, (l.l_orderkey IS NOT NULL)::INT + (c.c_custkey IS NOT NULL)::INT AS tiers, l.lines AS lines, c.c_mktsegment AS segment
@@ -92,7 +86,7 @@ def migration_split_changes(spark, sf):
 @query("""SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2""")
 def windowed_event_counts(spark, sf):
     events = table(spark, sf, "events").select("event_type", "ts")
-    return events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
+    return windowed_counts(events, "ts", "event_type").select("event_type", F.col("window.start").alias("hour"), "n")
 
 
 @query("""WITH s AS (SELECT flag, l_quantity, row_number() OVER (PARTITION BY flag ORDER BY l_quantity) AS rn, count(*) OVER (PARTITION BY flag) AS n

@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars
 from quarrymill.operators import experiments, models, stacks, stats, triage
+from quarrymill.plans.registering import registers
 from quarrymill.session import Scratch, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = registers(QUERIES, ORACLE_SQL)
 
 
 @query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS key FROM documents)
@@ -155,9 +148,9 @@ def interaction_adjacent(spark, sf):
       - (avg(loss) FILTER (arm = '2-HIGH' AND width = 1994) - avg(loss) FILTER (arm = '1-URGENT' AND width = 1994)) AS d FROM runs GROUP BY 1)
     SELECT count(d) AS n, round_even(avg(d), 3) AS did FROM d""")
 def did_2x2(spark, sf):
-    d = _contrast(spark, sf)
-    both = d.groupBy("seed").agg(F.max(F.when(F.col("width") == 1996, F.col("d"))).alias("b"), F.max(F.when(F.col("width") == 1994, F.col("d"))).alias("a"))
-    return both.agg(F.count(F.col("b") - F.col("a")).alias("n"), F.bround(F.avg(F.col("b") - F.col("a")), 3).alias("did"))
+    rows = _runs(spark, sf).where("width in (1994, 1996) and arm in ('1-URGENT', '2-HIGH')")
+    d = stats.difference_in_differences(rows.withColumns({"__w": F.col("width") == 1996, "__a": F.col("arm") == "2-HIGH"}), "seed", "__w", "__a", "loss")
+    return d.agg(F.count("d").alias("n"), F.bround(F.avg("d"), 3).alias("did"))
 
 
 @query(D_SQL + """ SELECT count(*) AS n, CASE WHEN bool_and(high < 0) THEN 'SUPPORTED' WHEN bool_and(low > 0) THEN 'REJECTED' ELSE 'INCONCLUSIVE' END AS decision FROM c""")

@@ -34,21 +34,40 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def outcome(game_outcome: Column, res: Column) -> Column:
-    """A game's result; 0.0 is one, and only null falls back."""
-    return F.coalesce(game_outcome, res)
+def outcome(game_outcome: Column, res: Column, white_score: Column | None = None) -> Column:
+    """A game's result: that of a struct's white score, if given, else the plain one, else ``res``. 0.0 is a result, and only null falls back."""
+    return F.coalesce(*([white_score] if white_score is not None else []), game_outcome, res)
 
 
-TAG = re.compile(r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]')
-MOVE = re.compile(r"\{[^}]*\}|;[^\n]*|\([^()]*\)|\$\d+|\d+\.+|(1-0|0-1|1/2-1/2|\*)|([^\s.]+)")
+def merged_files(files: DataFrame) -> DataFrame:
+    """Files (path, bytes, sha256) of equal content as one row: sha256, bytes, first path and the number of places."""
+    return files.groupBy("sha256").agg(F.first("bytes").alias("bytes"), F.min("path").alias("path"), F.count(F.lit(1)).alias("places"))
+
+
+TAG = re.compile(r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]\s*')
+#: A comment, a bracket of a variation, an annotation, a move number, a result, or a move.
+PART = re.compile(r"\{[^}]*\}|;[^\n]*|([()])|\$\d+|\d+\.+|(1-0|0-1|1/2-1/2|\*)|([^\s.(){}]+)")
+
+
+def _moves(text: str) -> list[str]:
+    """The moves of the game itself, without those of variations at any depth."""
+    depth, out = 0, []
+    for m in PART.finditer(text):
+        depth = max(0, depth + (m[1] == "(") - (m[1] == ")"))
+        if m[3] and not depth:
+            out.append(m[3])
+    return out
 
 
 def _games(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         out = []
         for text in batch["value"]:
-            tags = dict(TAG.findall(text))
-            moves = [m[2] for m in MOVE.finditer(text.rpartition("]\n")[2]) if m[2]]
+            tags, at = {}, len(text) - len(text.lstrip())
+            # Tags stand before the moves; a bracket later on is part of a comment.
+            while m := TAG.match(text, at):
+                tags[m[1]], at = m[2], m.end()
+            moves = _moves(text[at:])
             if tags or moves:
                 out.append((tags.get("Event"), tags.get("White"), tags.get("Black"), tags.get("Date"), RESULTS.get(tags.get("Result", "*")), moves))
         yield pd.DataFrame(out, columns=["event", "white", "black", "date", "result", "moves"])
@@ -56,8 +75,9 @@ def _games(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
     """Games of PGN files: tags, result (null if unfinished) and moves in their notation. One file may hold any number."""
-    texts = spark.read.option("lineSep", "\n\n[Event ").text(path)
-    texts = texts.select(F.when(F.col("value").startswith("[Event "), F.col("value")).otherwise(F.concat(F.lit("[Event "), F.col("value"))).alias("value"))
+    # Records end before each Event tag, whichever line ends the file has.
+    texts = spark.read.option("lineSep", "[Event ").text(path).where(F.length(F.trim("value")) > 0)
+    texts = texts.select(F.concat(F.lit("[Event "), F.regexp_replace("value", "\r\n?", "\n")).alias("value"))
     return texts.mapInPandas(_games, "event string, white string, black string, date string, result double, moves array<string>")
 
 
@@ -68,7 +88,36 @@ def sampled_plies(games: DataFrame, every: int = 4, least: int = 8) -> DataFrame
 
 
 def parse_info(line: Column) -> Column:
-    """An engine's "info" line as a struct: depth, nodes, cp, mate and pv; null fields where a token is missing."""
+    """An engine's "info" line as a struct: depth, seldepth, multipv, nodes, time, hashfull, cp, mate and pv; null fields where a token is missing."""
     number = lambda key: F.nullif(F.regexp_extract(line, rf"\b{key} (-?\d+)", 1), F.lit("")).cast("long")
     pv = F.regexp_extract(line, r"\bpv (.+)$", 1)
-    return F.struct(number("depth").alias("depth"), number("nodes").alias("nodes"), number("score cp").alias("cp"), number("score mate").alias("mate"), F.when(pv != "", F.split(pv, " ")).alias("pv"))
+    plain = [number(k).alias(k) for k in ("depth", "seldepth", "multipv", "nodes", "time", "hashfull")]
+    return F.struct(*plain, number("score cp").alias("cp"), number("score mate").alias("mate"), F.when(pv != "", F.split(pv, " ")).alias("pv"))
+
+
+def best_move(line: Column) -> Column:
+    """The move of an engine's "bestmove" line; null for other lines and for (none)."""
+    return F.nullif(F.nullif(F.regexp_extract(line, r"^bestmove (\S+)", 1), F.lit("")), F.lit("(none)"))
+
+
+def canonical_lines(df: DataFrame) -> DataFrame:
+    """(line) with each row as JSON, columns sorted by name and nulls kept."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def content_hash(text: Column) -> Column:
+    """An aggregate: a hash of all texts of a group, with their repeats and whatever their order.
+
+    The eight 32-bit lanes of the texts' SHA-256 are summed, which combines before the shuffle and needs no task with all
+    rows, and the sums are hashed.
+    """
+    digest = F.sha2(text, 256)
+    lane = lambda i: F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)")).cast("string")
+    return F.sha2(F.concat_ws(",", *map(lane, range(8))), 256)
+
+
+def write_lines(df: DataFrame, path: str) -> tuple[int, str]:
+    """Writes canonical lines once, refusing to overwrite; gives back the number of rows and the hash of their content."""
+    canonical_lines(df).write.mode("errorifexists").text(path)
+    row = df.sparkSession.read.text(path).agg(F.count(F.lit(1)).alias("rows"), content_hash(F.col("value")).alias("sha256")).first()
+    return row["rows"], row["sha256"]

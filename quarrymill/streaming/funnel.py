@@ -4,36 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def done_rows(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a stage has written so far; None before its first rows."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """What a stage has written so far; None before its first rows. Any other fault of reading is an error."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.exists(at) and any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(at))
+    return spark.read.parquet(path) if done else None
+
+
+def pending_rows(rows: DataFrame, done: DataFrame | None, key: str = "id") -> DataFrame:
+    """One row of each key that has no result yet."""
+    first = rows.dropDuplicates([key])
+    return first if done is None else first.join(done.select(key), key, "left_anti")
 
 
 def run_stage(rows: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], key: str = "id") -> None:
-    """Appends work(rows) for the rows whose key has no result yet. Running it again does nothing more."""
-    done = done_rows(rows.sparkSession, path)
-    pending = rows if done is None else rows.join(done.select(key), key, "left_anti")
-    work(pending).write.mode("append").parquet(path)
+    """Appends work(rows) for the keys that have no result yet, each once. Running it again does nothing more."""
+    work(pending_rows(rows, done_rows(rows.sparkSession, path), key)).write.mode("append").parquet(path)
 
 
 def stream_stage(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str = "id"):
     """The same over a stream: each micro-batch is freed of keys that have a result, so a replayed batch adds nothing."""
 
     def each(batch: DataFrame, _: int) -> None:
-        run_stage(batch.dropDuplicates([key]), path, work, key)
+        run_stage(batch, path, work, key)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Counts by event-time window and key; rows later than ``lateness`` are left out."""
-    from pyspark.sql import functions as F
-
     return stream.withWatermark(time, lateness).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
