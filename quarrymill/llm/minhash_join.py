@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.pairing import linked_components, long_lists, shared
-from quarrymill.llm.words import WordHashes, sequences
+from quarrymill.llm.pairing import linked_components, long_lists, shared, spread
+from quarrymill.llm.words import WordHashes, frugal, sequences, sliced
 from quarrymill.session import Scratch
 
 
@@ -58,13 +58,11 @@ def _set_key(shingles: np.ndarray) -> bytes:
 def _signatures(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), np.random.default_rng(11).integers(0, 2**63, s.coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
-                sigs = [signature(x, factors) if len(x) else x for x in sets]
-                columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), long_lists(sigs)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig"])
+        for batch in sliced(batches, "text", 1_000_000):
+            sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
+            sigs = [signature(x, factors) if len(x) else x for x in sets]
+            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), long_lists(sigs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig"])
 
     return run
 
@@ -72,13 +70,11 @@ def _signatures(s: Settings):
 def _sets(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
-                own = [_set_key(x) == k for x, k in zip(sets, batch.column("set_key").to_pylist())]
-                sets = [x for x, o in zip(sets, own) if o]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(own, pa.bool_())), long_lists(sets)], ["rep", "shingles"])
+        for batch in sliced(batches, "text", 1_000_000):
+            sets = [shingle_set(t, s.words, hashes) for t in batch.column("text").to_pylist()]
+            own = [_set_key(x) == k for x, k in zip(sets, batch.column("set_key").to_pylist())]
+            sets = [x for x, o in zip(sets, own) if o]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(own, pa.bool_())), long_lists(sets)], ["rep", "shingles"])
 
     return run
 
@@ -93,7 +89,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), scratch: S
     """
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = scratch.table(docs.mapInArrow(_signatures(s), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sigs")
+    sigs = scratch.table(docs.mapInArrow(frugal(_signatures(s)), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sigs")
     linkable = sigs.where("doc_id is not null and n_shingles > 0")
     # All of a class have one signature, so any of them will do.
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
@@ -120,7 +116,7 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - (s.matches - 1))
     postings = scratch.table(ranked.select(F.col("rep").alias("node"), "n", F.explode(prefix).alias("token")), "postings")
     wanted = docs.join(classes.join(ranked.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
-    sets = wanted.select(F.col("doc_id").alias("rep"), "set_key", "text").mapInArrow(_sets(s), "rep long, shingles array<long>")
+    sets = wanted.select(F.col("doc_id").alias("rep"), "set_key", "text").mapInArrow(frugal(_sets(s)), "rep long, shingles array<long>")
     sets = scratch.table(sets.dropDuplicates(["rep"]).withColumnRenamed("rep", "node"), "sets")
     ta, tb = (ranked.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
 
@@ -130,4 +126,4 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, scratch: Scratch) -
     def elements(nodes: DataFrame) -> DataFrame:
         return sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
 
-    return linked_components(postings, lambda pairs: shared(pairs, sets), elements, s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds, likely)
+    return linked_components(postings, lambda pairs: shared(pairs, sets), elements, lambda pairs: spread(pairs, sets), s.percent, s.pairs_a_document * count, scratch, s.pivot_rounds, likely)
