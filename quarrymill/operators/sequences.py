@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.session import Scratch
+from quarrymill.session import Scratch, range_partitions
 
 
 def _numbered(rows: DataFrame, source: str, order: Sequence[str], value: Column, begins: Callable[[Column, Column], Column]) -> DataFrame:
@@ -19,7 +19,7 @@ def _numbered(rows: DataFrame, source: str, order: Sequence[str], value: Column,
     the sources that cross its bounds.
     """
     spark = rows.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = range_partitions(spark)
     place = F.struct(source, *order)
     held = rows.withColumn("__v", value).repartitionByRange(n, source, *order).withColumn("__p", F.spark_partition_id())
     held = Scratch(spark).table(held, "ranges")

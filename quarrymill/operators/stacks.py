@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import sample_order, unit_hash
-from quarrymill.session import Scratch
+from quarrymill.session import Scratch, range_partitions
 
 
 #: Up to so many rows are sorted at the edge of a selection; more are told apart by further digits first.
@@ -122,7 +122,7 @@ def nearest_prefix(rows: DataFrame, order: Sequence[Column], cost: str, target:
     """
     ordered = rows.select(F.struct(*order).alias("o"), F.col(cost).cast("double").alias("c"))
     # Written first: range bounds are sampled, and come out differently when a plan is run twice.
-    chunked = ordered.repartitionByRange(ordered.sparkSession.sparkContext.defaultParallelism, "o").withColumn("p", F.spark_partition_id())
+    chunked = ordered.repartitionByRange(range_partitions(ordered.sparkSession), "o").withColumn("p", F.spark_partition_id())
     chunked = Scratch(rows.sparkSession).table(chunked, "ranges")
     totals = chunked.groupBy("p").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c").isNull()).alias("gaps"))
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.session import Scratch
+from quarrymill.session import Scratch, range_partitions
 
 
 def t_within(t: float, df: int) -> float:
@@ -152,7 +152,7 @@ def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     Counts by value are numbered instead of rows: each distinct value's place is the count below it.
     """
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    n = rows.sparkSession.sparkContext.defaultParallelism
+    n = range_partitions(rows.sparkSession)
     # Written first: range bounds are sampled, and come out differently when a plan is run twice.
     parts = Scratch(rows.sparkSession).table(counts.repartitionByRange(n, value).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("__p").agg(F.sum("__n").alias("__s"))
@@ -173,13 +173,24 @@ def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
 def order_statistic(rows: DataFrame, by: Sequence[str], value: str, index: Column, out: str) -> DataFrame:
     """(by, out): the sorted value at ``index``, an expression over ``n``, from 0.
 
-    Works on counts by value, so that a group of any size fits: the answer is the least value whose running count
-    exceeds the index.
+    Works on counts by value: the answer is the least value whose running count exceeds the index. The counts lie in
+    range partitions, written first, and what each partition adds up to for a group is carried on to the next, so a
+    group of any number of values is no single task's.
     """
+    spark = rows.sparkSession
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy(*by))
-    return counts.withColumns({"upto": upto, "n": n}).where(F.col("upto") > index).groupBy(*by).agg(F.min(value).alias(out))
+    parts = counts.repartitionByRange(range_partitions(spark), *by, value).withColumn("__p", F.spark_partition_id())
+    parts = Scratch(spark).table(parts, "ranges")
+    group = Window.partitionBy(*by)
+    sums = parts.groupBy("__p", *by).agg(F.sum("c").alias("s"))
+    before = F.coalesce(F.sum("s").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("__p").alias("p"), *(F.col(c).alias(f"__{c}") for c in by), before.alias("before"), F.sum("s").over(group).alias("n"))
+    same = F.col("__p") == F.col("p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = F.sum("c").over(Window.partitionBy("__p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    summed = parts.withColumn("upto", inside).join(sums, same).withColumn("upto", F.col("upto") + F.col("before"))
+    return summed.where(F.col("upto") > index).groupBy(*by).agg(F.min(value).alias(out))
 
 
 def bootstrap_interval(rows: DataFrame, by: Sequence[str], key: str, value: str, resamples: int = 200, seed: int = 0) -> DataFrame:

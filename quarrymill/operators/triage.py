@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import sample_order
-from quarrymill.session import Scratch
+from quarrymill.session import Scratch, range_partitions
 
 
 def coverage_counts(rows: DataFrame, keys: Column, total: str = "__positions__") -> DataFrame:
@@ -45,7 +45,7 @@ def ranked(rows: DataFrame, score: str, key: str, seed: int = 0) -> DataFrame:
     sampled and come out differently when a plan is run twice.
     """
     order = F.struct((-F.col(score)).alias("a"), sample_order(seed, F.col(key), "tie").alias("b"), F.col(key).alias("c"))
-    n = rows.sparkSession.sparkContext.defaultParallelism
+    n = range_partitions(rows.sparkSession)
     parts = Scratch(rows.sparkSession).table(rows.withColumn("__o", order).repartitionByRange(n, "__o").withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -277,9 +277,9 @@ def funnel_id_lookup(spark, sf):
 COMPONENTS_SQL = """c AS (SELECT o_orderpriority AS p, count(*) AS c FROM orders GROUP BY 1), t AS (SELECT count(*) AS total, greatest(50.0, 0.15 * count(*)) AS target FROM orders),
     x AS (SELECT o_orderkey, (o_totalprice / 100)::INT AS s, o_custkey % 7 AS moves, o_orderkey % 5 AS skips, c, target, o_orderkey % 11 AS k, CASE o_orderstatus WHEN 'O' THEN 'stable-at-budget' WHEN 'P' THEN 'omission-risk' ELSE 'odd' END AS status
       FROM orders JOIN c ON p = o_orderpriority, t),
-    y AS (SELECT o_orderkey, least(1.0, s / 400.0) AS a, (k > 5)::INT::DOUBLE AS b, (CASE status WHEN 'stable-at-budget' THEN 0.0 WHEN 'omission-risk' THEN 0.75 ELSE 0.5 END)::DOUBLE AS c, CASE WHEN k > 2 THEN 0.5 ELSE 0.0 END AS d, least(1.0, k / 4.0) AS e,
+    y AS (SELECT o_orderkey, least(1.0, s / 400.0) AS a, (k > 5)::INT::DOUBLE AS b, (CASE status WHEN 'stable-at-budget' THEN 0.0 WHEN 'omission-risk' THEN 0.75 ELSE 0.5 END)::DOUBLE AS c, (CASE WHEN k > 2 THEN 0.5 ELSE 0.0 END)::DOUBLE AS d, least(1.0, k / 4.0) AS e,
       greatest(least(1.0, target / greatest(1, c)), 0.5 * least(1.0, target / greatest(1, c))) AS f,
-      least(1.0, greatest(0.0, CASE k % 3 WHEN 0 THEN -1 WHEN 1 THEN 0.5 ELSE 1 END * least(2000, s) - 50) / 300) AS g, CASE WHEN k = 4 THEN 1.0 ELSE least(1.0, skips / 3.0) END AS h, (k = 1 OR moves <= 2)::INT::DOUBLE AS i FROM x)"""
+      least(1.0, greatest(0.0, CASE k % 3 WHEN 0 THEN -1 WHEN 1 THEN 0.5 ELSE 1 END * least(2000, s) - 50) / 300) AS g, (CASE WHEN k = 4 THEN 1.0 ELSE least(1.0, skips / 3.0) END)::DOUBLE AS h, (k = 1 OR moves <= 2)::INT::DOUBLE AS i FROM x)"""
 
 
 @query(f"""WITH {COMPONENTS_SQL} SELECT o_orderkey, round_even(a, 6) AS a, b, c, d, e, round_even(f, 6) AS f, round_even(g, 6) AS g, round_even(h, 6) AS h, i FROM y""")
