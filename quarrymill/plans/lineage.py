@@ -9,7 +9,7 @@ from quarrymill.functions import scalars
 from quarrymill.functions.hashing import content_id, sample_order, split_name, split_unit, unit_hash
 from quarrymill.operators import canonical, catalog, diffs, labels, sequences, stacks
 from quarrymill.plans.registering import registers
-from quarrymill.session import Scratch, table
+from quarrymill.session import table
 from quarrymill.streaming.funnel import pending_rows
 
 QUERIES: dict = {}
@@ -83,25 +83,24 @@ def split_disjoint_check(spark, sf):
     return canonical.straddling_groups(rows, ["o_custkey", "o_orderkey"])
 
 
-@query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT a.l_orderkey AS s, b.l_orderkey AS d FROM lineitem a JOIN lineitem b USING (l_partkey)
-                         WHERE a.l_quantity >= 49 AND b.l_quantity >= 49),
-    r AS (SELECT s AS node, d AS seen FROM e UNION SELECT r.node, e.d FROM r JOIN e ON r.seen = e.s)
-    SELECT node AS l_orderkey, min(seen) AS component FROM r GROUP BY 1""")
+#: Orders that share a part, transitively, by the least order of each part.
+COMPONENTS = """WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS k FROM lineitem),
+    h AS (SELECT k, min(g) AS least FROM x GROUP BY 1),
+    e AS (SELECT g AS a, least AS b FROM x JOIN h USING (k) UNION SELECT least, g FROM x JOIN h USING (k)),
+    cc(node, component) USING KEY (node) AS (SELECT DISTINCT g, g FROM x UNION
+        (SELECT u.node, min(v.component) FROM recurring.cc u JOIN e ON e.a = u.node JOIN cc v ON v.node = e.b WHERE v.component < u.component GROUP BY 1))"""
+LEAKS = COMPONENTS + """, bad AS (SELECT DISTINCT component FROM cc WHERE node % 10 = 0)
+    SELECT count(*) AS train_rows, count(*) FILTER (component NOT IN (SELECT component FROM bad)) AS clean_rows FROM lineitem JOIN cc ON node = l_orderkey WHERE l_orderkey % 10 <> 0"""
+
+
+@query(COMPONENTS + " SELECT node AS l_orderkey, component FROM cc")
 def components_min_label(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey")
-    return canonical.link_groups(rows, "l_orderkey", "l_partkey")
+    return canonical.link_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
-@query("""
-    WITH RECURSIVE x AS (SELECT l_orderkey AS g, l_partkey AS k FROM lineitem WHERE l_quantity >= 49),
-    e AS (SELECT DISTINCT a.g AS s, b.g AS d FROM x a JOIN x b USING (k)),
-    r AS (SELECT s AS node, d AS seen FROM e UNION SELECT r.node, e.d FROM r JOIN e ON r.seen = e.s),
-    bad AS (SELECT DISTINCT node FROM r WHERE seen % 10 = 0)
-    SELECT count(*) AS train_rows, count(*) FILTER (g NOT IN (SELECT node FROM bad)) AS clean_rows FROM x WHERE g % 10 <> 0""")
+@query(LEAKS)
 def leakage_clean(spark, sf):
-    rows = Scratch(spark).table(table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey"), "rows")
-    return _leakage(rows)
+    return _leakage(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"))
 
 
 def _leakage(rows: DataFrame) -> DataFrame:
@@ -110,16 +109,22 @@ def _leakage(rows: DataFrame) -> DataFrame:
     return train.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(clean.agg(F.count(F.lit(1)).alias("clean_rows")))
 
 
-@query()
+@query(COMPONENTS + " SELECT component, count(*) AS orders, max(node) AS last FROM cc GROUP BY 1")
+def component_sizes(spark, sf):
+    comp = canonical.link_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+    return comp.groupBy("component").agg(F.count(F.lit(1)).alias("orders"), F.max("l_orderkey").alias("last"))
+
+
+@query(COMPONENTS + " SELECT node AS l_orderkey, component FROM cc")
 def components_whole(spark, sf):
-    """components_min_label over all of lineitem, where recursive SQL is too slow to be compared with."""
-    return canonical.link_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+    """components_min_label under its former name."""
+    return components_min_label(spark, sf)
 
 
-@query()
+@query(LEAKS)
 def leakage_clean_whole(spark, sf):
-    """leakage_clean over all of lineitem."""
-    return _leakage(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"))
+    """leakage_clean under its former name."""
+    return leakage_clean(spark, sf)
 
 
 @query("""SELECT d.doc_id, count(l.doc_id) * 2 AS n_labels, max(l.quality)::DOUBLE AS quality, max(l.toxic)::DOUBLE AS toxic

@@ -17,16 +17,16 @@ query = registers(QUERIES, ORACLE_SQL)
 
 
 @query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS key FROM documents)
-    SELECT key, count(*) AS n FROM w GROUP BY 1 HAVING count(*) > 20 UNION ALL SELECT '__positions__', count(*) FROM documents""")
+    SELECT key, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT '__positions__', count(*) FROM documents""")
 def coverage_counts_explode(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("text")
-    return triage.coverage_counts(rows, F.split(F.lower("text"), r"\s+")).where("n > 20 or key = '__positions__'")
+    return triage.coverage_counts(rows, F.split(F.lower("text"), r"\s+"))
 
 
 @query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS key FROM documents)
     SELECT key, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT '__positions__', count(*) FROM documents""")
 def coverage_counts_whole(spark, sf):
-    """coverage_counts_explode with the rare keys, too."""
+    """coverage_counts_explode under its former name."""
     return triage.coverage_counts(table(spark, sf, "documents").select("text"), F.split(F.lower("text"), r"\s+"))
 
 
