@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 def train_linear(rows: DataFrame, by: Sequence[str], features: str, target: str, key: str, steps: int = 200, batch: int = 256, rate: float = 0.05, most_rows: int = 20_000) -> DataFrame:
     """(by, rows, weights, loss): a linear model of each group by Adam on squared error, in batches in key order.
 
-    A run sees at most ``most_rows`` rows of its group, those that come first by a hash of the key, since a training
+    A run sees about ``most_rows`` rows of its group at most, those that come first by a hash of the key, since a training
     run is one task; groups run in parallel.
     """
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     u = F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(n), list(by)).where(u < F.lit(float(most_rows)) / F.col("__n")).select(*by, F.xxhash64(key).alias("k"), features, target)
+    sample = rows.join(n, list(by)).where(u < F.lit(float(most_rows)) / F.col("__n")).select(*by, F.xxhash64(key).alias("k"), features, target)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -48,3 +48,114 @@ def evaluate(rows: DataFrame, by: Sequence[str], predicted: str, actual: str, si
     clear = F.abs(F.col(actual)) >= sign_from
     agree = F.avg(F.when(clear, (F.signum(predicted) == F.signum(actual)).cast("double")))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(error * error).alias("loss"), F.avg(F.abs(error)).alias("mae"), agree.alias("sign_agreement"))
+
+
+def batches(n: int, size: int, seed: int):
+    """Places of rows in batches, without end: a shuffled order is walked without repeats, its last part batch left out, and then
+    shuffled anew. A set smaller than a batch is one batch."""
+    order, rng, size = np.arange(n), np.random.default_rng([seed, 2]), min(n, size)
+    while n:
+        rng.shuffle(order)
+        yield from (order[k : k + size] for k in range(0, n - size + 1, size))
+
+
+class Network:
+    """One hidden layer of units clipped to [0, 1], a score, and training-only heads of auxiliary targets on the same units.
+
+    Weights of the score and of the heads are drawn from streams of their own, so that two runs of one seed, with and
+    without heads, start alike and see the same batches.
+    """
+
+    SHARED = ("into", "shift", "out", "bias")
+
+    def __init__(self, inputs: int, hidden: int, heads: int, seed: int):
+        own, extra = (np.random.default_rng([seed, k]) for k in (0, 1))
+        edge = hidden**-0.5
+        self.weights = {"into": own.normal(0, 0.1, (inputs, hidden)), "shift": np.zeros(hidden), "out": own.uniform(-edge, edge, hidden), "bias": own.uniform(-edge, edge, 1)}
+        if heads:
+            self.weights |= {"heads": extra.uniform(-edge, edge, (hidden, heads)), "head_bias": np.zeros(heads)}
+
+    def units(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x @ self.weights["into"] + self.weights["shift"], 0, 1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.units(x) @ self.weights["out"] + self.weights["bias"][0]
+
+    def loss(self, x: np.ndarray, y: np.ndarray, aux: np.ndarray, weight: float) -> float:
+        gap = self.score(x) - y
+        extra = self.units(x) @ self.weights["heads"] + self.weights["head_bias"] - aux if "heads" in self.weights else 0.0
+        return float(np.mean(gap**2) + weight * np.mean(np.square(extra)))
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, aux: np.ndarray, weight: float) -> dict[str, np.ndarray]:
+        w, h = self.weights, self.units(x)
+        score_gap = 2 * (h @ w["out"] + w["bias"][0] - y) / len(y)
+        back = np.outer(score_gap, w["out"])
+        found = {"out": h.T @ score_gap, "bias": score_gap.sum(keepdims=True)}
+        if "heads" in w:
+            head_gap = 2 * weight * (h @ w["heads"] + w["head_bias"] - aux) / aux.size
+            found |= {"heads": h.T @ head_gap, "head_bias": head_gap.sum(0)}
+            back = back + head_gap @ w["heads"].T
+        back = back * ((h > 0) & (h < 1))
+        return found | {"into": x.T @ back, "shift": back.sum(0)}
+
+    def fit(self, x, y, aux, seed: int, updates: int, size: int, rate: float, weight: float, adam: bool) -> None:
+        first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+        for t, at in zip(range(1, updates + 1), batches(len(y), size, seed)):
+            for k, g in self.gradients(x[at], y[at], aux[at], weight).items():
+                if adam:
+                    first[k] += 0.1 * (g - first[k])
+                    second[k] += 0.001 * (g * g - second[k])
+                    g = first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+                self.weights[k] -= rate * g
+
+
+def train_networks(
+    rows: DataFrame, by: Sequence[str], seed: str, features: str, target: str, key: str, hidden: int, aux: str | None = None, aux_weight: float = 0.0,
+    updates: int | None = None, epochs: int = 20, batch: int = 256, rate: float = 0.01, optimizer: str = "adam", most_rows: int = 20_000,
+) -> DataFrame:
+    """(by, seed, rows, hidden, into, shift, out, bias, loss): a network with one hidden layer for each group and seed.
+
+    ``updates`` fixes the number of batches; without it there are ``epochs`` walks over the rows. Rows without a target are
+    left out; a group sees its first rows by a hash of the key, about ``most_rows``. Groups run in parallel, one a task.
+    """
+    if optimizer not in ("adam", "sgd"):
+        raise ValueError(f"no optimizer {optimizer}")
+    groups = [*by, seed]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in groups)
+    n = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    u = F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(F.col(target).isNotNull()).join(n, groups).where(u < F.lit(float(most_rows)) / F.col("__n"))
+    sample = sample.select(*groups, F.xxhash64(key).alias("k"), F.col(features).alias("x"), F.col(target).cast("double").alias("y"), (F.col(aux) if aux else F.array().cast("array<double>")).alias("aux"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        x, y, extra = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(float), np.stack(pdf["aux"].to_numpy()).astype(float)
+        own = int(pdf[seed].iloc[0])
+        net = Network(x.shape[1], hidden, extra.shape[1], own)
+        net.fit(x, y, extra, own, updates or epochs * max(1, len(y) // batch), batch, rate, aux_weight, optimizer == "adam")
+        kept = [net.weights[k].tolist() for k in Network.SHARED]
+        return pd.DataFrame([[*pdf[groups].iloc[0], len(y), hidden, *kept, float(np.mean((net.score(x) - y) ** 2))]], columns=[*groups, "rows", "hidden", *Network.SHARED, "loss"])
+
+    return sample.groupBy(*groups).applyInPandas(run, f"{kinds}, rows long, hidden int, into array<array<double>>, shift array<double>, out array<double>, bias array<double>, loss double")
+
+
+def predict_network(features: Column, into: Column, shift: Column, out: Column, bias: Column) -> Column:
+    """A network's score, from its stored weights; heads are never asked."""
+    scaled = F.zip_with(features, into, lambda x, row: F.transform(row, lambda w: w * x.cast("double")))
+    sums = F.aggregate(scaled, shift, lambda total, row: F.zip_with(total, row, lambda a, b: a + b))
+    units = F.transform(sums, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    return F.aggregate(F.zip_with(units, out, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + bias[0]
+
+
+def auxiliary_weight(rows: DataFrame, by: Sequence[str], score_norm: str, aux_norm: str) -> DataFrame:
+    """(by, weight): what auxiliary gradients are to be scaled by to be as long as the score's: the mean ratio of their norms."""
+    ratio = F.try_divide(F.col(score_norm), F.col(aux_norm))
+    return rows.groupBy(*by).agg(F.bround(F.avg(ratio), 6).alias("weight"))
+
+
+def encoded(rows: DataFrame, target: str, missing: str = "drop") -> DataFrame:
+    """Rows with a target; those without one are dropped, or with ``missing="raise"`` fail the query."""
+    known = F.col(target).isNotNull()
+    if missing == "raise":
+        return rows.where(F.when(~known, F.raise_error(F.lit(f"a row has no {target}")).cast("boolean")).otherwise(True))
+    return rows.where(known)

@@ -254,3 +254,25 @@ def train_eval(spark, sf):
     models_ = models.train_linear(rows.where("vec_id % 5 <> 0"), ["seed"], "embedding", "target", "vec_id")
     scored = rows.where("vec_id % 5 = 0").join(models_.select("seed", "weights"), "seed").withColumn("predicted", models.predict_linear(F.col("embedding"), F.col("weights")))
     return models.evaluate(scored, ["seed"], "predicted", "target", 1.0)
+
+
+@query()
+def train_networks(spark, sf):
+    """Networks with and without an auxiliary head, evaluated on rows that they haven't seen."""
+    rows = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 2).alias("seed"), "embedding", F.col("label").cast("double").alias("target"), F.array(F.element_at("embedding", 1).cast("double")).alias("aux"))
+    seen, exam = rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0")
+    arms = [models.train_networks(seen, [], "seed", "embedding", "target", "vec_id", 8, aux, 0.1, updates=200).withColumn("arm", F.lit(name)) for name, aux in (("raw", None), ("aux", "aux"))]
+    nets = arms[0].unionByName(arms[1])
+    scored = exam.join(nets, "seed").withColumn("predicted", models.predict_network(F.col("embedding"), F.col("into"), F.col("shift"), F.col("out"), F.col("bias")))
+    return models.evaluate(scored, ["arm", "seed"], "predicted", "target", 1.0)
+
+
+@query("""SELECT l_returnflag, round_even(avg(l_quantity / nullif(l_linenumber, 0)), 6) AS weight FROM lineitem GROUP BY 1""")
+def auxiliary_weights(spark, sf):
+    return models.auxiliary_weight(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_linenumber")
+
+
+@query("""SELECT count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NOT NULL""")
+def encode_split(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return models.encoded(rows, "quality").agg(F.count(F.lit(1)).alias("n"))
