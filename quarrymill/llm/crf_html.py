@@ -12,7 +12,8 @@ features are hidden at random while fitting, so that text features carry weight
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,15 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.words import frugal
+
 #: Tags that end a block, and tags whose contents are no text. Fixed values of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol "
     "option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: A quote opens a quoted value only after an equals sign; any other is a character like others, as is one that nothing closes.
+ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|title)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>|<[a-z!?/][^<>]*\Z|[^<]+|<",
     re.I | re.S,
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -39,23 +44,77 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    """Features of a block's ancestors, its innermost block tag, whether it is within an article and within another marked region, text, and how much of it is linked."""
+
+    ancestors: frozenset[str]
+    inner: str
+    main: bool
+    other: bool
     text: str
     linked: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in order, with character references decoded and white space collapsed."""
+class _Open:
+    """The elements open at a place of a page. What a block needs to know of them is counted as they open and close."""
+
+    def __init__(self, known: Container[str] | None):
+        self.stack: list[tuple[str, tuple[str, ...], bool, bool]] = []
+        self.blocks: list[int] = []
+        self.tags, self.counts, self.known = Counter(), Counter(), known
+        self.main = self.other = 0
+        self.features: frozenset[str] | None = frozenset()
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        found = ("T:" + tag, *("N:" + n for n in names))
+        found = found if self.known is None else tuple(f for f in found if f in self.known)
+        main, other = tag in ("article", "main"), is_other(tag, names)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, found, main, other))
+        self.tags[tag] += 1
+        self.main += main
+        self.other += other
+        for f in found:
+            if not self.counts[f]:
+                self.features = None
+            self.counts[f] += 1
+
+    def pop(self) -> str:
+        tag, found, main, other = self.stack.pop()
+        if tag in BLOCK_TAGS:
+            self.blocks.pop()
+        self.tags[tag] -= 1
+        self.main -= main
+        self.other -= other
+        for f in found:
+            self.counts[f] -= 1
+            if not self.counts[f]:
+                del self.counts[f]
+                self.features = None
+        return tag
+
+    def inner(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+    def block(self, text: str, linked: int) -> Block:
+        if self.features is None:
+            self.features = frozenset(self.counts)
+        return Block(self.features, self.inner(), self.main > 0, self.other > 0, text, linked)
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The page's blocks that have text, in order, with character references decoded and white space collapsed. Of the
+    ancestors' features only ``known`` ones are kept, if that is given."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open(known)
     text: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush():
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(tuple(stack), joined, linked))
+            out.append(open_.block(joined, linked))
         text.clear()
         linked = 0
 
@@ -66,31 +125,23 @@ def leaf_blocks(page: str) -> list[Block]:
             if piece[0] != "<" or len(piece) == 1:
                 piece = html.unescape(piece)
                 text.append(piece)
-                linked += len(piece) if links else 0
+                linked += len(piece) if open_.tags["a"] else 0
             continue
         tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_.tags[tag]:
+                while open_.pop() != tag:
                     pass
-                links = sum(t == "a" for t, _ in stack)
         elif tag == "br":
             text.append(" ")
         elif tag not in VOID_TAGS:
-            if tag in BLOCK_TAGS:
-                closes = SELF_CLOSING.get(tag, {"p"})
-                # Look no further up than the nearest container.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
-            names = tuple(p for a in NAMES.findall(m[4]) for p in PARTS.findall("".join(a).lower())) if m[4] else ()
-            stack.append((tag, names))
-            links = sum(t == "a" for t, _ in stack)
+            if tag in BLOCK_TAGS and open_.inner() in SELF_CLOSING.get(tag, {"p"}):
+                # No further up than the nearest container.
+                for _ in range(len(open_.stack) - open_.blocks[-1]):
+                    open_.pop()
+            open_.push(tag, tuple(p for a in NAMES.findall(m[4]) for p in PARTS.findall("".join(a).lower())) if m[4] else ())
     flush()
     return out
 
@@ -102,18 +153,14 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """The features of each block: ancestors first (they begin with a capital), then text."""
     out = []
     for k, b in enumerate(blocks):
-        found = {"B"}
-        for tag, names in b.path:
-            found.add("T:" + tag)
-            found.update("N:" + n for n in names)
-        inner = next((t for t, _ in reversed(b.path) if t in BLOCK_TAGS), "")
-        found.add("P:" + inner)
+        found = {"B", *b.ancestors}
+        found.add("P:" + b.inner)
         words = b.text.count(" ") + 1
         found.add(f"words:{words.bit_length()}")
         found.add(f"links:{4 * b.linked // max(1, len(b.text))}")
         found.add("end:" + ("stop" if b.text[-1] in ".!?…\"'”)" else "word" if b.text[-1].isalnum() else "other"))
         found.add(f"stops:{min(3, sum(map(b.text.count, '.!?')))}")
-        found.update("cue:" + c.lower() for c in CUES.findall(b.text[:400]))
+        found.update("cue:" + c.lower() for c in CUES.findall(b.text))
         found.add("first" if not k else "last" if k == len(blocks) - 1 else "mid")
         out.append(sorted(found))
     return out
@@ -299,17 +346,19 @@ def grammar_pages(n: int, seed: int = 3) -> list[tuple[list[list[str]], list[int
     return out
 
 
+OTHER_NAMES = frozenset(n for _, ns, _ in OTHER_REGIONS.values() for n in ns)
+
+
+def is_other(tag: str, names: tuple[str, ...]) -> bool:
+    """Whether an element's markup tells that it is no part of the article."""
+    return tag in ("nav", "footer", "aside", "form", "header") or (tag in ("div", "section", "ul", "ol", "p") and not OTHER_NAMES.isdisjoint(names))
+
+
 def marked_labels(blocks: list[Block]) -> list[int] | None:
     """Labels of a page whose markup tells them: text within article or main, and not within a marked other region."""
-    names = {n for _, ns, _ in OTHER_REGIONS.values() for n in ns}
-    labels = []
-    for b in blocks:
-        tags = [t for t, _ in b.path]
-        other = any(t in ("nav", "footer", "aside", "form", "header") or (t in ("div", "section", "ul", "ol", "p") and names & set(ns)) for t, ns in b.path)
-        inside = "article" in tags or "main" in tags
-        if not other and not inside:
-            return None
-        labels.append(int(inside and not other))
+    if any(not b.other and not b.main for b in blocks):
+        return None
+    labels = [int(b.main and not b.other) for b in blocks]
     return labels if any(labels) else None
 
 
@@ -328,10 +377,10 @@ def fit(pages: DataFrame, sample_pages: int = 300, made_pages: int = 500) -> Mod
 
 
 def main_text(page: str | None, model: Model, moves: list[list[float]]) -> str:
-    blocks = leaf_blocks(page or "")
+    known = model.vocabulary
+    blocks = leaf_blocks(page or "", known)
     if not blocks:
         return ""
-    known = model.vocabulary
     ids = [[known[f] for f in fs if f in known] for fs in features(blocks)]
     labels = viterbi(_scores(model, ids).tolist(), moves)
     return "\n".join(b.text for b, y in zip(blocks, labels) if y)
@@ -351,4 +400,4 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             yield pd.Series([main_text(p, model, moves) for p in part], dtype=object)
 
-    return pages.select("page_id", "url", F.pandas_udf(run, "string")(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select("page_id", "url", F.pandas_udf(frugal(run), "string")(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
