@@ -6,23 +6,25 @@ whose codeword has the least loss, bits weighted by how well their classifier do
 text whose two nearest codewords are about as near is flagged.
 
 The classifiers are naive Bayes log-odds, so fitting takes n-gram counts by language alone. They are counted on a
-bounded sample of labelled rows; what the driver gets is one vector of counts a language and partition of the sample,
-whose sizes the settings fix.
+bounded sample of labelled rows; what the driver gets is one packed vector of counts a language and partition of the
+sample, and it unpacks one at a time.
 """
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.ftrl import fold
+from quarrymill.llm.words import frugal
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII characters that aren't letters become spaces; bytes of other letters stay.
 PLAIN = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
@@ -36,8 +38,6 @@ class Settings:
     sample_rows: int = 16_000
     #: Partitions that count them.
     sample_parts: int = 8
-    #: Languages are at most this many; the rarest beyond that aren't learned.
-    most_langs: int = 200
     #: A decision is ambiguous if the two best codewords' scores differ by less than this.
     ambiguous: float = 0.2
 
@@ -59,7 +59,8 @@ def buckets(text: str, s: Settings) -> Iterator[np.ndarray]:
         for n in range(2, max(s.orders) + 1):
             key = (key[:-1] << np.uint32(8)) | part[n - 1 :]
             if n in s.orders:
-                yield ((key ^ np.uint32(n * 0x01000193)) * np.uint32(2654435761)) >> np.uint32(32 - s.bits)
+                # Those that begin in the next stretch are that one's.
+                yield ((key[: 1 << 16] ^ np.uint32(n * 0x01000193)) * np.uint32(2654435761)) >> np.uint32(32 - s.bits)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -71,8 +72,9 @@ def codewords(n: int) -> np.ndarray:
         return np.array(columns, np.int8).T
     rng, width = np.random.default_rng(7), max(15, int(np.ceil(10 * np.log2(n))))
     tries = [rng.choice(np.array([-1, 1], np.int8), (n, width)) for _ in range(64)]
-    spread = [min(int((a != b).sum()) for i, a in enumerate(t) for b in t[:i]) for t in tries]
-    return tries[int(np.argmax(spread))]
+    # Two codewords agree in the more bits the larger their product is.
+    alike = [t.astype(np.int32) @ t.T.astype(np.int32) - 2 * width * np.eye(n, dtype=np.int32) for t in tries]
+    return tries[int(np.argmin([a.max() for a in alike]))]
 
 
 def _count(s: Settings):
@@ -83,7 +85,7 @@ def _count(s: Settings):
                 own = sums.setdefault(lang, np.zeros(1 << s.bits, np.int32))
                 for b in buckets(text or "", s):
                     np.add.at(own, b, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["lang", "counts"])
 
     return run
 
@@ -91,7 +93,7 @@ def _count(s: Settings):
 def fit(docs: DataFrame, may_learn: Column, settings: Settings = Settings()) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) for which ``may_learn`` holds and lang isn't null."""
     known = docs.where(F.col("lang").isNotNull() & may_learn)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_langs).collect()
+    sizes = known.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], codewords(0), np.zeros((0, 0), np.float32), np.zeros(0))
@@ -102,16 +104,25 @@ def fit(docs: DataFrame, may_learn: Column, settings: Settings = Settings()) ->
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(u < F.coalesce(F.try_element_at(F.create_map(*rates), F.col("lang")), F.lit(0.0))).select("doc_id", "lang", "text")
     sample = sample.repartition(settings.sample_parts, "doc_id").select("lang", "text")
-    got = sample.mapInArrow(_count(settings), "lang string, counts binary").toPandas()
-    counts = np.zeros((len(langs), 1 << settings.bits))
-    for lang, c in zip(got["lang"], got["counts"]):
-        counts[langs.index(lang)] += np.frombuffer(c, np.int32)
-    p = (counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * counts.shape[1])
+    got = sample.mapInArrow(frugal(_count(settings)), "lang string, counts binary").toPandas()
+    own = {lang: list(g) for lang, g in got.groupby("lang")["counts"]}
+
+    def frequencies(lang: str) -> np.ndarray:
+        counts = np.full(1 << settings.bits, 0.1)
+        for c in own.get(lang, []):
+            counts += np.frombuffer(zlib.decompress(c), np.int32)
+        return counts / counts.sum()
+
+    # One language at a time, since there may be very many.
     code = codewords(len(langs))
-    table = np.stack([np.log(p[code[:, j] > 0].mean(0) / p[code[:, j] < 0].mean(0)) for j in range(code.shape[1])], 1) if code.size else np.zeros((counts.shape[1], 0))
+    with_bit, without = (np.zeros((1 << settings.bits, code.shape[1])) for _ in range(2))
+    for lang, word in zip(langs, code):
+        p = frequencies(lang)[:, None]
+        with_bit[:, word > 0] += p
+        without[:, word < 0] += p
+    table = np.log((with_bit / np.maximum(1, (code > 0).sum(0))) / (without / np.maximum(1, (code < 0).sum(0))))
     # A bit's weight: how far apart its classifier holds the languages' own n-gram distributions.
-    margins = p @ table
-    weights = np.clip((margins * code).min(0), 0.05, None) if code.size else np.zeros(0)
+    weights = np.clip(np.min([(frequencies(lang) @ table) * word for lang, word in zip(langs, code)], axis=0), 0.05, None)
     return Model(langs, code, table.astype(np.float32), weights / max(weights.sum(), 1e-9))
 
 
@@ -148,7 +159,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), tex
                 out.append((model.langs[best], float(scores[best]), bool(scores[best] - second < settings.ambiguous)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
-    found = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")(F.col(text))
+    found = F.pandas_udf(frugal(run), "lang_pred string, score double, ambiguous boolean")(F.col(text))
     return docs.withColumn("__found", found).select(*docs.columns, "__found.lang_pred", "__found.score", "__found.ambiguous")
 
 
