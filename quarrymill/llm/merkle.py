@@ -7,7 +7,8 @@ Two replicas are compared from the top: only the children of nodes that differ a
 one comparison, and a corrupt record is found after as many steps as the tree has levels.
 
 The trees are DataFrames of nodes (level, file, place, digest). A record's place is its rank by offset in its file,
-and a file holds a bounded number of records by construction, as archives do.
+and a file holds about a fixed number of records, as archives do: rows that are equal more often than that are dealt
+out over several files.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from quarrymill.session import Scratch
 #: Records that a file holds on average, and children of a node.
 FILE_RECORDS = 1000
 FAN = 16
+#: Up to so many rows that are equal more often than a file holds records are told by a broadcast; more by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def warc_record(uri: Column, record_id: Column, payload: Column) -> Column:
-    """The bytes of a response record, as UTF-8; a null part counts as empty."""
+def warc_record(uri: Column, record_id: Column, payload: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
+    """The bytes of a resource record, as UTF-8; a null part counts as empty. The date is that of the archive, as rows have none."""
     body = F.coalesce(payload, F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(uri, F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:record:"),
-        F.coalesce(record_id.cast("string"), F.lit("")), F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.coalesce(record_id.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
@@ -35,11 +38,17 @@ def warc_record(uri: Column, record_id: Column, payload: Column) -> Column:
 def archive(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
     """Records of ``pages`` laid out in files: file, place, offset, length, record_id, record.
 
-    The file is a hash of the key and the URI; within it records are ordered by key, URI and content. Repeated rows
-    are records of their own, next to each other.
+    The file is a hash of the row; within it records are ordered by key, URI and content. Repeated rows are records of
+    their own, next to each other, and those of a row that is there more than ``file_records`` times are dealt out over
+    as many files as they fill. Ties are rows that are equal throughout, so their order doesn't matter.
     """
     n_files = max(1, -(-pages.count() // file_records))
-    rows = pages.select(F.col(key).alias("record_id"), F.pmod(F.xxhash64(key, uri, payload), F.lit(n_files)).alias("file"), F.col(uri).alias("__uri"), warc_record(F.col(uri), F.col(key), F.col(payload)).alias("record"))
+    rows = pages.select(F.col(key).alias("record_id"), F.col(uri).alias("__uri"), F.col(payload).alias("__payload"), F.xxhash64(key, uri, payload).alias("__h"))
+    often = rows.groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / file_records).alias("__parts")).where("__parts > 1")
+    few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(often) if few else often, "__h", "left")
+    part = F.when(F.col("__parts").isNull(), F.col("__h")).otherwise(F.xxhash64("__h", F.pmod(F.monotonically_increasing_id(), F.col("__parts"))))
+    rows = rows.select("record_id", F.pmod(part, F.lit(n_files)).alias("file"), "__uri", warc_record(F.col("__uri"), F.col("record_id"), F.col("__payload")).alias("record"))
     rows = rows.withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("file").orderBy("record_id", "__uri", F.xxhash64("record"), "record")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
