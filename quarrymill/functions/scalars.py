@@ -65,3 +65,13 @@ def slug(text: Column, width: int = 24) -> Column:
 def parameter_label(n: Column) -> Column:
     """12000 as 12K, 1500000 as 1.5M."""
     return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000.0), F.lit("M"))).when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def date_in(text: Column) -> Column:
+    """The first eight digits in a row as a date; null if there are none or they are no date."""
+    return F.try_to_date(F.nullif(F.regexp_extract(text, r"(\d{8})", 1), F.lit("")), "yyyyMMdd")
+
+
+def dig(json: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where the path ends early."""
+    return F.get_json_object(json, "$." + path)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Comparison signs of a tag expression, in the order in which they are looked for. Fixed values.
@@ -73,3 +73,9 @@ def coverage(rows: DataFrame, dimensions: Sequence[str]) -> DataFrame:
 def page(rows: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50) -> DataFrame:
     """One page of at most 500 rows; end ``order`` with a unique column."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(500, max(1, limit)))
+
+
+def top_facets(facets: DataFrame, facet: str, key: str, n: str, most: int = 8) -> DataFrame:
+    """The commonest keys of each facet, equal ones by key. A facet's distinct keys are few."""
+    rank = F.row_number().over(Window.partitionBy(facet).orderBy(F.desc(n), F.asc_nulls_first(key)))
+    return facets.withColumn("rank", rank).where(F.col("rank") <= most)

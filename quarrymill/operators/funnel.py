@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import common_prefix
@@ -19,6 +19,21 @@ def imported_positions(positions: DataFrame, key: str, file: str, line: str, gam
     return out
 
 
+#: The streams of a funnel run's folder. Fixed values.
+STREAMS = ("positions", "tier0", "tier1", "triage", "tier3", "tier4")
+
+
+def read_run(spark: SparkSession, path: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The streams of a run's folder by name, JSON lines each; one that isn't there is empty. schemas: by stream."""
+    jvm = spark._jvm
+    out = {}
+    for name in STREAMS:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.jsonl")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        out[name] = spark.read.schema(schemas[name]).json(at.toString()) if there else spark.createDataFrame([], schemas[name])
+    return out
+
+
 def funnel_ids(rows: DataFrame, sources: DataFrame, source: str, row: str, funnel_id: str) -> DataFrame:
     """rows with their funnel id, looked up by source and row number, since row numbers of several sources collide."""
     return rows.join(sources.select(source, row, funnel_id), [source, row], "left")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.scalars import dig
+
 
 def unknown_records(labels: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Labels of records that don't exist; registering must refuse a set that has any."""
@@ -37,14 +39,15 @@ def has_all(labels: DataFrame, key: str, families: Sequence[str]) -> DataFrame:
     return per.where(F.col("n") == len(need)).select(key)
 
 
-def matching(labels: DataFrame, budget: dict[str, float] | None = None, **equal: object) -> Column:
-    """A predicate: equal columns, and a budget map that holds the asked entries (it may hold more)."""
+def matching(labels: DataFrame, budget: dict[str, float] | None = None, value_path: str | None = None, **equal: object) -> Column:
+    """A predicate: equal columns, a budget map that holds the asked entries (it may hold more), and a JSON ``value`` that has
+    something at a dotted path."""
     cond = F.lit(True)
     for column, value in equal.items():
         cond &= F.col(column) == F.lit(value)
     for k, v in (budget or {}).items():
         cond &= F.try_element_at("budget", F.lit(k)) == F.lit(v)
-    return cond
+    return cond & dig(F.col("value"), value_path).isNotNull() if value_path else cond
 
 
 def not_exactly_one(records: DataFrame, labels: DataFrame, key: str, spec: Column) -> DataFrame:

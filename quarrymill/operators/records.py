@@ -125,3 +125,31 @@ def same_order(left: DataFrame, right: DataFrame, key: str, position: str) -> Da
     joined = a.join(b, "p", "full_outer")
     differ = F.count_if(~F.col("a").eqNullSafe(F.col("b")))
     return joined.agg(F.count("a").alias("left"), F.count("b").alias("right"), differ.alias("differ"), (differ == 0).alias("same"))
+
+
+def unseen(store: DataFrame, fresh: DataFrame, identity: str) -> DataFrame:
+    """What a content-addressed store lacks: one row of each identity that it doesn't hold. Writing these again adds nothing."""
+    return fresh.dropDuplicates([identity]).join(store.select(identity), identity, "left_anti")
+
+
+def snapshot(positions: DataFrame, games: DataFrame, path: str) -> DataFrame:
+    """Writes a pool once, as two tables that refuse to be overwritten, and gives back its manifest: table, rows, rows_hash.
+
+    Repeated positions stay; a pool isn't deduplicated.
+    """
+    spark, parts = positions.sparkSession, []
+    for name, df in (("positions", positions), ("games", games)):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        kept = spark.read.parquet(f"{path}/{name}")
+        line = F.to_json(F.struct(*sorted(kept.columns)), {"ignoreNullFields": "false"})
+        parts.append(kept.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), content_hash(line).alias("rows_hash")))
+    return parts[0].unionByName(parts[1])
+
+
+def rebuilt(records: DataFrame, selected: Column, seed: int, before: DataFrame, **policy: object) -> DataFrame:
+    """A dataset's selection replayed on new records: frozen again by the same seed and policy. It must differ from what it was
+    before, or there is nothing to rebuild."""
+    fresh = frozen(records.where(selected), seed, **policy)
+    if verification(fresh, manifest(before)).isEmpty():
+        raise ValueError("the dataset would be the same")
+    return fresh

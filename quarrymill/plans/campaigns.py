@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrymill.operators import campaigns, funnel, stats, triage
+from quarrymill.functions import sql
+from quarrymill.functions.scalars import date_in, dig
+from quarrymill.operators import campaigns, catalog, funnel, labels, records, stats, triage
 from quarrymill.plans.registering import registers
 from quarrymill.plans.studies import D_SQL, RUNS_SQL, _contrast, _runs
+from quarrymill.plans.writing import HASH
 from quarrymill.session import table
 
 QUERIES: dict = {}
@@ -310,3 +313,51 @@ def nine_component_priority(spark, sf):
     rows = _nine(spark, sf)
     score, _ = triage.priority({c: (F.col(c), 2.0 if c == "a" else 1.0) for c in "abcdefghi"})
     return rows.select("o_orderkey", F.bround(score, 4).alias("priority"))
+
+
+@query(f"""SELECT l_returnflag AS arm, count(*) AS rows, count(DISTINCT l_orderkey) AS ids, {HASH.format("l_orderkey::VARCHAR")} AS ids_hash, sum(l_quantity) AS cost FROM lineitem GROUP BY 1""")
+def prefix_proofs(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity")
+    flags = [r[0] for r in lines.select("l_returnflag").distinct().orderBy("l_returnflag").limit(100).collect()]
+    parts = [campaigns.prefix_proof(lines.where(F.col("l_returnflag") == f), "l_orderkey", "l_quantity").select(F.lit(f).alias("arm"), "*") for f in flags]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""WITH f AS (SELECT 'nation' AS facet, c_nationkey::VARCHAR AS key, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY 2)
+    SELECT facet, key, n, row_number() OVER (PARTITION BY facet ORDER BY n DESC, key)::INT AS rank FROM f QUALIFY rank <= 8""")
+def top_8_facets(spark, sf):
+    pairs = F.array(F.struct(F.lit("nation").alias("facet"), F.col("c_nationkey").cast("string").alias("key")), F.struct(F.lit("segment").alias("facet"), F.col("c_mktsegment").alias("key")))
+    facets = table(spark, sf, "customer").select(F.inline(pairs)).groupBy("facet", "key").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.top_facets(facets, "facet", "key", "n")
+
+
+@query("""SELECT event_type, count(json_extract_string(props, '$.k')) AS with_path, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) FILTER (event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL) AS matched FROM events GROUP BY 1""")
+def target_value_paths(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", F.col("props").alias("value"))
+    found = dig(F.col("value"), "k")
+    return rows.groupBy("event_type").agg(F.count(found).alias("with_path"), F.sum(found.cast("long")).alias("total"), F.count_if(labels.matching(rows, value_path="k", event_type="click")).alias("matched"))
+
+
+@query("""SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT') GROUP BY 1, 2""")
+def policy_store(spark, sf):
+    """How many orders a customer has of each priority that a store of identities, which holds the urgent ones, lacks."""
+    rows = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("identity", campaigns.identity_hash(F.col("o_custkey"), F.col("o_orderpriority")))
+    return records.unseen(rows.where("o_orderpriority = '1-URGENT'"), rows, "identity").drop("identity")
+
+
+@query("""SELECT c_custkey, round_even(1 / (1 + pow(10.0, -c_acctbal / 400.0)), 6) AS rating, round_even(('0x' || substr(sha256('4:' || c_custkey), 1, 8))::BIGINT / 4294967296.0, 9) AS unit,
+    'rec_' || substr(sha256(lower(c_name)), 1, 20) AS id FROM customer""")
+def sql_functions(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "customer").createOrReplaceTempView("quarrymill_customer")
+    return spark.sql("SELECT c_custkey, bround(rating_score(c_acctbal), 6) AS rating, bround(split_unit(4, cast(c_custkey AS STRING)), 9) AS unit, content_id(canonical_text(c_name)) AS id FROM quarrymill_customer")
+
+
+@query("""SELECT o_orderpriority, count(d) AS dated, min(d) AS first FROM (SELECT o_orderpriority, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d')::DATE AS d FROM orders) GROUP BY 1""")
+def dates_in_names(spark, sf):
+    d = date_in(F.concat(F.lit("run-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json")))
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(d).alias("dated"), F.min(d).alias("first"))

@@ -203,3 +203,22 @@ def test_bought_prefix_stops_at_its_target(spark):
 def test_object_numbers(spark):
     objects = spark.createDataFrame([("D2",), ("D10",), ("M3",), ("D1x",)], "id string")
     assert funnel.next_number(objects, "id", "D") == 11 and funnel.next_number(objects, "id", "D", [40]) == 41 and funnel.next_number(objects, "id", "Q") == 1
+
+
+def test_runs_and_pools_are_read_and_written(spark, tmp_path):
+    (tmp_path / "positions.jsonl").write_text('{"id": "a", "fen": "x"}\n\n{"id": "b", "fen": "y"}\n')
+    run = funnel.read_run(spark, str(tmp_path), {s: "id string, fen string" for s in funnel.STREAMS})
+    assert run["positions"].where("id is not null").count() == 2 and run["tier4"].count() == 0
+    kept = records.snapshot(run["positions"], run["tier0"], str(tmp_path / "pool"))
+    assert {r["table"]: r["rows"] for r in kept.collect()}["games"] == 0
+    with pytest.raises(Exception):
+        records.snapshot(run["positions"], run["tier0"], str(tmp_path / "pool"))
+
+
+def test_rebuilding_refuses_to_repeat(rows):
+    _, df = rows
+    kept = normalized(df).where("not group_unknown")
+    before = records.frozen(kept, 5)
+    with pytest.raises(ValueError, match="the same"):
+        records.rebuilt(kept, F.lit(True), 5, before)
+    assert records.rebuilt(kept, F.col("source") == "a", 5, before).where("source <> 'a'").count() == 0
