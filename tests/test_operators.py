@@ -164,7 +164,7 @@ def test_scalars(spark):
 
 
 def test_positions(spark):
-    fens = [START, "8/8/8/8/8/8/8/8 w - - 0 1", "k7/8/8/8/8/8/R7/q3K3 b - - 3 12", "garbage"]
+    fens = [START, "8/8/8/8/8/8/8/8 w - - 0 1", "k7/3n4/8/8/2P5/8/6R1/q4NK1 b - - 3 12", "garbage"]
     rows = spark.createDataFrame([(f,) for f in fens], "fen string")
     assert [r[0] for r in rows.select(positions.is_well_formed(F.col("fen"))).collect()] == [True, False, True, False]
     row = rows.limit(1).select(positions.material_balance(F.col("fen")), positions.phase(F.col("fen")), positions.signature(F.col("fen")), F.size(positions.active_inputs(F.col("fen"))), positions.ply(F.col("fen"))).first()
