@@ -11,6 +11,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from xxhash import xxh3_64_intdigest
 
 #: Odd multipliers for combining and finishing hashes (fixed values of a well-known 64-bit finaliser and its kin).
@@ -76,6 +77,18 @@ def crc(key: object) -> int:
     return zlib.crc32(str(key).encode())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that neither an executor nor its Python workers hold much more text than they work on.
+
+    A setting of the session, read when a query starts; smaller ones than these stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some ``most_bytes`` of text in ``column``, or of one row that has more."""
     for batch in batches:
