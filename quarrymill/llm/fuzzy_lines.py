@@ -6,8 +6,8 @@ shingle sets, and are joined by a distributed union-find. Of each component the
 then by place.
 
 Shingles of 5 characters let a line of 49 characters or more meet its variant with one other letter; a shorter line's
-variant is below 80 % unless the letter is near an end. With 6 rows in each of 21 bands, two lines that are 80 % similar
-meet with a chance of 0.998, at 90 % of 0.9999999; unrelated lines of one language, some of which share 10 % of such short
+variant is below 80 % unless the letter is near an end. With 5 rows in each of 16 bands, two lines that are 80 % similar
+meet with a chance of 0.998, at 90 % of 0.999999; unrelated lines of one language, some of which share 10 % of such short
 shingles, meet by chance in fewer bands the more rows a band has.
 """
 
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.pairing import linked_components, long_lists
-from quarrymill.llm.words import M2, mix
+from quarrymill.llm.pairing import BUCKETS, WORDS, linked_components
+from quarrymill.llm.words import M2, frugal, mix
 from quarrymill.session import Scratch
 
 #: Up to so many documents or lines are picked by a broadcast of their ids; more by a shuffle.
@@ -41,7 +41,7 @@ class Settings:
 
 
 #: What lines are compared by unless a caller says otherwise.
-LINES = Settings(shingle=5, bands=21, rows=6)
+LINES = Settings(shingle=5, bands=16, rows=5)
 
 
 _kept_powers: list[np.ndarray] = []
@@ -101,10 +101,17 @@ def _bands(s: Settings):
     return run
 
 
-def _shingles(lines: list[str], size: int) -> list[np.ndarray]:
-    """The set of each line, sorted."""
+def _keys(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of up to 256 lines: the line's number in the top 8 bits and the shingle's hash below, sorted; and the
+    place of each in its line, of its first occurrence."""
     h, starts = shingle_hashes(lines, size)
-    return [np.unique(x) for x in np.split(h, starts[1:])] if lines else []
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+    keys, at = np.unique(line << np.uint64(56) | h >> np.uint64(8), return_index=True)
+    return keys, at - starts[(keys >> np.uint64(56)).astype(np.int64)]
+
+
+def _per_line(keys: np.ndarray, lines: int) -> np.ndarray:
+    return np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=lines)
 
 
 def _sizes(s: Settings):
@@ -112,31 +119,45 @@ def _sizes(s: Settings):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                n = [len(x) for x in _shingles(batch.column("line").to_pylist(), s.shingle)]
+                n = _per_line(_keys(batch.column("line").to_pylist(), s.shingle)[0], batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "line")), pa.array(n, pa.int32())], ["doc_id", "at", "line", "n"])
 
     return run
 
 
-def _elements(s: Settings):
+def _compared(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), long_lists(_shingles(batch.column("line").to_pylist(), s.shingle))], ["doc_id", "at", "shingles"])
+                a, b = (_keys(batch.column(c).to_pylist(), s.shingle)[0] for c in ("la", "lb"))
+                sizes = [pa.array(_per_line(x, batch.num_rows), pa.int32()) for x in (a, b, np.intersect1d(a, b, assume_unique=True))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *sizes], ["a_id", "a_at", "b_id", "b_at", "na", "nb", "common"])
 
     return run
 
 
-def _compared(s: Settings):
+def _spread(s: Settings):
+    """Counts of the shingles of line a that line b has, by their places in line a, as an edit of b costs most of one count;
+    and a bitmap of the other shingles of line b."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                a, b = (_shingles(batch.column(c).to_pylist(), s.shingle) for c in ("la", "lb"))
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-                sizes = [pa.array(x, pa.int32()) for x in ([len(x) for x in a], [len(x) for x in b], common)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *sizes], ["a_id", "a_at", "b_id", "b_at", "na", "nb", "common"])
+                n = batch.num_rows
+                (a, at), (b, _) = (_keys(batch.column(c).to_pylist(), s.shingle) for c in ("la", "lb"))
+                pair = (a >> np.uint64(56)).astype(np.int64)
+                most = np.zeros(n, np.int64)
+                np.maximum.at(most, pair, at)
+                bucket = pair * BUCKETS + at * BUCKETS // (most[pair] + 1)
+                spread = np.bincount(bucket[np.isin(a, b, assume_unique=True)], minlength=n * BUCKETS).astype(np.int32)
+                rest = np.setdiff1d(b, a, assume_unique=True)
+                bits = np.zeros(n * WORDS, np.uint64)
+                place = (rest >> np.uint64(56)) * np.uint64(WORDS) + rest % np.uint64(WORDS)
+                np.bitwise_or.at(bits, place.astype(np.int64), np.uint64(1) << (rest >> np.uint64(8) & np.uint64(63)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(x)) for k, x in ((BUCKETS, spread), (WORDS, bits.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *lists], ["a_id", "a_at", "b_id", "b_at", "spread", "bits"])
 
     return run
 
@@ -155,7 +176,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     """(doc_id, at): the lines to remove, as places in their documents, from 0."""
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     keyed = lines_of(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit("second"))})
-    signed = keyed.mapInArrow(_bands(s), "doc_id long, at int, k1 long, k2 long, bands array<long>")
+    signed = keyed.mapInArrow(frugal(_bands(s)), "doc_id long, at int, k1 long, k2 long, bands array<long>")
     # All of a class have the same bands, so any of them will do.
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("node"), F.first("bands").alias("bands"))
     classes = scratch.table(classes, "classes")
@@ -166,22 +187,24 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     root = classes.select("k1", "k2", "node")
     if not nodes.isEmpty():
         wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-        texts = scratch.table(wanted.mapInArrow(_sizes(s), "doc_id long, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
+        texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), "doc_id long, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
         postings = scratch.table(postings.join(texts.select("node", "n"), "node"), "postings")
 
-        def compare(pairs: DataFrame) -> DataFrame:
+        def both(pairs: DataFrame, run, schema: str) -> DataFrame:
             # Lines are some ten times shorter than their shingle sets, so the sets are made where two lines meet.
             ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-            both = pairs.join(tb, "b").join(ta, "a").select(F.col("a.doc_id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.doc_id").alias("b_id"), F.col("b.at").alias("b_at"), "la", "lb")
-            done = both.mapInArrow(_compared(s), "a_id long, a_at int, b_id long, b_at int, na int, nb int, common int")
+            met = pairs.join(tb, "b").join(ta, "a").select(F.col("a.doc_id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.doc_id").alias("b_id"), F.col("b.at").alias("b_at"), "la", "lb")
+            done = met.mapInArrow(frugal(run), f"a_id long, a_at int, b_id long, b_at int, {schema}")
             node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_at").alias("at")).alias(x)
-            return done.select(node("a"), node("b"), "na", "nb", "common")
+            return done.select(node("a"), node("b"), *done.columns[4:])
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            return both(pairs, _compared(s), "na int, nb int, common int")
 
-        def elements(nodes: DataFrame) -> DataFrame:
-            lines = texts.join(nodes, "node", "left_semi").select("node.doc_id", "node.at", "line")
-            return lines.mapInArrow(_elements(s), "doc_id long, at int, shingles array<long>").select(F.struct("doc_id", "at").alias("node"), F.explode("shingles").alias("s"))
+        def spread(pairs: DataFrame) -> DataFrame:
+            return both(pairs, _spread(s), "spread array<int>, bits array<long>")
 
-        comp = linked_components(postings, compare, elements, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
+        comp = linked_components(postings, compare, None, spread, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
         root = root.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("node"))
     places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
     return places.where(F.struct("doc_id", "at") != F.col("node")).select("doc_id", "at")

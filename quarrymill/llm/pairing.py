@@ -67,32 +67,35 @@ def linked_components(
     # The most central member is the one in most company.
     sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     company = scratch.table(postings.join(sizes, "token").groupBy("node").agg(F.sum("df").alias("company")), "company")
-    first = F.min(F.struct((-F.col("company")).alias("order"), "node")).alias("p")
-    pivots = scratch.table(postings.join(company, "node").groupBy("token").agg(first).select("token", F.col("p.node").alias("pivot")), "pivots_0")
-    stars = postings.join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    first = F.min(F.struct((-F.col("company")).alias("order"), "node", "n")).alias("p")
+    pivots = scratch.table(postings.join(company, "node").groupBy("token").agg(first).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "pivots_0")
+    # Sets whose sizes alone keep them from being linked aren't compared.
+    stars = postings.join(pivots, "token").where((F.col("node") != F.col("pivot")) & enough(F.least("n", "pn"), F.col("n"), F.col("pn")))
+    stars = stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = scratch.table(linked(stars), "links_0")
     comp, left = connected_components(edges, scratch, "cc_0").select("node", F.col("component").alias("comp")), math.inf
     for k in range(1, pivot_rounds + 1):
         members = postings.join(comp, "node", "left").select("node", "n", "token", F.coalesce("comp", "node").alias("comp"))
         # A list's largest component, and its member that comes first in an order that differs from round to round.
-        order = F.struct(F.xxhash64(F.col("node"), F.lit(k)), "node")
+        order = F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("order"), "node", "n")
         parts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first"))
         lists = parts.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "comp", "first")).alias("top"), F.count(F.lit(1)).alias("parts"))
         # The pair of a list of two has been looked at.
         lists = lists.where((F.col("parts") > 1) & (F.col("all") > 2))
-        lists = scratch.table(lists.select("token", "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open"), F.col("top.comp").alias("most"), F.col("top.first.node").alias("next")), f"lists_{k}")
+        lists = scratch.table(lists.select("token", "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open"), F.col("top.comp").alias("most"), F.col("top.first.node").alias("next"), F.col("top.first.n").alias("pn")), f"lists_{k}")
         before, left = left, lists.agg(F.sum("open")).first()[0] or 0
         # Pivots that close less than a quarter of what was open aren't what is missing.
         if k == pivot_rounds or left <= few or left > 0.75 * before:
             break
-        stars = members.join(lists, "token").where("comp <> most").select(F.col("next").alias("a"), F.col("node").alias("b")).distinct()
+        stars = members.join(lists, "token").where((F.col("comp") != F.col("most")) & enough(F.least("n", "pn"), F.col("n"), F.col("pn")))
+        stars = stars.select(F.col("next").alias("a"), F.col("node").alias("b")).distinct()
         edges = scratch.table(edges.unionByName(linked(stars)), f"links_{k}")
         comp = connected_components(edges, scratch, f"cc_{k}").select("node", F.col("component").alias("comp"))
     if not left:
         return comp.select("node", F.col("comp").alias("component"))
 
     # The members of short lists, beside the pivot that all have been compared with, meet each other.
-    short = members.join(lists.where(F.col("all") <= SHORT).select("token"), "token").join(pivots, "token").where("node <> pivot").drop("pivot")
+    short = members.join(lists.where(F.col("all") <= SHORT).select("token"), "token").join(pivots, "token").where("node <> pivot").drop("pivot", "pn")
     other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")))
     fits = (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & enough(F.least("n", "n2"), F.col("n"), F.col("n2"))
     close = short.join(other, "token").where(fits).select(F.col("node").alias("a"), F.col("node2").alias("b"))
