@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.llm.words import M1, M2, WordHashes, mix
+from quarrymill.llm.words import M1, M2, WordHashes, frugal, mix, sliced, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -62,7 +62,7 @@ def buckets(text: str, hashes: WordHashes, bits: int) -> np.ndarray:
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             found = [np.unique(buckets(t or "", hashes, bits)) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
@@ -114,9 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, setti
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     sample = known.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20)) + (rate == 1.0))
     rows = docs.select("doc_id", F.col("text")).join(sample, "doc_id").select(order.alias("order"), "label", "text")
-    made = rows.mapInArrow(_features(settings.bits), "order long, label double, features array<int>")
+    made = rows.mapInArrow(frugal(_features(settings.bits)), "order long, label double, features array<int>")
     # repartition(1), unlike coalesce(1), keeps the making of features parallel.
-    got = made.repartition(1).mapInArrow(_learner(settings), "bucket long, weight double").toPandas()
+    got = made.repartition(1).mapInArrow(frugal(_learner(settings)), "bucket long, weight double").toPandas()
     bias_at = 1 << settings.bits
     is_bias = got["bucket"].to_numpy() == bias_at
     return Model(settings.bits, got["bucket"].to_numpy()[~is_bias].astype(np.int32), got["weight"].to_numpy()[~is_bias].astype(np.float32), float(got["weight"].to_numpy()[is_bias].sum()))
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, setti
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, from the text alone. A null or empty text scores as the bias does."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 out[k] = 1 / (1 + np.exp(-np.clip(model.bias + w[hit].astype(np.float64).sum(), -35, 35)))
             yield pd.Series(out)
 
-    return docs.withColumn(column, F.pandas_udf(scores, T.DoubleType())(F.col(text)))
+    return docs.withColumn(column, F.pandas_udf(frugal(scores), T.DoubleType())(F.col(text)))
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.pairing import linked_components, long_lists, shared, spread
-from quarrymill.llm.words import WordHashes, frugal, sequences, sliced
+from quarrymill.llm.words import WordHashes, frugal, sequences, sliced, small_batches
 from quarrymill.session import Scratch
 
 
@@ -88,6 +88,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), scratch: S
     ignored, and an empty table gives an empty result.
     """
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = scratch.table(docs.mapInArrow(frugal(_signatures(s)), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sigs")
     linkable = sigs.where("doc_id is not null and n_shingles > 0")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.words import M1, M2, M3, WordHashes, mix
+from quarrymill.llm.words import M1, M2, M3, WordHashes, frugal, mix
 from quarrymill.session import Scratch
 
 #: Up to so many doc_ids are broadcast to pick the texts that are looked at again; more are joined by a shuffle.
@@ -219,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 1, scratch:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = scratch.table(docs.mapInArrow(_first_pass(window, rounds), FIRST), "first")
+    first = scratch.table(docs.mapInArrow(frugal(_first_pass(window, rounds)), FIRST), "first")
     able = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     texts = able.groupBy("sequence").agg(F.min("doc_id").alias("rep"))
 
@@ -243,9 +243,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 1, scratch:
     ids = hits.select("doc_id")
     again = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id")
     again = scratch.table(again.join(hits, "doc_id"), "again")
-    places = again.mapInArrow(_windows(window, rounds), "f1 long, f2 int, doc_id long, start int")
+    places = again.mapInArrow(frugal(_windows(window, rounds)), "f1 long, f2 int, doc_id long, start int")
     firsts = places.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
     firsts = scratch.table(firsts.groupBy("doc_id").agg(F.collect_list("start").alias("firsts")), "firsts")
-    done = again.join(firsts, "doc_id", "left").mapInArrow(_last_pass(window, rounds), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    done = again.join(firsts, "doc_id", "left").mapInArrow(frugal(_last_pass(window, rounds)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     rest = out.join(ids, "doc_id", "left_anti")
     return rest.unionByName(done)
