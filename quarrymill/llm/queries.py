@@ -93,6 +93,24 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.periodic_runs import periodic_runs, planted, run_digests
+
+    return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_onebit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.onebit_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.minimax_shards import shards
+
+    return shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_join": op2_minhash_join,
@@ -104,6 +122,9 @@ QUERIES = {
     "op8_recompression": op8_recompression,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_onebit_negatives": op12_onebit_negatives,
+    "op13_minimax_shards": op13_minimax_shards,
 }
 
 ORACLE_SQL = {
@@ -140,4 +161,20 @@ ORACLE_SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    "op12_onebit_negatives": r"""
+        WITH f AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, f.vec_id, f.label = a.label AS same, list_dot_product(a.v, f.v)::BIGINT AS score
+            FROM f JOIN f a ON a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        r AS (
+            SELECT p.*, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5""",
 }
