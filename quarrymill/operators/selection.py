@@ -66,12 +66,6 @@ def forbidden_keys(schema: T.DataType, forbidden: Sequence[str], below: Sequence
     return out
 
 
-def leaking_rows(rows: DataFrame, json: str, forbidden: Sequence[str]) -> DataFrame:
-    """Rows whose JSON text has a forbidden key at any depth. A key is a quoted string before a colon."""
-    names = "|".join(forbidden)
-    return rows.where(F.coalesce(F.col(json).rlike(rf'"({names})"\s*:'), F.lit(False)))
-
-
 def in_state(rows: DataFrame, **wanted: object) -> DataFrame:
     """Rows that have each given column value; None asks for nothing."""
     cond = F.lit(True)
@@ -145,9 +139,3 @@ def catalog_order(sort: str, row: str, facts: str = "facts") -> list[Column]:
 def supersession(rows: DataFrame, chain: str, order: str, key: str) -> DataFrame:
     """rows with the key of the one before in their chain, by order."""
     return rows.withColumn("supersedes", F.lag(key).over(Window.partitionBy(chain).orderBy(order)))
-
-
-def numeric_leaves(json: Column) -> Column:
-    """How many numbers there are at any depth of a JSON text, outside its strings."""
-    bare = F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*"', '""')
-    return F.coalesce(F.regexp_count(bare, F.lit(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")), F.lit(0))

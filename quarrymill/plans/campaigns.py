@@ -294,8 +294,7 @@ def _nine(spark, sf):
     orders = table(spark, sf, "orders")
     counts = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("c"))
     rows = orders.join(F.broadcast(counts), "o_orderpriority").crossJoin(F.broadcast(orders.agg(F.count(F.lit(1)).alias("total"))))
-    k, s = F.col("o_orderkey") % 11, (F.col("o_totalprice") / 100).cast("decimal(20,2)")
-    score = F.bround(s, 0).cast("int")
+    k, score = F.col("o_orderkey") % 11, F.bround(F.col("o_totalprice") / 100, 0).cast("int")
     status = F.when(F.col("o_orderstatus") == "O", "stable-at-budget").when(F.col("o_orderstatus") == "P", "omission-risk").otherwise("odd")
     result = F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.5).otherwise(0.0)
     pv = F.array(F.lit("e4"), F.lit("e5"))

@@ -165,12 +165,6 @@ def findings_superseded(spark, sf):
     return selection.findings(orders, before, "o_orderkey", text="URGENT").select("o_orderkey", "state")
 
 
-@query("""SELECT count(*) AS rows, count(*) FILTER (regexp_matches(props, '"(k|secret)"\\s*:')) AS leaking FROM events""")
-def leak_guard(spark, sf):
-    events = table(spark, sf, "events").select("props")
-    return events.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(selection.leaking_rows(events, "props", ["k", "secret"]).agg(F.count(F.lit(1)).alias("leaking"))))
-
-
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM'""")
 def matrix_state_filter(spark, sf):
     return selection.in_state(table(spark, sf, "orders"), o_orderstatus="P", o_orderpriority="3-MEDIUM", o_custkey=None).select("o_orderkey")
@@ -222,11 +216,6 @@ def catalog_sorts(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy(*selection.catalog_order("o_orderkey", "o_custkey")).limit(50).select("o_orderkey")
 
 
-@query(r"""SELECT event_type, sum(len(regexp_extract_all(regexp_replace(props, '"[^"]*"', '""', 'g'), '-?\d+(\.\d+)?')))::BIGINT AS leaves FROM events GROUP BY 1""")
-def numeric_leaf_count(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.sum(selection.numeric_leaves(F.col("props"))).cast("long").alias("leaves"))
-
-
 @query("""SELECT count(*) AS n, sum(coalesce(a, b)) AS total, count(*) FILTER (coalesce(a, b) = 0) AS zeros FROM
     (SELECT CASE WHEN quality = 1 THEN toxic::DOUBLE END AS a, quality::DOUBLE AS b FROM labels)""")
 def outcomes(spark, sf):
