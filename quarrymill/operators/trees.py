@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A string of JSON, with its escapes.
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+WHOLE = r"^-?\d+$"
 NUMBERS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
 
 
@@ -133,16 +134,9 @@ def assert_static(rows: DataFrame, json: str, key: str, forbidden: Sequence[str]
         raise ValueError(f"record {first[0][key]!r}: " + "; ".join(f"{why}: {paths}" for why, paths in by.items()))
 
 
-def _number(value: Column) -> Column:
-    """A VARIANT's number, true and false as 1 and 0; null for all else."""
-    return F.coalesce(F.when(kind_of(value) == "NUMBER", value.try_cast("double")), F.when(kind_of(value) == "BOOLEAN", value.try_cast("boolean").cast("double")))
-
-
-def _same(a: Column, b: Column) -> Column:
-    """Equal JSON values: numbers by value, whole ones exactly; all else by canonical text."""
-    whole = F.schema_of_variant(a).eqNullSafe("BIGINT") & F.schema_of_variant(b).eqNullSafe("BIGINT")
-    x, y = _number(a), _number(b)
-    return F.when(whole, a.try_cast("bigint") == b.try_cast("bigint")).when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.to_json(a).eqNullSafe(F.to_json(b)))
+def _number(text: Column) -> Column:
+    """The number of a JSON text, true and false as 1 and 0; null for all else."""
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).when(text.rlike("^[-0-9]"), text.try_cast("double"))
 
 
 def parity(both: DataFrame, left: str, right: str, tolerances: Mapping[str, float] | None = None, accepted: Sequence[str] = (), root: str = "", depth: int | None = None) -> DataFrame:
@@ -167,31 +161,31 @@ def parity(both: DataFrame, left: str, right: str, tolerances: Mapping[str, floa
     null = F.try_parse_json(F.lit("null"))
     # Equal texts hold no difference, which spares most records the walk.
     now = both.where(~F.col(left).eqNullSafe(F.col(right))).select(*body, pair(F.lit(root), parsed(left), parsed(right), True).alias("__p"))
+    none = F.array().cast(now.select(F.array("__p").alias("x")).schema["x"].dataType)
     for _ in range(depth):
         p = F.col("__p")
-        fa, fb, ia, ib = _fields(p["a"]), _fields(p["b"]), _items(p["a"]), _items(p["b"])
+        # What several branches use is a column first, so that it is worked out once.
+        now = now.select(*body, "__p", F.when(p["fresh"], F.to_json(p["a"])).alias("__a"), F.when(p["fresh"], F.to_json(p["b"])).alias("__b")).where("__a is null or __b is null or __a <> __b")
+        starts = lambda c: F.col("__a").startswith(c) & F.col("__b").startswith(c)
+        fields, items = starts("{"), starts("[")
+        now = now.select(*body, "__p", F.when(fields, _fields(p["a"])).alias("__fa"), F.when(fields, _fields(p["b"])).alias("__fb"), F.when(items, _items(p["a"])).alias("__ia"), F.when(items, _items(p["b"])).alias("__ib"))
+        fa, fb, ia, ib = (F.col(c) for c in ("__fa", "__fb", "__ia", "__ib"))
         keys = F.array_sort(F.array_union(F.map_keys(fa), F.map_keys(fb)))
         fields = F.transform(keys, lambda k: pair(_under(p["path"], k), F.coalesce(F.try_element_at(fa, k), null), F.coalesce(F.try_element_at(fb, k), null), True))
         items = F.transform(F.sequence(F.lit(0), F.size(ia) - 1), lambda i: pair(_at(p["path"], i), F.get(ia, i), F.get(ib, i), True))
         lengths = F.concat(p["path"], F.lit(".length("), F.size(ia).cast("string"), F.lit("!="), F.size(ib).cast("string"), F.lit(")"))
-        none = F.array().cast(both.sparkSession.range(0).select(F.array(pair(F.lit(root), null, null, True)).alias("x")).schema["x"].dataType)
-        below = (
-            F.when(~p["fresh"], F.array(p))
-            .when(F.to_json(p["a"]).eqNullSafe(F.to_json(p["b"])), none)
-            .when(fa.isNotNull() & fb.isNotNull(), fields)
-            .when(ia.isNotNull() & ib.isNotNull() & (F.size(ia) != F.size(ib)), F.array(pair(lengths, p["a"], p["b"], False)))
-            .when(ia.isNotNull() & ib.isNotNull() & (F.size(ia) > 0), items)
-            .otherwise(F.array(p))
-        )
+        below = F.when(fa.isNotNull(), fields).when(F.size(ia) != F.size(ib), F.array(pair(lengths, p["a"], p["b"], False))).when(F.size(ia) == 0, none).when(ia.isNotNull(), items).otherwise(F.array(p))
         now = now.select(*body, F.explode(below).alias("__p"))
-    p = F.col("__p")
-    any_place = F.regexp_replace(p["path"], r"\[\d+\]", "[*]")
-    most = F.lit(None).cast("double")
-    for path, value in tolerances.items():
-        most = F.when((p["path"] == path) | (any_place == path), F.lit(float(value))).otherwise(most)
-    x, y = _number(p["a"]), _number(p["b"])
-    same = p["fresh"] & F.when(most.isNotNull() & x.isNotNull() & y.isNotNull(), F.abs(x - y) <= most).otherwise(_same(p["a"], p["b"]))
-    out = now.where(~same).select(*body, F.when(p["path"] == "", "<root>").otherwise(p["path"]).alias("path"))
+    now = now.select(*body, "__p.path", "__p.fresh", F.to_json("__p.a").alias("__a"), F.to_json("__p.b").alias("__b")).where("not fresh or __a <> __b")
+    now = now.select(*body, "path", "fresh", _number(F.col("__a")).alias("__x"), _number(F.col("__b")).alias("__y"), (F.col("__a").rlike(WHOLE) & F.col("__b").rlike(WHOLE)).alias("__whole"))
+    any_place, most = F.regexp_replace("path", r"\[\d+\]", "[*]"), F.lit(None).cast("double")
+    if tolerances:
+        given = F.create_map(*(F.lit(x) for item in tolerances.items() for x in (item[0], float(item[1]))))
+        most = F.coalesce(F.try_element_at(given, F.col("path")), F.try_element_at(given, any_place))
+    # Whole numbers with other digits differ, however large they are; others are compared as numbers.
+    off = F.abs(F.col("__x") - F.col("__y"))
+    same = F.col("fresh") & F.coalesce(F.when(most.isNotNull(), off <= most).otherwise(~F.col("__whole") & (off == 0)), F.lit(False))
+    out = now.where(~same).select(*body, F.when(F.col("path") == "", "<root>").otherwise(F.col("path")).alias("path"))
     return out.where(~F.col("path").isin(list(accepted))) if accepted else out
 
 
