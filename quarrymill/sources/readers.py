@@ -6,10 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.operators.sequences import sessions_by_counter
+from quarrymill.session import Scratch
+
 SOURCE = T.StructType([
     T.StructField("game", T.StringType()), T.StructField("ply", T.IntegerType()), T.StructField("fen", T.StringType()), T.StructField("cp", T.IntegerType()),
     T.StructField("res", T.DoubleType()), T.StructField("label_authority", T.StringType()), T.StructField("game_unknown", T.BooleanType()),
@@ -18,10 +21,54 @@ SOURCE = T.StructType([
 RESULTS = {"1-0": 1.0, "0-1": 0.0, "1/2-1/2": 0.5}
 
 
+#: Up to so many splits of files are broadcast with their counts; more are joined by a shuffle.
+BROADCAST_SPLITS = 50_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, source_row, row, value): the lines of text files that aren't blank, with their number in the file, from 0, and over all files in order of their paths.
+
+    Files are read in splits, as many tasks as they have: a first pass counts each split's lines, and a second one adds
+    what lies before the split. So no task has a file, and no line is moved unless there are very many splits.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__start"), F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("source_file", "__start").agg(F.min("__id").alias("__first"), F.min("__task").alias("__of"), F.count(F.lit(1)).alias("n"))
+    # One row a split, so the order over all of them is small.
+    before = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy("source_file", "__start")) - F.col("n")
+    splits = Scratch(spark).table(splits.select("*", before("source_file").alias("__in_file"), before().alias("__in_all")).drop("n"), "splits")
+    few = splits.count() <= BROADCAST_SPLITS
+    found = lines.join(F.broadcast(splits) if few else splits, ["source_file", "__start"])
+    # Both passes must have cut the files alike; changed settings or files between them would show here.
+    at = F.when(F.col("__task") == F.col("__of"), F.col("__id") - F.col("__first")).otherwise(F.raise_error(F.lit("files or their splits changed while they were read")).cast("long"))
+    return found.select("source_file", (F.col("__in_file") + at).alias("source_row"), (F.col("__in_all") + at).alias("row"), "value")
+
+
 def read_rows(spark: SparkSession, path: str, schema: T.StructType = SOURCE) -> DataFrame:
-    """Rows of JSON-lines files with the file they come from; malformed lines have nulls and keep their text in ``_bad``."""
+    """Rows of JSON-lines files with the file they come from, their number in it from 0 (``source_row``) and over all files (``row``).
+
+    Blank lines are no rows. Malformed lines have nulls and keep their text in ``_bad``.
+    """
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("source_file", F.col("_metadata.file_path"))
+    parsed = F.from_json("value", full, {"columnNameOfCorruptRecord": "_bad"}).alias("__r")
+    return numbered_lines(spark, path).select(parsed, "source_file", "source_row", "row").select("__r.*", "source_file", "source_row", "row")
+
+
+def snapshot(rows: DataFrame, game: str = "game", counter: str = "ply") -> dict[str, int | str]:
+    """What identifies an import: rows, games and a hash over every row with its place.
+
+    rows: as ``read_rows`` gives them. A row's game is the named one, or else begins where the counter of its file
+    doesn't advance; an empty name is none. The hash sums hashes of rows, so no task has the file.
+    """
+    named = rows.withColumn("__game", F.nullif(F.col(game), F.lit("")))
+    games = sessions_by_counter(named.select("source_file", "source_row", counter, "__game"), "source_file", ["source_row"], counter, "__game")
+    body = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in ("source_file", "row"))), {"ignoreNullFields": "false"})
+    files = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), content_hash(body).alias("h"))
+    # Names of files don't count, but their order does, as rows are numbered by it.
+    whole = files.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), content_hash(F.col("h")).alias("content_hash")).first()
+    # Games that begin by counters are told apart by their file; named ones go by their name.
+    count = games.select(F.coalesce("__game", F.concat_ws("/", "source_file", "session"))).distinct().count()
+    return {"rows": whole["rows"], "games": count, "content_hash": whole["content_hash"]}
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -34,9 +81,15 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def outcome(game_outcome: Column, res: Column, white_score: Column | None = None) -> Column:
-    """A game's result: that of a struct's white score, if given, else the plain one, else ``res``. 0.0 is a result, and only null falls back."""
-    return F.coalesce(*([white_score] if white_score is not None else []), game_outcome, res)
+def outcome(game_outcome: Column, res: Column, white_score: Column | None = None, is_struct: Column | None = None) -> Column:
+    """A game's result: a struct's white score where the outcome is a struct (null, if that is), else the plain outcome, else ``res``.
+
+    0.0 is a result, and only null falls back. ``is_struct`` tells where the outcome is a struct; without it, it is one where its score is known.
+    """
+    plain = F.coalesce(game_outcome, res)
+    if white_score is None:
+        return plain
+    return F.when(is_struct if is_struct is not None else white_score.isNotNull(), white_score).otherwise(plain)
 
 
 def merged_files(files: DataFrame) -> DataFrame:
@@ -59,18 +112,25 @@ def _moves(text: str) -> list[str]:
     return out
 
 
+def parse_game(text: str) -> tuple | None:
+    """(event, white, black, date, result, moves) of one game's text; None where it has neither tags nor moves."""
+    tags, at = {}, len(text) - len(text.lstrip())
+    # Tags stand before the moves; a bracket later on is part of a comment.
+    while m := TAG.match(text, at):
+        tags[m[1]], at = m[2], m.end()
+    moves = _moves(text[at:])
+    if tags or moves:
+        return tags.get("Event"), tags.get("White"), tags.get("Black"), tags.get("Date"), RESULTS.get(tags.get("Result", "*")), moves
+    return None
+
+
+GAME = "event string, white string, black string, date string, result double, moves array<string>"
+
+
 def _games(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        out = []
-        for text in batch["value"]:
-            tags, at = {}, len(text) - len(text.lstrip())
-            # Tags stand before the moves; a bracket later on is part of a comment.
-            while m := TAG.match(text, at):
-                tags[m[1]], at = m[2], m.end()
-            moves = _moves(text[at:])
-            if tags or moves:
-                out.append((tags.get("Event"), tags.get("White"), tags.get("Black"), tags.get("Date"), RESULTS.get(tags.get("Result", "*")), moves))
-        yield pd.DataFrame(out, columns=["event", "white", "black", "date", "result", "moves"])
+        found = [game for text in batch["value"] if (game := parse_game(text))]
+        yield pd.DataFrame(found, columns=["event", "white", "black", "date", "result", "moves"])
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +138,7 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     # Records end before each Event tag, whichever line ends the file has.
     texts = spark.read.option("lineSep", "[Event ").text(path).where(F.length(F.trim("value")) > 0)
     texts = texts.select(F.concat(F.lit("[Event "), F.regexp_replace("value", "\r\n?", "\n")).alias("value"))
-    return texts.mapInPandas(_games, "event string, white string, black string, date string, result double, moves array<string>")
+    return texts.mapInPandas(_games, GAME)
 
 
 def sampled_plies(games: DataFrame, every: int = 4, least: int = 8) -> DataFrame:
