@@ -243,13 +243,20 @@ def _fen(rows, queens, rooks, knights, pawns, black):
     SELECT o_orderkey, 900 * q + 500 * r + 320 * n + 100 * p - 500 * b AS balance, CASE WHEN heavy >= 5600 THEN 'opening' WHEN heavy < 2600 THEN 'endgame' ELSE 'middlegame' END AS phase,
     CASE WHEN units >= 22 THEN 'opening' WHEN units <= 8 THEN 'endgame' ELSE 'middlegame' END AS unit_phase, 'Q' || q || 'R' || r || 'B0N' || n || 'P' || p || '/q0r' || b || 'b0n0p0' AS signature,
     'Q' || q || 'R' || r || 'm' || n || 'P' || (p // 3) || '-q0r' || b || 'm0p0' AS bucket, CASE WHEN bare THEN 0 ELSE 2 * (move - 1) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END END AS ply,
-    NOT bare AS well_formed, 2 + q + r + n + p + b AS inputs FROM m""")
+    NOT bare AS well_formed, 2 + q + r + n + p + b AS inputs, s.input_sum, s.input_max
+    FROM m JOIN (SELECT o_orderkey, sum(i)::BIGINT AS input_sum, max(i)::INT AS input_max FROM (
+        SELECT o_orderkey, CASE WHEN black THEN ((x.plane + 6) % 12) * 64 + 8 * x.rank + f ELSE x.plane * 64 + 8 * (7 - x.rank) + f END AS i FROM (
+            SELECT o_orderkey, NOT bare AND o_orderkey % 2 = 1 AS black, x, unnest(range(x.at, x.at + x.k)) AS f FROM (
+                SELECT *, unnest([{'plane': 11, 'rank': 0, 'at': 0, 'k': 1}, {'plane': 9, 'rank': 1, 'at': 0, 'k': b}, {'plane': 0, 'rank': 2, 'at': 0, 'k': p}, {'plane': 1, 'rank': 3, 'at': 0, 'k': n},
+                    {'plane': 3, 'rank': 4, 'at': 0, 'k': r}, {'plane': 4, 'rank': 5, 'at': 0, 'k': q}, {'plane': 5, 'rank': 7, 'at': 7, 'k': 1}]) AS x FROM m))) GROUP BY 1) s USING (o_orderkey)""")
 def position_features(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     part = lambda c, k: F.pmod(c, F.lit(k)).cast("int")
     rows = _fen(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), part(key, 4), part(cust, 5), part(key, 7), part(cust, 8), part(key, 3))
-    fen = F.col("fen")
+    rows = rows.withColumn("board", positions.board("fen"))
+    fen, n, inputs = F.col("fen"), F.col("board.counts"), F.col("board.inputs")
     return rows.select(
-        "o_orderkey", positions.material_balance(fen).alias("balance"), positions.phase(fen).alias("phase"), positions.unit_phase(fen).alias("unit_phase"), positions.signature(fen).alias("signature"),
-        positions.material_bucket(fen).alias("bucket"), positions.ply(fen).alias("ply"), positions.is_well_formed(fen).alias("well_formed"), F.size(positions.active_inputs(fen)).alias("inputs"),
+        "o_orderkey", positions.material_balance(fen, n).alias("balance"), positions.phase(fen, counts=n).alias("phase"), positions.unit_phase(fen, counts=n).alias("unit_phase"),
+        positions.signature(fen, n).alias("signature"), positions.material_bucket(fen, n).alias("bucket"), positions.ply(fen).alias("ply"), F.col("board.well_formed").alias("well_formed"), F.size(inputs).alias("inputs"),
+        F.aggregate(inputs, F.lit(0).cast("long"), lambda a, x: a + x).alias("input_sum"), F.array_max(inputs).alias("input_max"),
     )
