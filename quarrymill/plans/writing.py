@@ -178,16 +178,6 @@ def switch_coercion(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("bounded"), F.sum(v).alias("total"), F.count(selection.coerced(F.col("event_type"), "string", choices=["click", "view"])).alias("chosen"))
 
 
-@query("""SELECT l_returnflag, count(*) AS rows, count(DISTINCT CASE WHEN l_linenumber < 4 THEN l_suppkey END) AS counted FROM lineitem GROUP BY 1""")
-def capped_counting(spark, sf):
-    return selection.capped_distinct(table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", "l_suppkey"), "l_returnflag", "l_linenumber", F.col("l_suppkey"), 4)
-
-
-@query("""SELECT conv_id, turn FROM conversations WHERE turn < 2""")
-def first_by_file_order(spark, sf):
-    return selection.first_rows(table(spark, sf, "conversations").select("conv_id", "turn"), "turn", 2)
-
-
 @query("""SELECT tags, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN l_discount > 0.05 THEN 'deep' END, CASE WHEN l_returnflag = 'R' THEN 'uniform' END, CASE WHEN l_tax = 0 THEN 'audit' END) AS tags FROM lineitem) GROUP BY 1""")
 def tag_lists(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_discount") > 0.05).alias("deep"), (F.col("l_returnflag") == "R").alias("uniform"), (F.col("l_tax") == 0).alias("audit"))
