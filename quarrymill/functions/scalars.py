@@ -18,8 +18,8 @@ def magnitude_bucket(value: Column, edges: Sequence[int] = (0, 1, 100, 300, 900)
 
 
 def logistic_score(value: Column, scale: float = 256.0, clip: float = 60.0) -> Column:
-    """Expected score on the natural scale: 1 / (1 + e^(-value / scale)), exponents clipped."""
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), value / scale))))
+    """Expected score on the natural scale: 1 / (1 + e^(-value / scale)), exponents clipped; null for null."""
+    return F.when(value.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), value / scale)))))
 
 
 def rating_score(value: Column, scale: float = 400.0) -> Column:
