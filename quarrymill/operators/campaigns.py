@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators.stats import mean_interval, paired
@@ -67,7 +67,8 @@ def prefix_calibration(costs: DataFrame, cost: str, target: float, universe: int
 def bought_prefix(chunks: Sequence[DataFrame], buy: Callable[[DataFrame], DataFrame], cost: str, target: float) -> tuple[list[DataFrame], float]:
     """Chunks of a frozen order, bought one after the other until their summed cost reaches the target; and that cost.
 
-    ``buy`` labels a chunk and gives back rows with their cost, written, so that a second look costs no second purchase.
+    For costs that only a purchase tells, so each chunk waits for the one before. ``buy`` labels a chunk and gives back
+    rows with their cost, written, so that a second look costs no second purchase. Known costs go to ``affordable``.
     """
     have, total = [], 0.0
     for chunk in chunks:
@@ -79,23 +80,41 @@ def bought_prefix(chunks: Sequence[DataFrame], buy: Callable[[DataFrame], DataFr
     return have, total
 
 
-def prefix_proof(rows: DataFrame, key: str, cost: str) -> DataFrame:
-    """One row that two realisations of a prefix must have alike: rows, distinct ids, the ids' hash and the summed cost."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("ids"), content_hash(F.col(key).cast("string")).alias("ids_hash"), F.sum(cost).alias("cost"))
+def affordable(rows: DataFrame, chunk: str, cost: str, target: Column) -> DataFrame:
+    """(chunk, cost, spent): the chunks, in their order, that are bought until their summed cost reaches the target.
+
+    One aggregation by chunk, and a running sum over the chunks alone. ``target`` may use ``total``, the cost of all.
+    """
+    per = rows.groupBy(chunk).agg(F.coalesce(F.sum(cost), F.lit(0)).alias("cost"))
+    run, all_of_it = F.sum("cost").over(Window.orderBy(chunk)), F.sum("cost").over(Window.partitionBy())
+    spent = per.select(chunk, "cost", run.alias("spent"), all_of_it.alias("total"))
+    return spent.where(F.col("spent") - F.col("cost") < target).select(chunk, "cost", "spent")
+
+
+def prefix_proof(rows: DataFrame, key: str, cost: str, by: Sequence[str] = ()) -> DataFrame:
+    """What two realisations of a prefix must have alike, for each ``by``: rows, distinct ids, the ids' hash and the summed cost."""
+    parts = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("ids"), content_hash(F.col(key).cast("string")).alias("ids_hash"), F.sum(cost).alias("cost")]
+    return rows.groupBy(*by).agg(*parts)
+
+
+def _beside(sums: DataFrame, arm: str, reference: str, **columns: str) -> DataFrame:
+    """sums with the reference arm's values in every row; null where there is no such arm. It is one row, made by an aggregate."""
+    ref = sums.agg(*(F.max(F.when(F.col(arm) == reference, F.col(c))).alias(name) for name, c in columns.items()))
+    return sums.crossJoin(F.broadcast(ref))
 
 
 def ratios(rows: DataFrame, arm: str, cost: str, reference: str) -> DataFrame:
-    """(arm, rows, cost, cost_ratio, row_ratio): each arm's rows and cost, and relative to a reference arm."""
+    """(arm, rows, cost, cost_ratio, row_ratio): each arm's rows and cost, and relative to a reference arm; null ratios without it."""
     sums = rows.groupBy(arm).agg(F.count(F.lit(1)).alias("rows"), F.sum(cost).alias("cost"))
-    ref = sums.where(F.col(arm) == reference).select(F.col("rows").alias("__r"), F.col("cost").alias("__c"))
-    return sums.crossJoin(F.broadcast(ref)).select(arm, "rows", "cost", F.bround(F.try_divide("cost", "__c"), 6).alias("cost_ratio"), F.bround(F.try_divide("rows", "__r"), 6).alias("row_ratio"))
+    both = _beside(sums, arm, reference, __r="rows", __c="cost")
+    return both.select(arm, "rows", "cost", F.bround(F.try_divide("cost", "__c"), 6).alias("cost_ratio"), F.bround(F.try_divide("rows", "__r"), 6).alias("row_ratio"))
 
 
 def nominal_costs(rows: DataFrame, arm: str, budget: str, reference: str) -> DataFrame:
-    """(arm, nominal, ratio): rows times their node budget, and relative to a reference arm."""
+    """(arm, nominal, ratio): rows times their node budget, and relative to a reference arm; null ratios without it."""
     sums = rows.groupBy(arm).agg(F.sum(budget).cast("double").alias("nominal"))
-    ref = sums.where(F.col(arm) == reference).select(F.col("nominal").alias("__n"))
-    return sums.crossJoin(F.broadcast(ref)).select(arm, "nominal", F.bround(F.try_divide("nominal", "__n"), 6).alias("ratio"))
+    both = _beside(sums, arm, reference, __n="nominal")
+    return both.select(arm, "nominal", F.bround(F.try_divide("nominal", "__n"), 6).alias("ratio"))
 
 
 def generalisation_gap(losses: DataFrame, arm: str, split: str, loss: str, train: str, exam: str) -> DataFrame:
@@ -168,3 +187,31 @@ def identity_hash(*parts: Column) -> Column:
 def scaling(runs: DataFrame, metrics: DataFrame, run: str, size: str, name: str, value: str) -> DataFrame:
     """(size, name, runs, mean, least, largest): metrics of runs by the size of their model."""
     return runs.select(run, size).join(metrics, run).groupBy(size, name).agg(F.count_distinct(run).alias("runs"), F.bround(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"))
+
+
+class GateError(ValueError):
+    """Runs that no comparison may be made of."""
+
+
+def study_gate(runs: DataFrame, design: DataFrame, cell: Sequence[str], run: str, experiment: str, contract: Sequence[str], status: str, replaces: str) -> str:
+    """The experiment that all runs belong to; raises unless they are one experiment's whole matrix with every contract kept.
+
+    design: experiment, the cell and the contract columns (what a run of that cell must have been made with), one row a
+    cell, small in itself. Refused are: no runs, runs of several experiments or of none, cells beyond the design, contracts
+    that differ, and cells without a completed run or with several.
+    """
+    found = [r[0] for r in runs.select(experiment).distinct().orderBy(experiment).limit(5).collect()]
+    if len(found) != 1 or found[0] is None:
+        raise GateError(f"runs must be of one experiment: {found}")
+    own = design.where(F.col(experiment) == found[0])
+    due = own.select(*cell, *(F.col(c).alias(f"__{c}") for c in contract), F.lit(True).alias("__due"))
+    both = runs.join(due, list(cell), "left")
+    wrong = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in contract)))
+    why = F.when(F.col("__due").isNull(), F.lit("its cell isn't in the design")).when(F.size(wrong) > 0, F.concat(F.lit("it differs in "), F.array_join(wrong, ", ")))
+    bad = both.select(run, why.alias("why")).where("why is not null").orderBy(run).limit(20).collect()
+    if bad:
+        raise GateError("; ".join(f"{r[run]}: {r['why']}" for r in bad))
+    states = full_membership(own.select(*cell), runs, cell, status, replaces).where("state <> 'complete'").orderBy(*cell).limit(20).collect()
+    if states:
+        raise GateError("; ".join(f"{tuple(r[c] for c in cell)} {r['state']}" for r in states))
+    return found[0]

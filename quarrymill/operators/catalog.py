@@ -29,22 +29,31 @@ def conjunction(conditions: Mapping[str, object]) -> Column:
 
 
 def tag_filter(expression: str, tags: Column) -> Column:
-    """A condition on a map of tags: ``tag`` (present), ``tag:value``, ``tag!=value``, or a comparison, which is
-    numeric where both sides are numbers and of text else. A missing tag fails every comparison."""
+    """A condition on a map of tags: ``tag`` (present), ``tag:value``, ``tag!=value``, or a comparison.
+
+    Names match in any letter case, and so does the text after ``:``, which is compared as text. The other signs compare
+    numbers where both sides are numbers, and else text as it is written. Of tags that differ in letter case alone any
+    may fit; a missing tag, or one without a value, fails every comparison.
+    """
     sign = next((s for s in TAG_SIGNS if s in expression), None)
-    if sign is None:
-        return F.map_contains_key(tags, expression.strip())
-    name, _, value = (x.strip() for x in expression.partition(sign))
-    have = F.try_element_at(tags, F.lit(name)).cast("string")
+    name, _, value = (x.strip() for x in expression.partition(sign)) if sign else (expression.strip(), "", "")
     try:
         number = F.lit(float(value))
     except ValueError:
         number = F.lit(None).cast("double")
-    mine = have.try_cast("double")
-    ops = {"!=": lambda a, b: a != b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ":": lambda a, b: a == b}
-    compare = ops[sign]
-    numeric = mine.isNotNull() & number.isNotNull()
-    return F.coalesce(F.when(numeric, compare(mine, number)).otherwise(compare(have, F.lit(value))), F.lit(False))
+    ops = {"!=": lambda a, b: a != b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+
+    def fits(entry: Column) -> Column:
+        named = F.lower(entry["key"]) == name.lower()
+        have = entry["value"].cast("string")
+        if sign is None:
+            return named
+        if sign == ":":
+            return named & (F.lower(have) == value.lower())
+        mine = have.try_cast("double")
+        return named & F.when(mine.isNotNull() & number.isNotNull(), ops[sign](mine, number)).otherwise(ops[sign](have, F.lit(value)))
+
+    return F.coalesce(F.exists(F.filter(F.map_entries(tags), lambda e: F.coalesce(fits(e), F.lit(False))), lambda e: F.lit(True)), F.lit(False))
 
 
 def _tagged(name: str):

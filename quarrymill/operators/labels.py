@@ -65,3 +65,24 @@ def provenance_counts(labels: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts by each of several columns, in long form (facet, key, n)."""
     pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("key")) for c in by))
     return labels.select(F.inline(pairs)).groupBy("facet", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def set_references(labels: DataFrame, label_set: str, order: str, columns: Sequence[str] = ("family", "authority", "producer")) -> DataFrame:
+    """(label_set, rows, families, authorities, producers, registry_version, policy_hash) of each set of labels, in maps of counts.
+
+    The registry version is that of the set's last row by ``order``. A set belongs to one policy: several policy hashes
+    fail the query, naming the set; rows without one don't count. Families and the like are few, so that maps of them are small.
+    """
+    plural = {c: c[:-1] + "ies" if c.endswith("y") else c + "s" for c in columns}
+    whole = labels.groupBy(label_set).agg(F.count(F.lit(1)).alias("rows"), F.max_by("registry_version", order).alias("registry_version"), F.min("policy_hash").alias("__p"), F.max("policy_hash").alias("__q"))
+    refused = F.raise_error(F.concat(F.lit("a set of labels carries several policy hashes: "), F.coalesce(F.col(label_set).cast("string"), F.lit("null")))).cast("string")
+    out = whole.select(label_set, "rows", "registry_version", F.when(F.col("__p").eqNullSafe(F.col("__q")), F.col("__p")).otherwise(refused).alias("policy_hash"))
+    for c, name in plural.items():
+        counts = labels.where(F.col(c).isNotNull()).groupBy(label_set, c).agg(F.count(F.lit(1)).alias("n")).groupBy(F.col(label_set).alias("__s")).agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(name))
+        out = out.join(counts, F.col(label_set).eqNullSafe(F.col("__s")), "left").drop("__s")
+    return out
+
+
+def listed_sets(references: DataFrame, registered: str) -> DataFrame:
+    """References of sets in the order of their registration."""
+    return references.orderBy(registered)

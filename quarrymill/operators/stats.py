@@ -64,9 +64,23 @@ def mean_interval(rows: DataFrame, by: Sequence[str], value: Column, level: floa
     return stats.select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def paired(rows: DataFrame, keys: Sequence[str], arm: str, first: str, second: str, value: str) -> DataFrame:
-    """(keys, d): the second arm's mean value less the first's, for keys that have both."""
+class Incomplete(ValueError):
+    """A paired analysis that lacks some of its cells, which must be reported and not dropped."""
+
+
+def paired(rows: DataFrame, keys: Sequence[str], arm: str, first: str, second: str, value: str, complete: DataFrame | None = None) -> DataFrame:
+    """(keys, d): the second arm's mean value less the first's, for keys that have both.
+
+    ``complete`` (keys) is the design, which has one row a cell: every one of its cells must have both arms, and there may
+    be no others, or this raises with the first of them. Without it, keys that lack an arm are left out.
+    """
     per = rows.where(F.col(arm).isin(first, second)).groupBy(*keys).agg(F.avg(F.when(F.col(arm) == first, F.col(value))).alias("a"), F.avg(F.when(F.col(arm) == second, F.col(value))).alias("b"))
+    if complete is not None:
+        both = complete.select(*keys, F.lit(True).alias("__due")).join(per, list(keys), "full")
+        why = F.when(F.col("__due").isNull(), "beyond the design").when(F.col("a").isNull(), F.lit(f"without {first}")).when(F.col("b").isNull(), F.lit(f"without {second}"))
+        bad = both.select(*keys, why.alias("why")).where("why is not null").orderBy(*keys).limit(20).collect()
+        if bad:
+            raise Incomplete("; ".join(f"{tuple(r[k] for k in keys)} {r['why']}" for r in bad))
     return per.where("a is not null and b is not null").select(*keys, (F.col("b") - F.col("a")).alias("d"))
 
 

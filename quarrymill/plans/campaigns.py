@@ -19,14 +19,13 @@ query = registers(QUERIES, ORACLE_SQL)
 
 #: Lines as runs: a cell is a flag and a line number, some runs are invalid, and some are retries.
 CELLS_SQL = """runs AS (SELECT l_returnflag AS arm, l_linenumber AS seed, CASE WHEN l_quantity < 3 THEN 'INVALID' WHEN l_quantity > 49 THEN 'RUNNING' ELSE 'COMPLETED' END AS status,
-    l_linestatus = 'F' AS retry FROM lineitem WHERE l_orderkey % 40 = 0)"""
+    l_linestatus = 'F' AS retry FROM lineitem)"""
 
 
 def _cells(spark, sf):
     q = F.col("l_quantity")
     status = F.when(q < 3, "INVALID").when(q > 49, "RUNNING").otherwise("COMPLETED")
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0")
-    return rows.select(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("seed"), status.alias("status"), (F.col("l_linestatus") == "F").alias("retry"))
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("seed"), status.alias("status"), (F.col("l_linestatus") == "F").alias("retry"))
 
 
 @query(f"""WITH {CELLS_SQL}, p AS (SELECT arm, seed, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'INVALID') AS invalid,
@@ -108,11 +107,8 @@ def prefix_calibration(spark, sf):
     SELECT count(*) AS chunks, sum(c) AS cost FROM s WHERE before < 0.5 * total""")
 def purchase_loop(spark, sf):
     """Chunks of lines, by line number, bought until half of all quantity is reached."""
-    lines = table(spark, sf, "lineitem").select("l_linenumber", "l_quantity")
-    target = 0.5 * (lines.agg(F.sum("l_quantity")).first()[0] or 0.0)
-    numbers = [r[0] for r in lines.select("l_linenumber").distinct().orderBy("l_linenumber").limit(100).collect()]
-    have, cost = campaigns.bought_prefix([lines.where(F.col("l_linenumber") == k) for k in numbers], lambda c: c, "l_quantity", target)
-    return spark.createDataFrame([(len(have), float(cost))], "chunks long, cost double")
+    bought = campaigns.affordable(table(spark, sf, "lineitem"), "l_linenumber", "l_quantity", 0.5 * F.col("total"))
+    return bought.agg(F.count(F.lit(1)).alias("chunks"), F.sum("cost").alias("cost"))
 
 
 @query("""WITH s AS (SELECT l_returnflag AS arm, count(*) AS rows, sum(l_quantity) AS cost FROM lineitem GROUP BY 1), r AS (SELECT rows AS r, cost AS c FROM s WHERE arm = 'N')
@@ -316,13 +312,7 @@ def nine_component_priority(spark, sf):
 
 @query(f"""SELECT l_returnflag AS arm, count(*) AS rows, count(DISTINCT l_orderkey) AS ids, {HASH.format("l_orderkey::VARCHAR")} AS ids_hash, sum(l_quantity) AS cost FROM lineitem GROUP BY 1""")
 def prefix_proofs(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity")
-    flags = [r[0] for r in lines.select("l_returnflag").distinct().orderBy("l_returnflag").limit(100).collect()]
-    parts = [campaigns.prefix_proof(lines.where(F.col("l_returnflag") == f), "l_orderkey", "l_quantity").select(F.lit(f).alias("arm"), "*") for f in flags]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return campaigns.prefix_proof(table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "arm"), "l_orderkey", "l_quantity", ["arm"])
 
 
 @query("""WITH f AS (SELECT 'nation' AS facet, c_nationkey::VARCHAR AS key, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY 2)
@@ -360,3 +350,27 @@ def sql_functions(spark, sf):
 def dates_in_names(spark, sf):
     d = date_in(F.concat(F.lit("run-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json")))
     return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(d).alias("dated"), F.min(d).alias("first"))
+
+
+@query("""WITH f AS (SELECT source, lang AS family, count(*) AS n FROM documents GROUP BY 1, 2), a AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'search' ELSE 'oracle' END AS authority, count(*) AS n FROM documents GROUP BY 1, 2)
+    SELECT source, sum(n)::BIGINT AS rows, string_agg(family || '=' || n, ',' ORDER BY family) AS families, (SELECT string_agg(authority || '=' || a.n, ',' ORDER BY authority) FROM a WHERE a.source = f.source) AS authorities,
+    'policy-' || source AS policy_hash, (SELECT max(doc_id) % 5 FROM documents d WHERE d.source = f.source) AS registry_version FROM f WHERE source IS NOT NULL GROUP BY source""")
+def label_set_references(spark, sf):
+    docs = table(spark, sf, "documents").where("source is not null")
+    rows = docs.select("source", "doc_id", F.col("lang").alias("family"), F.when(F.col("doc_id") % 3 == 0, "search").otherwise("oracle").alias("authority"), F.lit("p").alias("producer"),
+        (F.col("doc_id") % 5).alias("registry_version"), F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("policy-"), "source")).alias("policy_hash"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    refs = labels.set_references(rows, "source", "doc_id")
+    return refs.select("source", "rows", text("families").alias("families"), text("authorities").alias("authorities"), "policy_hash", "registry_version")
+
+
+@query("""SELECT l_returnflag AS arm, l_linenumber AS seed, round_even(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END) - avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 6) AS d
+    FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2 HAVING count(DISTINCT l_linestatus) = 2""")
+def paired_complete(spark, sf):
+    """Contrasts over a design whose cells must all be there: flags that have both states, with their line numbers."""
+    from quarrymill.operators import stats
+
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("seed"), "l_linestatus", "l_quantity").where("arm = 'N'")
+    design = rows.groupBy("arm", "seed").agg(F.count_distinct("l_linestatus").alias("n")).where("n = 2").drop("n")
+    rows = rows.join(design, ["arm", "seed"], "left_semi")
+    return stats.paired(rows, ["arm", "seed"], "l_linestatus", "F", "O", "l_quantity", complete=design).withColumn("d", F.bround("d", 6))

@@ -170,10 +170,14 @@ def filter_conjunction(spark, sf):
 
 
 @query("""SELECT event_id FROM events WHERE (props->>'k')::DOUBLE >= 50 AND (props->>'k') <> '87'
-    AND (props->>'k') IS NOT NULL""")
+    AND lower(event_type) = 'click' AND CASE WHEN event_id % 2 = 0 THEN (props->>'k') = '60' OR (props->>'k') > '7' ELSE (props->>'k')::DOUBLE >= 70.0 END""")
 def tag_filter_json(spark, sf):
-    tags = F.from_json("props", "map<string,string>")
-    return table(spark, sf, "events").where(catalog.tag_filter("k>=50", tags) & catalog.tag_filter("k!=87", tags)).select("event_id")
+    """Tags in odd letter case: names match in any, text after a colon too, other text as written, and "60" isn't "60.0"."""
+    events, tags = table(spark, sf, "events"), F.from_json("props", "map<string,string>")
+    tags = F.map_concat(tags, F.create_map(F.lit("Kind"), F.upper("event_type"), F.lit("Text"), F.concat(F.lit("v"), F.try_element_at(tags, F.lit("k")))))
+    even = catalog.tag_filter("K:60", tags) | catalog.tag_filter("text>v7", tags)
+    wanted = F.when(F.col("event_id") % 2 == 0, even & ~catalog.tag_filter("k:60.0", tags)).otherwise(catalog.tag_filter("k>=7e1", tags))
+    return events.where(catalog.tag_filter("K>=50", tags) & catalog.tag_filter("k!=87", tags) & catalog.tag_filter("KIND:Click", tags) & wanted).select("event_id")
 
 
 @query("""SELECT 'priority' AS facet, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 2 UNION ALL

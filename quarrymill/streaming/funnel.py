@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,38 @@ def stream_sessions(stream: DataFrame, path: str, checkpoint: str, source: str =
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Counts by event-time window and key; rows later than ``lateness`` are left out."""
     return stream.withWatermark(time, lateness).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+class IdentityError(ValueError):
+    """A run's folder that belongs to another identity, or to none."""
+
+
+def pin_identity(spark: SparkSession, path: str, identity: Mapping[str, object], stages: Sequence[str] = ("tier0", "tier1", "triage", "tier3", "tier4")) -> bool:
+    """Writes a run's identity into its folder before its first stage, or holds it against the one that is there; True if it was written.
+
+    Any differing field is refused, named, so that evidence of two policies never mixes; so is a folder that has results
+    of stages and no identity. Values are compared as JSON.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    at = files.Path(f"{path}/identity")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = {k: json.loads(json.dumps(v)) for k, v in identity.items()}
+    if fs.exists(at):
+        then = json.loads(spark.read.text(at.toString(), wholetext=True).first()[0])
+        if differing := sorted(k for k in {*then, *now} if then.get(k) != now.get(k)):
+            raise IdentityError(f"the run's identity differs in {', '.join(differing)}")
+        return False
+    results = [s for s in stages if any(fs.exists(files.Path(f"{path}/{s}{end}")) for end in ("", ".jsonl"))]
+    if results:
+        raise IdentityError(f"the folder has results of {', '.join(results)} and no identity")
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(json.dumps(now, sort_keys=True).encode()))
+    finally:
+        out.close()
+    return True
+
+
+def input_rows(spark: SparkSession, paths: Sequence[str]) -> int:
+    """How many rows the pool's files have, counted again from the files, so that a run that resumes knows it too."""
+    return spark.read.text(list(paths)).where(F.trim("value") != "").count() if paths else 0
