@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.pairing import BUCKETS, WORDS, linked_components
@@ -162,9 +162,17 @@ def _spread(s: Settings):
     return run
 
 
+#: A document is its id and the hash of its text, since rows with one id may have several texts.
+DOC = "struct<doc_id:bigint,text_hash:bigint>"
+
+
+def _document() -> Column:
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of the lines with anything but white space."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
+    """(doc_id, at, line) of the lines with anything but white space. doc_id is the document, see ``DOC``."""
+    lines = docs.where("doc_id is not null").select(_document().alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
     return lines.withColumn("line", F.btrim("line", F.lit(SPACE))).where("line <> ''")
 
 
@@ -173,10 +181,10 @@ def _picked(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "inner")
 
 
 def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, at): the lines to remove, as places in their documents, from 0."""
+    """(doc_id, at): the lines to remove, as places in their documents (see ``DOC``), from 0."""
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     keyed = lines_of(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit("second"))})
-    signed = keyed.mapInArrow(frugal(_bands(s)), "doc_id long, at int, k1 long, k2 long, bands array<long>")
+    signed = keyed.mapInArrow(frugal(_bands(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands array<long>")
     # All of a class have the same bands, so any of them will do.
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("node"), F.first("bands").alias("bands"))
     classes = scratch.table(classes, "classes")
@@ -187,14 +195,14 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     root = classes.select("k1", "k2", "node")
     if not nodes.isEmpty():
         wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-        texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), "doc_id long, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
+        texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), f"doc_id {DOC}, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
         postings = scratch.table(postings.join(texts.select("node", "n"), "node"), "postings")
 
         def both(pairs: DataFrame, run, schema: str) -> DataFrame:
             # Lines are some ten times shorter than their shingle sets, so the sets are made where two lines meet.
             ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
             met = pairs.join(tb, "b").join(ta, "a").select(F.col("a.doc_id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.doc_id").alias("b_id"), F.col("b.at").alias("b_at"), "la", "lb")
-            done = met.mapInArrow(frugal(run), f"a_id long, a_at int, b_id long, b_at int, {schema}")
+            done = met.mapInArrow(frugal(run), f"a_id {DOC}, a_at int, b_id {DOC}, b_at int, {schema}")
             node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_at").alias("at")).alias(x)
             return done.select(node("a"), node("b"), *done.columns[4:])
 
@@ -214,7 +222,7 @@ def dedup_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch |
     """One row for each row of ``docs`` (doc_id, text): doc_id, text, n_lines, n_removed.
 
     Lines end at \\n. Lines of white space alone stay, and count in n_lines. A null text counts as empty. Rows that
-    repeat a doc_id and its text are one document; rows with a null doc_id are passed on whole. Other columns are left
+    repeat a doc_id and its text are one document, and other texts of a doc_id are others; rows with a null doc_id are passed on whole. Other columns are left
     out, and an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -223,10 +231,11 @@ def dedup_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch |
     gone = scratch.table(gone, "gone")
     ids = gone.select("doc_id")
     lines = F.split("text", "\n", -1)
+    docs = docs.select(F.when(F.col("doc_id").isNotNull(), _document()).alias("doc_id"), "text")
     some = _picked(docs, ids, ["doc_id"]).join(gone, "doc_id").withColumn("lines", lines)
     removed = F.map_from_arrays("gone", F.transform("gone", lambda i: F.lit(True)))
     some = some.withColumn("removed", removed)
     kept = F.filter("lines", lambda x, i: ~F.coalesce(F.try_element_at("removed", i), F.lit(False)))
-    some = some.select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
-    rest = _picked(docs, ids, ["doc_id"], "left_anti").select("doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    some = some.select("doc_id.doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    rest = _picked(docs, ids, ["doc_id"], "left_anti").select("doc_id.doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return some.unionByName(rest)

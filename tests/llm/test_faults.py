@@ -201,3 +201,12 @@ def test_recall_of_near_copies_with_the_settings_of_production(spark):
     assert sum(near[2 * k + 1] == 2 * k for k in range(250)) == 250
     gone = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
     assert sum(gone[2 * k + 1] for k in range(250)) >= 248 and not any(gone[2 * k] for k in range(250))
+
+
+def test_line_dedup_keeps_a_line_of_each_kind_where_an_id_has_two_texts(spark):
+    x, y = "the first of two long lines, which several of the documents have in them", "another line that is nothing like the one before, of numbers 123 and 456 and 789"
+    rows = [(0, y), (1, x), (1, y), (2, x), (3, f"{y}\n{x}")]
+    for k in (1, 3, 5):
+        got = sorted(map(tuple, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(k)).collect()))
+        texts = [t for r in got for t in r[1].split("\n") if t]
+        assert sorted(texts) == sorted([x, y]) and got[0] == (0, y, 1, 0) and len(got) == 5
