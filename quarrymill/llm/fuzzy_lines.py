@@ -120,7 +120,7 @@ def _sizes(s: Settings):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 n = _per_line(_keys(batch.column("line").to_pylist(), s.shingle)[0], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "line")), pa.array(n, pa.int32())], ["doc_id", "at", "line", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("line"), pa.array(n, pa.int32())], ["node", "line", "n"])
 
     return run
 
@@ -132,7 +132,7 @@ def _compared(s: Settings):
                 batch = whole.slice(start, 256)
                 a, b = (_keys(batch.column(c).to_pylist(), s.shingle)[0] for c in ("la", "lb"))
                 sizes = [pa.array(_per_line(x, batch.num_rows), pa.int32()) for x in (a, b, np.intersect1d(a, b, assume_unique=True))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *sizes], ["a_id", "a_at", "b_id", "b_at", "na", "nb", "common"])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes], ["a", "b", "na", "nb", "common"])
 
     return run
 
@@ -157,7 +157,7 @@ def _spread(s: Settings):
                 place = (rest >> np.uint64(56)) * np.uint64(WORDS) + rest % np.uint64(WORDS)
                 np.bitwise_or.at(bits, place.astype(np.int64), np.uint64(1) << (rest >> np.uint64(8) & np.uint64(63)))
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(x)) for k, x in ((BUCKETS, spread), (WORDS, bits.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a_id", "a_at", "b_id", "b_at")), *lists], ["a_id", "a_at", "b_id", "b_at", "spread", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], ["a", "b", "spread", "bits"])
 
     return run
 
@@ -185,26 +185,23 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     keyed = lines_of(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit("second"))})
     signed = keyed.mapInArrow(frugal(_bands(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands array<long>")
-    # All of a class have the same bands, so any of them will do.
-    classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("node"), F.first("bands").alias("bands"))
-    classes = scratch.table(classes, "classes")
+    # All of a class have the same bands, so any of them will do. Its number is written with it, and means nothing else.
+    classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("bands").alias("bands"))
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("token"))
     shared = banded.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     postings = scratch.table(banded.join(shared, "token"), "met")
-    nodes = scratch.table(postings.select("node.doc_id", "node.at").distinct(), "nodes")
-    root = classes.select("k1", "k2", "node")
+    nodes = scratch.table(postings.select("node").distinct().join(classes.select("node", "first.*"), "node"), "nodes")
+    root = classes.select("k1", "k2", "first", "node")
     if not nodes.isEmpty():
-        wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-        texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), f"doc_id {DOC}, at int, line string, n int").select(F.struct("doc_id", "at").alias("node"), "line", "n"), "texts")
+        wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["node"]).select("node", "line")
+        texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), "node long, line string, n int"), "texts")
         postings = scratch.table(postings.join(texts.select("node", "n"), "node"), "postings")
 
         def both(pairs: DataFrame, run, schema: str) -> DataFrame:
             # Lines are some ten times shorter than their shingle sets, so the sets are made where two lines meet.
             ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-            met = pairs.join(tb, "b").join(ta, "a").select(F.col("a.doc_id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.doc_id").alias("b_id"), F.col("b.at").alias("b_at"), "la", "lb")
-            done = met.mapInArrow(frugal(run), f"a_id {DOC}, a_at int, b_id {DOC}, b_at int, {schema}")
-            node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_at").alias("at")).alias(x)
-            return done.select(node("a"), node("b"), *done.columns[4:])
+            return pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "la", "lb").mapInArrow(frugal(run), f"a long, b long, {schema}")
 
         def compare(pairs: DataFrame) -> DataFrame:
             return both(pairs, _compared(s), "na int, nb int, common int")
@@ -213,9 +210,11 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
             return both(pairs, _spread(s), "spread array<int>, bits array<long>")
 
         comp = linked_components(postings, compare, None, spread, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
-        root = root.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("node"))
-    places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
-    return places.where(F.struct("doc_id", "at") != F.col("node")).select("doc_id", "at")
+        root = root.join(comp, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+        earliest = root.groupBy("node").agg(F.min("first").alias("first"))
+        root = root.drop("first").join(earliest, "node")
+    places = keyed.select("doc_id", "at", "k1", "k2").join(root.select("k1", "k2", "first"), ["k1", "k2"])
+    return places.where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at")
 
 
 def dedup_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch | None = None) -> DataFrame:
