@@ -12,6 +12,7 @@ features are hidden at random while fitting, so that text features carry weight
 import html
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Container, Iterator
 from dataclasses import dataclass
@@ -30,12 +31,79 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A quote opens a quoted value only after an equals sign; any other is a character like others, as is one that nothing closes.
-ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|title)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>|<[a-z!?/][^<>]*\Z|[^<]+|<",
-    re.I | re.S,
-)
+ENDS = re.compile(r"=\s*([\"'])|>")
+NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+#: Elements whose contents are no text: up to their end tag, or without one to the end of the page, or only the tag itself.
+RAW_TAGS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "iframe", "textarea", "title", "template", "noscript", "svg")}
+ENDS_ITSELF = frozenset(("template", "noscript", "svg"))
+
+
+class _TagEnds:
+    """Where the tag ends that is open at a place of the page, in time near linear over all its tags, closed or not."""
+
+    def __init__(self, page: str):
+        found = [(m.start(), m.end(), m[1]) for m in ENDS.finditer(page)]
+        self.at = [f[0] for f in found]
+        last = {q: page.rfind(q) for q in "\"'"}
+        self.end = [-1] * (len(found) + 1)
+        for k in range(len(found) - 1, -1, -1):
+            start, after, quote = found[k]
+            if quote is None:
+                self.end[k] = start
+            elif after > last[quote]:
+                self.end[k] = self.end[k + 1]
+            else:
+                self.end[k] = self.end[bisect_left(self.at, page.index(quote, after) + 1)]
+
+    def of(self, place: int) -> int:
+        """The place of the closing bracket, -1 if there is none."""
+        return self.end[bisect_left(self.at, place)]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("", text, "") for text, and (mark, tag, attributes) for tags, where the mark is "<" or "</"; comments and contents that are no text are left out."""
+    ends, unclosed, pos, n, last, closing = _TagEnds(page), set(), 0, len(page), page.rfind("<"), page.rfind(">")
+    while pos < n:
+        if page[pos] != "<":
+            stop = page.find("<", pos)
+            stop = n if stop < 0 else stop
+            yield "", page[pos:stop], ""
+            pos = stop
+            continue
+        if page.startswith("<!--", pos):
+            stop = page.find("-->", pos + 4)
+            pos = n if stop < 0 else stop + 3
+            continue
+        m = NAME.match(page, pos)
+        if not m and page[pos + 1 : pos + 2] not in ("!", "?", "/"):
+            yield "", "<", ""
+            pos += 1
+            continue
+        end = ends.of(m.end()) if m else (page.find(">", pos) if pos < closing else -1)
+        if end < 0:
+            if pos == last:
+                return  # a tag that the page's end cuts off
+            yield "", "<", ""
+            pos += 1
+            continue
+        pos = end + 1
+        if not m:
+            continue
+        tag, attributes = m[2].lower(), page[m.end() : end]
+        raw = None if m[1] or (tag == "svg" and attributes.endswith("/")) else RAW_TAGS.get(tag)
+        if raw is None:
+            if tag not in RAW_TAGS:
+                yield "<" + m[1], tag, attributes
+            continue
+        over = None if tag in unclosed else raw.search(page, pos)
+        if over:
+            pos = over.end()
+        elif tag in ENDS_ITSELF:
+            unclosed.add(tag)  # nor will a later one find an end
+        else:
+            return
+
+
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Opening one of these ends an open one of the same kind.
@@ -118,19 +186,15 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or len(piece) == 1:
-                piece = html.unescape(piece)
-                text.append(piece)
-                linked += len(piece) if open_.tags["a"] else 0
+    for mark, tag, attributes in tokens(page):
+        if not mark:
+            piece = html.unescape(tag) if tag != "<" else tag
+            text.append(piece)
+            linked += len(piece) if open_.tags["a"] else 0
             continue
-        tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
-        if m[2]:
+        if mark == "</":
             if open_.tags[tag]:
                 while open_.pop() != tag:
                     pass
@@ -141,7 +205,7 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
                 # No further up than the nearest container.
                 for _ in range(len(open_.stack) - open_.blocks[-1]):
                     open_.pop()
-            open_.push(tag, tuple(p for a in NAMES.findall(m[4]) for p in PARTS.findall("".join(a).lower())) if m[4] else ())
+            open_.push(tag, tuple(p for a in NAMES.findall(attributes) for p in PARTS.findall("".join(a).lower())) if attributes else ())
     flush()
     return out
 

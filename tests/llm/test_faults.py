@@ -210,3 +210,18 @@ def test_line_dedup_keeps_a_line_of_each_kind_where_an_id_has_two_texts(spark):
         got = sorted(map(tuple, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(k)).collect()))
         texts = [t for r in got for t in r[1].split("\n") if t]
         assert sorted(texts) == sorted([x, y]) and got[0] == (0, y, 1, 0) and len(got) == 5
+
+
+def test_custom_elements_and_unclosed_ones_keep_the_page():
+    for tag in ("svg-icon", "title-card", "template-x", "style-guide", "script-x", "iframe-y", "noscript-z", "textarea-q"):
+        assert " ".join(texts_of(f'<p>Start here.</p><{tag} name="x"></{tag}><p>After one.</p>')) == "Start here. After one."
+    for tag in ("noscript", "svg", "template"):
+        assert texts_of(f"<p>a</p><{tag} x='1'><p>b</p>") == ["a", "b"] and texts_of(f"<p>a</p><{tag}><b>gone</b></{tag} ><p>b</p><{tag}><p>c") == ["a", "b", "c"]
+    assert texts_of("<p>a<svg x='1'/>b</p>c") == ["ab", "c"] and texts_of("<p>a</p><script>var b;<p>c") == ["a"] and texts_of("<TITLE>t</title><p>a") == ["a"]
+
+
+def test_tags_that_nothing_closes_take_linear_time():
+    for piece in ("<a ", '<p x="', "<b ='", "<noscript>", "<svg ", "</", "<!", '<a x=\'"', '="'):
+        began = time.perf_counter()
+        crf_html.leaf_blocks(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 10, piece
