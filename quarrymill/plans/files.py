@@ -7,8 +7,11 @@ from pyspark.sql import types as T
 
 from quarrymill.functions import tables
 from quarrymill.operators import selection
+from quarrymill.operators.freezing import freeze_arms, freeze_universe
+from quarrymill.operators.stripes import PLACE, striped_map
+from quarrymill.plans.lineage import UNIT32
 from quarrymill.plans.registering import registers
-from quarrymill.plans.writing import _fen
+from quarrymill.plans.writing import HASH, _fen
 from quarrymill.session import Scratch, range_partitions, table
 from quarrymill.sources.readers import read_rows
 
@@ -67,3 +70,23 @@ def pieces_lateral(spark, sf):
     rows = _fen(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), part(key, 4), part(cust, 5), part(key, 7), part(cust, 8), part(key, 3))
     rows.select("o_orderkey", "fen").createOrReplaceTempView("__positions")
     return spark.sql("SELECT o_orderkey, square, piece, input FROM __positions, LATERAL fen_pieces(fen)")
+
+
+@query(f"""WITH s AS (SELECT CASE o_orderkey % 10 WHEN 1 THEN 'PRIORITY' ELSE 'UNIFORM' END AS arm, o_orderkey, 1000 + o_orderkey % 3 AS nodes, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT *, {UNIT32.format("'5:c' || o_custkey")} AS u FROM orders WHERE o_orderkey % 10 IN (1, 2)))
+    SELECT arm, split, count(*) AS rows, sum(nodes)::BIGINT AS nodes, {HASH.format("o_orderkey::VARCHAR")} AS ids_hash FROM s GROUP BY 1, 2""")
+def frozen_arms(spark, sf):
+    """A universe of all orders and two recorded arms of it, frozen, written, and read back against the universe's splits."""
+    orders, key, scratch = table(spark, sf, "orders"), F.col("o_orderkey"), Scratch(spark)
+    candidates = orders.select(key.alias("record_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("group"), F.lit(True).alias("train_eligible"))
+    deep = orders.select(key.alias("record_id"), (1000 + key % 3).alias("nodes"))
+    chosen = orders.where(key % 10 < 3).where(key % 10 > 0).select(F.when(key % 10 == 1, "PRIORITY").otherwise("UNIFORM").alias("arm"), key.alias("record_id"))
+    universe = freeze_universe(candidates, deep, chosen, 5, scratch=scratch)
+    return freeze_arms(universe, orders.select(key.alias("record_id"), "o_totalprice"), f"{scratch.root}/datasets", 0.01)
+
+
+@query("""SELECT o_orderkey, o_custkey * 2 AS twice FROM orders""")
+def striped_orders(spark, sf):
+    """Rows worked on in stripes and given back in their order."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return striped_map(rows, ["o_orderkey"], lambda df: df.select("o_orderkey", (F.col("o_custkey") * 2).alias("twice"), PLACE))
