@@ -38,3 +38,41 @@ def test_stages_keep_columns(spark, tables):
     docs = spark.read.parquet(f"{root}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(40), root).columns == docs.columns
+
+
+def _stages(spark, root, docs, first, last):
+    for _, stage in corpus_pipeline.STAGES[first:last]:
+        docs = stage(spark, docs, root)
+    return docs
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """doc_ids with several texts, rows that are there twice, a null doc_id, null and empty texts, and a clashing column."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3) + " end"), (4, text(3) + " fin"), (4, text(4)), (5, text(5)), (5, text(5)), (6, None), (6, ""), (7, None), (None, text(6)), (8, text(6))]
+    return rows, spark.createDataFrame([(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, __toxic long")
+
+
+def test_a_row_is_an_id_and_its_text(spark, tables, repeated):
+    rows, docs = repeated
+    root, _ = tables
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in _stages(spark, root, docs, 1, 3).collect())
+    want = {(1, rows[0][1]), (2, rows[2][1]), (3, rows[3][1]), (4, rows[5][1]), (5, rows[6][1]), (6, ""), (0, rows[11][1])}
+    assert kept == sorted(want)
+    assert {(r["doc_id"], r["text"]) for r in _stages(spark, root, docs, 0, 1).collect()} == set(rows)
+
+
+def test_the_order_of_rows_and_partitions_decides_nothing(spark, tables, repeated):
+    _, docs = repeated
+    root, _ = tables
+    drop = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    other = docs.orderBy("__toxic", ascending=False).repartition(5)
+    assert drop(_stages(spark, root, docs, 0, 4)) == drop(_stages(spark, root, other, 0, 4))
+    assert _stages(spark, root, other, 0, 4).columns == docs.columns
+
+
+def test_empty_table(spark, tables):
+    root, _ = tables
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("false")
+    assert _stages(spark, root, docs, 0, 5).count() == 0
