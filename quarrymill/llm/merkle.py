@@ -40,15 +40,23 @@ def archive(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
 
     The file is a hash of the row; within it records are ordered by key, URI and content. Repeated rows are records of
     their own, next to each other, and those of a row that is there more than ``file_records`` times are dealt out over
-    as many files as they fill. Ties are rows that are equal throughout, so their order doesn't matter.
+    as many files as they fill. Ties are rows that are equal throughout, so their order doesn't matter: the layout
+    depends on content alone. Null parts count as empty in a record and are ordered first; other columns are left out,
+    and an empty table has no files.
     """
     n_files = max(1, -(-pages.count() // file_records))
     rows = pages.select(F.col(key).alias("record_id"), F.col(uri).alias("__uri"), F.col(payload).alias("__payload"), F.xxhash64(key, uri, payload).alias("__h"))
-    often = rows.groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / file_records).alias("__parts")).where("__parts > 1")
-    few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(often) if few else often, "__h", "left")
-    part = F.when(F.col("__parts").isNull(), F.col("__h")).otherwise(F.xxhash64("__h", F.pmod(F.monotonically_increasing_id(), F.col("__parts"))))
-    rows = rows.select("record_id", F.pmod(part, F.lit(n_files)).alias("file"), "__uri", warc_record(F.col("__uri"), F.col("record_id"), F.col("__payload")).alias("record"))
+    often = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > file_records).select("__h")
+    n_often = often.limit(BROADCAST_ROWS + 1).count()
+    if n_often:
+        often = F.broadcast(often) if n_often <= BROADCAST_ROWS else often
+        # Rows that fill files are counted and numbered, so a task that runs again deals them out alike.
+        copies = rows.join(often, "__h", "left_semi").groupBy("record_id", "__uri", "__payload", "__h").agg(F.count(F.lit(1)).alias("__n"))
+        copies = copies.withColumn("__part", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / file_records))))
+        of_part = F.least(F.lit(file_records), F.col("__n") - F.col("__part") * file_records).cast("int")
+        copies = copies.withColumn("__h", F.xxhash64("__h", "__part")).withColumn("__copy", F.explode(F.array_repeat(F.lit(True), of_part)))
+        rows = rows.join(often, "__h", "left_anti").unionByName(copies.select("record_id", "__uri", "__payload", "__h"))
+    rows = rows.select("record_id", F.pmod("__h", F.lit(n_files)).alias("file"), "__uri", warc_record(F.col("__uri"), F.col("record_id"), F.col("__payload")).alias("record"))
     rows = rows.withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("file").orderBy("record_id", "__uri", F.xxhash64("record"), "record")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
