@@ -66,7 +66,7 @@ def _features(bits: int):
             found = [np.unique(buckets(t or "", hashes, bits)) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["order", "label", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("tie"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["order", "tie", "label", "features"])
 
     return run
 
@@ -77,7 +77,9 @@ def _learner(s: Settings):
         for batch in batches:
             lists = batch.column("features")
             flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            rows += [(o, y, flat[a:b].astype(np.int32)) for o, y, a, b in zip(batch.column("order").to_pylist(), batch.column("label").to_pylist(), offsets, offsets[1:])]
+            keys = zip(batch.column("order").to_pylist(), batch.column("tie").to_pylist())
+            rows += [(k, y, flat[a:b].astype(np.int32)) for k, y, a, b in zip(keys, batch.column("label").to_pylist(), offsets, offsets[1:])]
+        # Rows that repeat a doc_id are in the order of their texts' hashes, so a refit sees the same order.
         rows.sort(key=lambda r: r[0])
         bias_at = 1 << s.bits
         z, n = np.zeros(bias_at + 1), np.zeros(bias_at + 1)
@@ -113,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, setti
     rate = min(1.0, settings.sample_rows / max(1, known.count()))
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     sample = known.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20)) + (rate == 1.0))
-    rows = docs.select("doc_id", F.col("text")).join(sample, "doc_id").select(order.alias("order"), "label", "text")
-    made = rows.mapInArrow(frugal(_features(settings.bits)), "order long, label double, features array<int>")
+    rows = docs.select("doc_id", F.col("text")).join(sample, "doc_id").select(order.alias("order"), F.xxhash64("text").alias("tie"), "label", "text")
+    made = rows.mapInArrow(frugal(_features(settings.bits)), "order long, tie long, label double, features array<int>")
     # repartition(1), unlike coalesce(1), keeps the making of features parallel.
     got = made.repartition(1).mapInArrow(frugal(_learner(settings)), "bucket long, weight double").toPandas()
     bias_at = 1 << settings.bits

@@ -5,6 +5,7 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, crf_html, ecoc_lang, ftrl, merkle
 from quarrymill.llm.template_decontam import decontaminate
@@ -204,3 +205,20 @@ def test_viterbi_finds_the_best_path():
         moves = [[rng.uniform(-1, 1) for _ in "01"] for _ in "01"]
         best = max(product((0, 1), repeat=6), key=lambda p: sum(s[y] for s, y in zip(scores, p)) + sum(moves[a][b] for a, b in zip(p, p[1:])))
         assert crf_html.viterbi(scores, moves) == list(best)
+
+
+def test_archive_layout_depends_on_content_alone(spark):
+    rows = [(1, "u", "same")] * 170 + [(k, f"u{k}", f"page {k % 7}") for k in range(80)] + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    laid = lambda df: sorted(tuple(r) for r in merkle.leaves(merkle.archive(df, file_records=50)).select("file", "place", "offset", "length", F.coalesce("record_id", F.lit(-1)), "digest").collect())
+    first = laid(pages)
+    assert len(first) == 253 and len({r[0] for r in first if r[4] == 1}) > 1
+    assert first == laid(pages.orderBy(F.rand(3)).repartition(7)) == laid(pages.coalesce(1))
+
+
+def test_a_refit_sees_rows_of_one_id_in_one_order(spark):
+    docs = spark.createDataFrame([(k // 3, f"word{k % 11} bad{k % 5} more{k}") for k in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    a, b = (ftrl.fit(d, labels, "toxic", F.lit(True)) for d in (docs, docs.orderBy(F.desc("text")).repartition(5)))
+    order = a.buckets.argsort(), b.buckets.argsort()
+    assert (a.buckets[order[0]] == b.buckets[order[1]]).all() and (a.weights[order[0]] == b.weights[order[1]]).all() and a.bias == b.bias
