@@ -23,11 +23,15 @@ def fail_if_any(bad: DataFrame, what: str) -> None:
 
 def component_labels(rows: DataFrame, group: str, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(group, label): groups that share a key value, transitively, have one label: "xc" and eight digits of a hash of the
-    group names in it. A group that shares no key keeps its own name."""
+    group names in it, or 24 where several components have the same eight. A group that shares no key keeps its own name."""
     comp = link_groups(rows, group, key, scratch)
+    short = F.substring("h", 1, 8)
     per = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"), content_hash(F.col(group).cast("string")).alias("h"))
-    name = F.when(F.col("n") == 1, F.col(group).cast("string")).otherwise(F.concat(F.lit("xc"), F.substring("h", 1, 8)))
-    return comp.join(per, "component").select(group, name.alias("label"))
+    shared = per.where("n > 1").groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    digits = F.when(F.col("of").isNull(), F.col("short")).otherwise(F.substring("h", 1, 24))
+    name = F.when(F.col("n") > 1, F.concat(F.lit("xc"), digits))
+    names = per.withColumn("short", short).join(shared, "short", "left").select("component", name.alias("name"))
+    return comp.join(names, "component").select(group, F.coalesce("name", F.col(group).cast("string")).alias("label"))
 
 
 def normalized(rows: DataFrame, source: str, row: str, identity: Column, game: str, valid: Column, scratch: Scratch | None = None) -> DataFrame:

@@ -33,3 +33,10 @@ def test_links_of_all_rows(spark, tmp_path):
 def test_rare_keys_are_counted(spark, tmp_path):
     spark.createDataFrame([(1, "One two"), (2, "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in entry.queries()["coverage_counts_whole"](spark, str(tmp_path)).collect()} == {("one", 1), ("two", 2), ("__positions__", 2)}
+
+
+def test_components_whose_names_begin_alike_are_told_apart(spark, tmp_path):
+    """The hashes of these two customers' members share their first eight digits."""
+    rows = [(i, c, p) for c in (21952, 33846) for i, p in enumerate(["1-URGENT", "2-HIGH"])] + [(9, 5, "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {tuple(r) for r in entry.queries()["component_names"](spark, str(tmp_path)).collect()} == {(False, 2), (True, 1)}
