@@ -343,13 +343,14 @@ def resume_left_anti(spark, sf):
     return pending_rows(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").where("quality = 1"), "doc_id")
 
 
-@query("""WITH w AS (SELECT l_quantity AS c, sum(l_quantity) OVER (ORDER BY sha256('1:' || l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber) AS cost,
-    row_number() OVER (ORDER BY sha256('1:' || l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber) AS size FROM lineitem)
-    SELECT size, cost FROM w ORDER BY abs(cost - 50000), size LIMIT 1""")
+@query("""WITH w AS (SELECT sum(l_quantity) OVER o AS cost, row_number() OVER o AS size, count(*) FILTER (l_quantity IS NULL) OVER o AS gaps FROM lineitem
+      WINDOW o AS (ORDER BY sha256('1:' || l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber, l_quantity NULLS FIRST ROWS UNBOUNDED PRECEDING))
+    SELECT size, cost FROM w WHERE gaps = 0 ORDER BY abs(cost - 50000), size LIMIT 1""")
 def prefix_budget(spark, sf):
+    """Lines of one order and number are several: they come by quantity, and a prefix may end between them."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     key = F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"))
-    return stacks.nearest_prefix(rows, [sample_order(1, key).alias("h"), F.col("l_orderkey"), F.col("l_linenumber")], "l_quantity", 50000.0)
+    return stacks.nearest_prefix(rows, [sample_order(1, key).alias("h"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")], "l_quantity", 50000.0)
 
 
 @query("""WITH i AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 37 = 0) SELECT o_orderkey, o_totalprice, (o_orderkey * 7) % 1000 AS position

@@ -1,5 +1,7 @@
 """Queries over whole tables, where others keep a slice that SQL can follow."""
 
+import duckdb
+
 import __spark_entry__ as entry
 
 ROWS = [(1, 7, 1.0), (2, 7, 50.0), (2, 8, 3.0), (3, 8, 4.0), (4, 9, 50.0), (5, 9, 50.0), (10, 5, 2.0), (11, 5, 2.0), (12, 6, 50.0), (3, 11, 9.0), (13, 11, 1.0), (14, None, 1.0)]
@@ -40,3 +42,12 @@ def test_components_whose_names_begin_alike_are_told_apart(spark, tmp_path):
     rows = [(i, c, p) for c in (21952, 33846) for i, p in enumerate(["1-URGENT", "2-HIGH"])] + [(9, 5, "2-HIGH")]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert {tuple(r) for r in entry.queries()["component_names"](spark, str(tmp_path)).collect()} == {(False, 2), (True, 1)}
+
+
+def test_prefixes_end_between_lines_of_one_number(spark, tmp_path):
+    rows = [(1, 1, 40000.0), (1, 1, 30000.0), (1, 1, 45000.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert con.execute(entry.oracle_sql()["prefix_budget"]).fetchall() == [(1, 30000.0)]
+    assert tuple(entry.queries()["prefix_budget"](spark, str(tmp_path)).first()) == (1, 30000.0)
