@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import content_id, split_name, split_unit
-from quarrymill.operators.components import connected_components
+from quarrymill.operators.components import connected_components, look_up
 from quarrymill.session import Scratch
 
 
@@ -64,12 +64,14 @@ def link_groups(rows: DataFrame, group: str, key: str, scratch: Scratch | None =
     Every key links its groups to its smallest one, so edges grow with rows and not with pairs of groups. Rows without
     a group or key link nothing; a group that shares no key is its own component.
     """
-    seen = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k")).distinct()
-    least = seen.groupBy("k").agg(F.min("g").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    scratch, size = scratch or Scratch(rows.sparkSession), rows.count()
+    seen = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"))
+    least = seen.groupBy("k").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("k", "least")
     edges = seen.join(least, "k").where("g <> least").select(F.col("g").alias("src"), F.col("least").alias("dst"))
-    comp = connected_components(edges.distinct(), scratch)
+    comp = connected_components(edges, scratch, rows=size)
     every = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("node")).distinct()
-    return every.join(comp, "node", "left").select(F.col("node").alias(group), F.coalesce("component", "node").alias("component"))
+    found = every.join(comp, "node", "left").select(F.col("node").alias(group), F.coalesce("component", "node").alias("component"))
+    return scratch.table(found, "groups", size)
 
 
 def without_leaks(train: DataFrame, exam: DataFrame, group: str, key: str, scratch: Scratch | None = None) -> DataFrame:
@@ -77,7 +79,7 @@ def without_leaks(train: DataFrame, exam: DataFrame, group: str, key: str, scrat
     both = train.select(group, key).unionByName(exam.select(group, key))
     comp = link_groups(both, group, key, scratch)
     touched = exam.select(group).join(comp, group).select("component").distinct()
-    clean = comp.join(touched, "component", "left_anti").select(group)
+    clean = look_up(comp, touched, "component", how="left_anti").select(group)
     return train.join(clean, group, "left_semi")
 
 

@@ -7,41 +7,70 @@ from pyspark.sql import functions as F
 
 from quarrymill.session import Scratch
 
+#: Rows of a key beyond which a join doesn't send them all to one task.
+MANY_ROWS = 200_000
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None, name: str = "cc") -> DataFrame:
+
+def look_up(rows: DataFrame, entries: DataFrame, key: str, many: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with the entry of their key, where ``entries`` has one row a key at most.
+
+    Keys of over MANY_ROWS rows are few (the number of rows divided by that), so their entries are broadcast and their rows
+    stay where they are; the others meet in a shuffle. ``many`` has these keys; without it, rows are counted.
+    """
+    if many is None:
+        many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_ROWS)
+    keys = [r[0] for r in many.where(F.col(key).isNotNull()).select(key).collect()]
+    if not keys:
+        return rows.join(entries, key, how)
+    often = F.col(key).isin(keys)
+    few = rows.where(~F.coalesce(often, F.lit(False))).join(entries, key, how)
+    return few.unionByName(rows.where(often).join(F.broadcast(entries.where(often)), key, how))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, name: str = "cc", rows: int = 0) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); component is the smallest node reachable.
 
     Each round hooks every component to its smallest neighbour, follows the hooks to their roots by pointer doubling,
-    and contracts the edges, so both rounds and doublings are logarithmic in the number of nodes. Every step is an
-    aggregation that combines before its shuffle or an equi-join that adaptive execution can split, so a node with
-    very many edges is no bottleneck. Rounds are cut by written tables. Nulls and self-loops link nothing.
+    and contracts the edges, so both rounds and doublings are logarithmic in the number of nodes. Only nodes that others
+    hook to are doubled. The rounds' roots are put together from the last to the first, so one join has all nodes. Every
+    step is an aggregation that combines before its shuffle or a ``look_up``, so neither a node with very many edges nor
+    a component with most of the nodes is a bottleneck. Rounds are cut by written tables, whose shuffles have partitions by
+    their rows (``rows``: at most so many edges come in). Nulls and self-loops link nothing.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    both = edges.where("src is not null and dst is not null and src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    live = scratch.table(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}_edges_0")
-    label, round_ = None, 0
-    while not live.isEmpty():
-        round_ += 1
-        hooks = scratch.table(live.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), f"{name}_hooks_{round_}_0")
-        jump = 0
+    linked = edges.where("src is not null and dst is not null and src <> dst")
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = linked.select(F.inline(F.array(pair("src", "dst"), pair("dst", "src"))))
+    live = scratch.table(both.distinct(), f"{name}_edges_0", 2 * rows)
+    rounds: list[DataFrame] = []
+    while size := live.count():
+        r = len(rounds) + 1
+        hooks = scratch.table(live.groupBy("u").agg(F.least("u", F.min("v")).alias("p"), F.count(F.lit(1)).alias("degree")), f"{name}_hooks_{r}", size)
+        hubs = hooks.where(F.col("degree") > MANY_ROWS).select("u")
+        hooks = hooks.select("u", "p")
+        pointed = hooks.groupBy(F.col("p").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+        inner = scratch.table(hooks.join(pointed, "u"), f"{name}_inner_{r}_0", size)
+        many, ups, jump = inner.where(F.col("n") > MANY_ROWS).select(F.col("u").alias("p")), inner.select("u", "p"), 0
         while True:
             jump += 1
-            up = hooks.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            doubled = hooks.join(up, "p").select("u", "pp", (F.col("pp") != F.col("p")).alias("moved"))
-            doubled = scratch.table(doubled, f"{name}_hooks_{round_}_{jump}")
-            hooks = doubled.select("u", F.col("pp").alias("p"))
+            up = ups.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            doubled = scratch.table(look_up(ups, up, "p").select("u", "pp", (F.col("pp") != F.col("p")).alias("moved")), f"{name}_inner_{r}_{jump}", size)
+            ups = doubled.select("u", F.col("pp").alias("p"))
             if doubled.where("moved").isEmpty():
                 break
-        roots = hooks
-        if label is None:
-            label = roots.select(F.col("u").alias("node"), F.col("p").alias("component"))
-        else:
-            over = roots.select(F.col("u").alias("component"), "p")
-            label = label.join(over, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-            label = scratch.table(label, f"{name}_label_{round_}")
+        roots = look_up(hooks, ups.select(F.col("u").alias("p"), F.col("p").alias("root")), "p", many).select("u", F.col("root").alias("p"))
+        roots = scratch.table(roots, f"{name}_roots_{r}", size)
+        rounds.append(roots)
         to = roots.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        contracted = live.join(roots, "u").select("v", F.col("p").alias("u")).join(to, "v").select("u", F.col("pv").alias("v"))
-        live = scratch.table(contracted.where("u <> v").distinct(), f"{name}_edges_{round_}")
-    if label is None:
+        moved = look_up(live, roots, "u", hubs).select("v", F.col("p").alias("u"))
+        contracted = look_up(moved, to, "v", hubs.select(F.col("u").alias("v"))).select("u", F.col("pv").alias("v"))
+        live = scratch.table(contracted.where("u <> v").distinct(), f"{name}_edges_{r}", size)
+    if not rounds:
         return both.select(F.col("u").alias("node"), F.col("v").alias("component")).where("false")
-    return label
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("u").alias("p"), F.col("p").alias("root"))
+        found = look_up(rounds[-1], later, "p", how="left").select("u", F.coalesce("root", "p").alias("p"))
+        found = scratch.table(found, f"{name}_found_{len(rounds)}", rounds[-1].count())
+        rounds.pop()
+    return found.select(F.col("u").alias("node"), F.col("p").alias("component"))

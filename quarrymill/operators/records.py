@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import split_name, split_unit
 from quarrymill.operators.canonical import keep_first, link_groups
+from quarrymill.operators.components import look_up
 from quarrymill.operators.labels import duplicate_observations, unknown_records
 from quarrymill.session import Scratch
 from quarrymill.sources.readers import content_hash
@@ -31,7 +32,7 @@ def component_labels(rows: DataFrame, group: str, key: str, scratch: Scratch | N
     digits = F.when(F.col("of").isNull(), F.col("short")).otherwise(F.substring("h", 1, 24))
     name = F.when(F.col("n") > 1, F.concat(F.lit("xc"), digits))
     names = per.withColumn("short", short).join(shared, "short", "left").select("component", name.alias("name"))
-    return comp.join(names, "component").select(group, F.coalesce("name", F.col(group).cast("string")).alias("label"))
+    return look_up(comp, names, "component").select(group, F.coalesce("name", F.col(group).cast("string")).alias("label"))
 
 
 def normalized(rows: DataFrame, source: str, row: str, identity: Column, game: str, valid: Column, scratch: Scratch | None = None) -> DataFrame:

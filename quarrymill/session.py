@@ -31,12 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def range_partitions(spark: SparkSession) -> int:
     """How many range partitions an order is cut into: as many as shuffles have, which a cluster sets by its data."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get(PARTITIONS)))
 
 
 #: Spark's setting for deleting the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's setting for the number of shuffle partitions, and how many rows one of them should have at most where rows are known.
+PARTITIONS = "spark.sql.shuffle.partitions"
+ROWS_A_TASK = 500_000
+#: Spark's setting for putting small shuffle partitions together, which goes by bytes and knows no rows.
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
+
 
 class Scratch:
     """Parquet tables in the folder that the driver and all executors share.
@@ -54,16 +60,24 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="quarrymill-")
         self.spark, self.root = spark, f"{base}/quarrymill-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back. Names must be new within one Scratch."""
+    def table(self, df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+        """``df`` written and read back. Names must be new within one Scratch.
+
+        ``rows``, how many go into its shuffles, cuts these finer than the session does if a task had over ROWS_A_TASK.
+        """
         path = f"{self.root}/{name}"
         # The shuffles that made the table go with the write; no one reads them again.
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
+        settings = {CLEANUP: "true"}
+        if rows // ROWS_A_TASK > int(self.spark.conf.get(PARTITIONS)):
+            settings |= {PARTITIONS: str(rows // ROWS_A_TASK), COALESCE: "false"}
+        before = {k: self.spark.conf.get(k) for k in settings}
         try:
+            for k, v in settings.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -1,8 +1,11 @@
 """Queries over whole tables, where others keep a slice that SQL can follow."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarrymill import session
+from quarrymill.operators import components
 
 ROWS = [(1, 7, 1.0), (2, 7, 50.0), (2, 8, 3.0), (3, 8, 4.0), (4, 9, 50.0), (5, 9, 50.0), (10, 5, 2.0), (11, 5, 2.0), (12, 6, 50.0), (3, 11, 9.0), (13, 11, 1.0), (14, None, 1.0)]
 
@@ -51,3 +54,24 @@ def test_prefixes_end_between_lines_of_one_number(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     assert con.execute(entry.oracle_sql()["prefix_budget"]).fetchall() == [(1, 30000.0)]
     assert tuple(entry.queries()["prefix_budget"](spark, str(tmp_path)).first()) == (1, 30000.0)
+
+
+def test_keys_of_many_rows_are_not_sent_to_one_task(spark, monkeypatch):
+    """A star, a chain and a pair, with every key of over two rows held by many: components stay, and the hub's rows are not shuffled by it."""
+    monkeypatch.setattr(components, "MANY_ROWS", 2)
+    edges = [(0, i) for i in range(1, 9)] + [(i, i + 1) for i in range(20, 60)] + [(i, 60) for i in range(70, 75)] + [(90, 91), (None, 3), (5, 5)]
+    got = {r[0]: r[1] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(9), 0) | dict.fromkeys([*range(20, 61), *range(70, 75)], 20) | {90: 90, 91: 90}
+    rows, entries = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 9), (3, 7), (None, 8)], "k long, v long"), spark.createDataFrame([(1, "a"), (2, "b")], "k long, e string")
+    for how in ("inner", "left", "left_anti"):
+        joined = components.look_up(rows, entries, "k", how=how)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, rows.join(entries, "k", how).collect()))
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_of_a_written_table_are_cut_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    before = spark.conf.get(session.PARTITIONS), spark.conf.get(session.COALESCE)
+    kept = session.Scratch(spark).table(spark.range(1000).select((F.col("id") * 7).alias("k")).groupBy("k").count().withColumn("part", F.spark_partition_id()), "t", 1000)
+    assert kept.select("part").distinct().count() == 10 and kept.count() == 1000
+    assert (spark.conf.get(session.PARTITIONS), spark.conf.get(session.COALESCE)) == before
