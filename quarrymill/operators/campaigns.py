@@ -92,9 +92,13 @@ def affordable(rows: DataFrame, chunk: str, cost: str, target: Column) -> DataFr
 
 
 def prefix_proof(rows: DataFrame, key: str, cost: str, by: Sequence[str] = ()) -> DataFrame:
-    """What two realisations of a prefix must have alike, for each ``by``: rows, distinct ids, the ids' hash and the summed cost."""
-    parts = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("ids"), content_hash(F.col(key).cast("string")).alias("ids_hash"), F.sum(cost).alias("cost")]
-    return rows.groupBy(*by).agg(*parts)
+    """What two realisations of a prefix must have alike, for each ``by``: rows, distinct ids, the ids' hash and the summed cost.
+
+    Rows of an id are added up first, so what is shuffled is its count and cost and not the hash's sums.
+    """
+    per = rows.groupBy(*by, key).agg(F.count(F.lit(1)).alias("__n"), F.sum(cost).alias("__cost"))
+    parts = [F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.count(key).alias("ids"), content_hash(F.col(key).cast("string"), F.col("__n")).alias("ids_hash"), F.sum("__cost").alias("cost")]
+    return per.groupBy(*by).agg(*parts)
 
 
 def _beside(sums: DataFrame, arm: str, reference: str, **columns: str) -> DataFrame:

@@ -165,14 +165,16 @@ def canonical_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def content_hash(text: Column) -> Column:
-    """An aggregate: a hash of all texts of a group, with their repeats and whatever their order.
+def content_hash(text: Column, times: Column | None = None) -> Column:
+    """An aggregate: a hash of all texts of a group, with their repeats and whatever their order; ``times`` tells how often a text is there.
 
     The eight 32-bit lanes of the texts' SHA-256 are summed, which combines before the shuffle and needs no task with all
     rows, and the sums are hashed.
     """
     digest = F.sha2(text, 256)
-    lane = lambda i: F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)")).cast("string")
+    part = lambda i: F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10)
+    each = lambda i: part(i).cast("decimal(28,0)") if times is None else (part(i).cast("decimal(10,0)") * times.cast("decimal(17,0)"))
+    lane = lambda i: F.sum(each(i)).cast("string")
     return F.sha2(F.concat_ws(",", *map(lane, range(8))), 256)
 
 

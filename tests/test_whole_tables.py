@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarrymill import session
-from quarrymill.operators import components
+from quarrymill.operators import campaigns, components
+from quarrymill.sources import readers
 
 ROWS = [(1, 7, 1.0), (2, 7, 50.0), (2, 8, 3.0), (3, 8, 4.0), (4, 9, 50.0), (5, 9, 50.0), (10, 5, 2.0), (11, 5, 2.0), (12, 6, 50.0), (3, 11, 9.0), (13, 11, 1.0), (14, None, 1.0)]
 
@@ -75,3 +76,13 @@ def test_shuffles_of_a_written_table_are_cut_by_its_rows(spark, monkeypatch):
     kept = session.Scratch(spark).table(spark.range(1000).select((F.col("id") * 7).alias("k")).groupBy("k").count().withColumn("part", F.spark_partition_id()), "t", 1000)
     assert kept.select("part").distinct().count() == 10 and kept.count() == 1000
     assert (spark.conf.get(session.PARTITIONS), spark.conf.get(session.COALESCE)) == before
+
+
+def test_proofs_shuffle_counts_of_ids_and_no_sums_of_hashes(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("a", 2, 1.0), ("b", None, 4.0)], "arm string, id long, cost double")
+    proof = campaigns.prefix_proof(rows, "id", "cost", ["arm"])
+    want = rows.groupBy("arm").agg(F.count(F.lit(1)), F.count_distinct("id"), readers.content_hash(F.col("id").cast("string")), F.sum("cost"))
+    assert sorted(map(tuple, proof.collect())) == sorted(map(tuple, want.collect()))
+    plan = proof._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "sha2" not in plan[plan.rindex("Exchange hashpartitioning"):]
+    assert campaigns.prefix_proof(rows.where("false"), "id", "cost").first()["rows"] == 0
