@@ -89,7 +89,10 @@ def frozen(records: DataFrame, seed: int, train: float = 0.8, val: float = 0.1,
 def manifest(dataset: DataFrame, by: str = "split", key: str = "record_id") -> DataFrame:
     """(by, rows, groups, ids_hash, rows_hash) of a frozen dataset: what a later reader holds it against."""
     line = F.to_json(F.struct(*sorted(dataset.columns)), {"ignoreNullFields": "false"})
-    return dataset.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("group").alias("groups"), content_hash(F.col(key).cast("string")).alias("ids_hash"), content_hash(line).alias("rows_hash"))
+    # Groups are counted beside the sums: a distinct count among them would shuffle the hashes' sums for each group.
+    sums = dataset.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), content_hash(F.col(key).cast("string")).alias("ids_hash"), content_hash(line).alias("rows_hash"))
+    groups = dataset.groupBy(F.col(by).alias("__by")).agg(F.countDistinct("group").alias("groups"))
+    return sums.join(groups, F.col(by).eqNullSafe(F.col("__by"))).select(by, "rows", "groups", "ids_hash", "rows_hash")
 
 
 def verification(dataset: DataFrame, recorded: DataFrame, by: str = "split", key: str = "record_id") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarrymill import session
-from quarrymill.operators import campaigns, components
+from quarrymill.operators import campaigns, components, records
 from quarrymill.sources import readers
 
 ROWS = [(1, 7, 1.0), (2, 7, 50.0), (2, 8, 3.0), (3, 8, 4.0), (4, 9, 50.0), (5, 9, 50.0), (10, 5, 2.0), (11, 5, 2.0), (12, 6, 50.0), (3, 11, 9.0), (13, 11, 1.0), (14, None, 1.0)]
@@ -86,3 +86,11 @@ def test_proofs_shuffle_counts_of_ids_and_no_sums_of_hashes(spark):
     plan = proof._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "sha2" not in plan[plan.rindex("Exchange hashpartitioning"):]
     assert campaigns.prefix_proof(rows.where("false"), "id", "cost").first()["rows"] == 0
+
+
+def test_manifests_count_groups_beside_the_sums(spark):
+    data = spark.createDataFrame([(1, "g", "train"), (2, "g", "train"), (3, "h", "val"), (4, "h", None)], "record_id long, group string, split string")
+    made = records.manifest(data)
+    assert {(r["split"], r["rows"], r["groups"]) for r in made.collect()} == {("train", 2, 1), ("val", 1, 1), (None, 1, 1)}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not [x for x in plan.splitlines() if "HashAggregate(keys=" in x and "group#" in x.split("functions=")[0] and "sum(" in x]
