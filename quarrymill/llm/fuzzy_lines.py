@@ -9,11 +9,16 @@ Shingles of 5 characters let a line of 49 characters or more meet its variant wi
 variant is below 80 % unless the letter is near an end. With 5 rows in each of 16 bands, two lines that are 80 % similar
 meet with a chance of 0.998, at 90 % of 0.999999; unrelated lines of one language, some of which share 10 % of such short
 shingles, meet by chance in fewer bands the more rows a band has.
+
+How many lines meet by chance grows with the square of their number, so a member of a list goes on only if another member
+may be similar to it: of each of 64 coordinates of the signature a line has two bits, which agree with a chance of
+0.85 for lines that are 80 % similar and of 0.33 for lines at 10 %. A list is read in order, so its members meet without a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +32,8 @@ from quarrymill.session import Scratch
 
 #: Up to so many documents or lines are picked by a broadcast of their ids; more by a shuffle.
 BROADCAST_IDS = 500_000
+#: Coordinates of a signature that have bits in a line's sketch, and the members of a list up to which sketches are compared.
+SKETCHED, SKETCHED_LIST = 64, 1_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -44,6 +51,9 @@ class Settings:
 LINES = Settings(shingle=5, bands=16, rows=5)
 
 
+#: Brings what all bits of a coordinate tell into its highest ones.
+SPREAD = np.uint32(0x9E3779B1)
+
 _kept_powers: list[np.ndarray] = []
 
 
@@ -81,22 +91,101 @@ def _bands(s: Settings):
     rng = np.random.default_rng(17)
     factors = rng.integers(0, 2**31, k, np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def of(lines: list[str]) -> np.ndarray:
+    def of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h, starts = shingle_hashes(lines, s.shingle)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        out = np.zeros((len(lines), s.bands), np.uint64)
+        out, sketch = np.zeros((len(lines), s.bands), np.uint64), np.zeros((2, len(lines)), np.uint64)
         for j in range(k):
             least = np.minimum.reduceat(h * factors[j], starts)
             out[:, j // s.rows] = mix(out[:, j // s.rows] * M2 + least + np.uint64(j // s.rows))
-        return out
+            if j < SKETCHED:
+                bits = (least * SPREAD >> np.uint32(30)).astype(np.uint64)
+                sketch |= np.stack([bits >> np.uint64(1), bits & np.uint64(1)]) << np.uint64(j)
+        return (out >> np.uint64(32)).astype(np.uint32), sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                bands = of(batch.column("line").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, s.bands, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "k1", "k2")), lists], ["doc_id", "at", "k1", "k2", "bands"])
+                bands, sketch = of(batch.column("line").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, s.bands, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int32)))
+                columns = [*(batch.column(c) for c in ("doc_id", "at", "k1", "k2")), lists, *(pa.array(x.view(np.int64)) for x in sketch)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "k1", "k2", "bands", "s1", "s2"])
+
+    return run
+
+
+def _in_lists(rows: DataFrame, run: Callable) -> DataFrame:
+    """(token, node): what ``run`` keeps of rows that come list after list."""
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(frugal(run), "token long, node long")
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose token the row before or the row after has too."""
+    token, node, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((token, "token"), (node, "node")))
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([[met], same]) | np.concatenate([same, [False]])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (token, node)], ["token", "node"])
+        # The last row waits for the one after it.
+        token, node, met = token[-1:], node[-1:], bool(keep[-1])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], ["token", "node"])
+
+
+def most_apart(s: Settings) -> int:
+    """In how many coordinates the sketches of two lines may differ that are to be compared; lines at ``percent`` differ
+    in more with a chance under 1e-5."""
+    n, p = min(SKETCHED, s.bands * s.rows), s.percent / 100
+    differ = (1 - p) * 3 / 4
+    return math.ceil(n * differ + 5.2 * math.sqrt(n * differ * (1 - differ)))
+
+
+def _alike(token: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have a row of their token, all of which stand together, whose sketch differs in ``most`` coordinates at most."""
+    ends = np.flatnonzero(np.append(token[1:] != token[:-1], True)) + 1
+    sizes = np.diff(np.append(0, ends))
+    left = np.repeat(ends, sizes) - np.arange(len(token))
+    out = np.repeat(sizes > SKETCHED_LIST, sizes)
+    i, d = np.flatnonzero((left > 1) & ~out), 1
+    while len(i):
+        near = i[np.bitwise_count(s1[i] ^ s1[i + d] | s2[i] ^ s2[i + d]) <= most]
+        out[near] = out[near + d] = True
+        d += 1
+        i = i[left[i] > d]
+    return out
+
+
+def _similar(s: Settings):
+    """The rows with another of their token that may be similar. Lists of over SKETCHED_LIST rows go on whole."""
+    most = most_apart(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "node", "s1", "s2"]
+        rest, long = [np.zeros(0, np.int64)] * 4, None
+
+        def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
+            token, node, s1, s2 = rows
+            keep = _alike(token, s1.view(np.uint64), s2.view(np.uint64), most) | (token == long if long is not None else False)
+            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names[:2])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, names)]
+            # The last list waits for its end, unless it is a long one.
+            start = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            going_on = len(rows[0]) - start > SKETCHED_LIST or rows[0][-1] == long
+            cut, last = len(rows[0]) if going_on else start, rows[0][-1]
+            if cut:
+                long = last if going_on else long
+                yield kept([x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+        if len(rest[0]):
+            yield kept(rest)
 
     return run
 
@@ -184,15 +273,18 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     """(doc_id, at): the lines to remove, as places in their documents (see ``DOC``), from 0."""
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
     keyed = lines_of(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit("second"))})
-    signed = keyed.mapInArrow(frugal(_bands(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands array<long>")
-    # All of a class have the same bands, so any of them will do. Its number is written with it, and means nothing else.
-    classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("bands").alias("bands"))
-    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("node", F.explode("bands").alias("token"))
-    shared = banded.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    postings = scratch.table(banded.join(shared, "token"), "met")
+    signed = keyed.mapInArrow(frugal(_bands(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands array<int>, s1 long, s2 long")
+    # All of a class have the same signature, so any of them will do. Its number is written with it, and means nothing else.
+    signature = F.first(F.struct("bands", "s1", "s2")).alias("signature")
+    classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("lines"), signature)
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()).select("*", "signature.*").drop("signature"), "classes")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
+    met = scratch.table(_in_lists(banded.select("node", F.expr("shiftleft(cast(band AS long), 32) | (hash & 4294967295)").alias("token")), _meeting), "met")
+    postings = scratch.table(_in_lists(met.join(classes.select("node", "s1", "s2"), "node").select("token", "node", "s1", "s2"), _similar(s)), "similar")
+    scratch.drop("met")
     nodes = scratch.table(postings.select("node").distinct().join(classes.select("node", "first.*"), "node"), "nodes")
-    root = classes.select("k1", "k2", "first", "node")
+    # A class of one line that is linked to no other keeps it.
+    root = classes.where("lines > 1").select("k1", "k2", "first")
     if not nodes.isEmpty():
         wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["node"]).select("node", "line")
         texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), "node long, line string, n int"), "texts")
@@ -210,10 +302,10 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
             return both(pairs, _spread(s), "spread array<int>, bits array<long>")
 
         comp = linked_components(postings, compare, None, spread, s.percent, s.pairs_a_line * nodes.count(), scratch, s.pivot_rounds)
-        root = root.join(comp, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-        earliest = root.groupBy("node").agg(F.min("first").alias("first"))
-        root = root.drop("first").join(earliest, "node")
-    places = keyed.select("doc_id", "at", "k1", "k2").join(root.select("k1", "k2", "first"), ["k1", "k2"])
+        linked = scratch.table(comp.join(classes.select("node", "k1", "k2", "first"), "node"), "linked")
+        earliest = linked.groupBy("component").agg(F.min("first").alias("first"))
+        root = root.join(linked.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(linked.drop("first").join(earliest, "component").select("k1", "k2", "first"))
+    places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
     return places.where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at")
 
 

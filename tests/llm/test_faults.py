@@ -7,12 +7,14 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quarrymill.llm import crf_html, ecoc_lang
+from quarrymill.llm import crf_html, ecoc_lang, fuzzy_lines
 from quarrymill.llm.fuzzy_lines import dedup_lines
 from quarrymill.llm.minhash_join import near_duplicates
 from quarrymill.llm.template_decontam import EDGE, UNITS, decontaminate
+from quarrymill.session import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -225,3 +227,33 @@ def test_tags_that_nothing_closes_take_linear_time():
         began = time.perf_counter()
         crf_html.leaf_blocks(piece * (1_000_000 // len(piece)))
         assert time.perf_counter() - began < 10, piece
+
+
+def test_lines_that_meet_by_chance_go_no_further(spark, monkeypatch):
+    """Members of a list go on if another may be similar, in whatever pieces the rows come and however long lists are."""
+    rng = np.random.default_rng(3)
+    token = np.sort(rng.integers(0, 400, 3_000))
+    token[1_000:1_400] = token[1_000]
+    token.sort()
+    s1, s2 = (rng.integers(-(2**63), 2**63 - 1, 3_000) for _ in "ab")
+    copies = rng.integers(0, 3_000, 900)
+    s1[copies], s2[copies] = s1[copies - 1] ^ 5, s2[copies - 1] ^ 8
+    node, most = np.arange(3_000), fuzzy_lines.most_apart(fuzzy_lines.LINES)
+    monkeypatch.setattr(fuzzy_lines, "SKETCHED_LIST", 100)
+    apart = lambda i, j: (int(s1[i] ^ s1[j]) | int(s2[i] ^ s2[j])) & (2**64 - 1)
+    near = {i for _, g in itertools.groupby(node, key=lambda i: token[i]) for g in [list(g)] for i in g if len(g) > 100 or any(i != j and apart(i, j).bit_count() <= most for j in g)}
+    rows = pa.table({"token": token, "node": node, "s1": s1, "s2": s2})
+    shared = {i for i in node if i and token[i] == token[i - 1] or i < 2_999 and token[i] == token[i + 1]}
+    for size in (1, 7, 150, 3_000):
+        batches = lambda: iter(rows.to_batches(max_chunksize=size))  # noqa: B023, E731
+        assert [x for b in fuzzy_lines._similar(fuzzy_lines.LINES)(batches()) for x in b.column("node").to_pylist()] == sorted(near)
+        assert [x for b in fuzzy_lines._meeting(batches()) for x in b.column("node").to_pylist()] == sorted(shared)
+    assert 400 < len(near) < len(shared)
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiou" if k % 2 else "bdklmnprst") for k in range(6)) for _ in range(60)]
+    lines = [(i, " ".join(rng.choices(words, k=12))) for i in range(3_000)]
+    scratch = Scratch(spark)
+    gone = fuzzy_lines.repeated_lines(spark.createDataFrame(lines + [(3_000, lines[7][1] + "s")], "doc_id long, text string"), scratch=scratch).collect()
+    assert [r["doc_id"]["doc_id"] for r in gone] == [3_000]
+    assert spark.read.parquet(f"{scratch.root}/similar").select("node").distinct().count() < 300
