@@ -2,19 +2,22 @@
 
 A text is parsed once. A walk is a chain of explodes inside the scan's stage: each level replaces a container by itself
 and its children, so a record's nodes are made where the record is, without a shuffle. How deep the chain goes is
-measured on the table first (``depth_of``), so no value is too deep.
+measured on the table first (``depth_of``), so no value is too deep. Where two values of a record are compared, VARIANT
+gives each text its canonical form, and one small function follows both at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A string of JSON, with its escapes.
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-WHOLE = r"^-?\d+$"
+WHOLE, PLACE = re.compile(r"-?\d+\Z"), re.compile(r"\[\d+\]")
 NUMBERS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
 
 
@@ -134,9 +137,46 @@ def assert_static(rows: DataFrame, json: str, key: str, forbidden: Sequence[str]
         raise ValueError(f"record {first[0][key]!r}: " + "; ".join(f"{why}: {paths}" for why, paths in by.items()))
 
 
-def _number(text: Column) -> Column:
-    """The number of a JSON text, true and false as 1 and 0; null for all else."""
-    return F.when(text == "true", 1.0).when(text == "false", 0.0).when(text.rlike("^[-0-9]"), text.try_cast("double"))
+def _differences(tolerances: Mapping[str, float], root: str, depth: int | None) -> Callable[[str, str], list[str]]:
+    """From two JSON texts as Spark writes VARIANTs to the paths where they differ, see ``parity``."""
+    given = {k: float(v) for k, v in tolerances.items()}
+
+    def number(value: object) -> float | None:
+        return float(value[1]) if isinstance(value, tuple) else float(value) if isinstance(value, bool) else None
+
+    def same(path: str, a: object, b: object) -> bool:
+        if type(a) is type(b) and a == b:
+            return True
+        x, y = number(a), number(b)
+        if x is None or y is None:
+            return False
+        most = given.get(path, given.get(PLACE.sub("[*]", path)))
+        if most is not None:
+            return abs(x - y) <= most
+        # Whole numbers with other digits differ, however large they are; others are compared as numbers.
+        return not (isinstance(a, tuple) and isinstance(b, tuple) and WHOLE.match(a[1]) and WHOLE.match(b[1])) and abs(x - y) == 0
+
+    def run(ours: str, theirs: str) -> list[str]:
+        if ours == theirs:
+            return []
+        # A number stays the text that it is, in a tuple, which no other value is.
+        load = lambda text: json.loads(text, parse_int=lambda n: ("n", n), parse_float=lambda n: ("n", n))
+        out, todo = [], [(root, load(ours), load(theirs), 0)]
+        while todo:
+            path, a, b, level = todo.pop()
+            goes_on = depth is None or level < depth
+            if goes_on and isinstance(a, dict) and isinstance(b, dict):
+                todo += [(f"{path}.{k}" if path else k, a.get(k), b.get(k), level + 1) for k in a.keys() | b.keys()]
+            elif goes_on and isinstance(a, list) and isinstance(b, list):
+                if len(a) != len(b):
+                    out.append(f"{path}.length({len(a)}!={len(b)})")
+                else:
+                    todo += [(f"{path}[{i}]", x, y, level + 1) for i, (x, y) in enumerate(zip(a, b))]
+            elif not same(path, a, b):
+                out.append(path or "<root>")
+        return out
+
+    return run
 
 
 def parity(both: DataFrame, left: str, right: str, tolerances: Mapping[str, float] | None = None, accepted: Sequence[str] = (), root: str = "", depth: int | None = None) -> DataFrame:
@@ -148,44 +188,16 @@ def parity(both: DataFrame, left: str, right: str, tolerances: Mapping[str, floa
     ``accepted`` paths may differ. Paths begin with ``root``; that of whole values is "<root>". Null texts are equal to
     JSON's null; a text that is no JSON differs from all but its like.
     """
-    tolerances = tolerances or {}
-    depth = deepest(both, left, right) if depth is None else depth
     body = [c for c in both.columns if c not in (left, right)]
 
-    def parsed(c: str) -> Column:
-        return F.coalesce(F.try_parse_json(c), F.when(F.col(c).isNotNull(), F.to_variant_object(F.struct(F.col(c).alias("__malformed")))), F.try_parse_json(F.lit("null")))
+    def canonical(c: str) -> Column:
+        parsed = F.coalesce(F.try_parse_json(c), F.when(F.col(c).isNotNull(), F.to_variant_object(F.struct(F.col(c).alias("__malformed")))), F.try_parse_json(F.lit("null")))
+        return F.to_json(parsed)
 
-    def pair(path: Column, a: Column, b: Column, fresh: bool) -> Column:
-        return F.struct(path.alias("path"), a.alias("a"), b.alias("b"), F.lit(fresh).alias("fresh"))
-
-    null = F.try_parse_json(F.lit("null"))
+    differences = F.udf(_differences(tolerances or {}, root, depth), "array<string>", useArrow=True)
     # Equal texts hold no difference, which spares most records the walk.
-    now = both.where(~F.col(left).eqNullSafe(F.col(right))).select(*body, pair(F.lit(root), parsed(left), parsed(right), True).alias("__p"))
-    none = F.array().cast(now.select(F.array("__p").alias("x")).schema["x"].dataType)
-    for _ in range(depth):
-        p = F.col("__p")
-        # What several branches use is a column first, so that it is worked out once.
-        now = now.select(*body, "__p", F.when(p["fresh"], F.to_json(p["a"])).alias("__a"), F.when(p["fresh"], F.to_json(p["b"])).alias("__b")).where("__a is null or __b is null or __a <> __b")
-        starts = lambda c: F.col("__a").startswith(c) & F.col("__b").startswith(c)
-        fields, items = starts("{"), starts("[")
-        now = now.select(*body, "__p", F.when(fields, _fields(p["a"])).alias("__fa"), F.when(fields, _fields(p["b"])).alias("__fb"), F.when(items, _items(p["a"])).alias("__ia"), F.when(items, _items(p["b"])).alias("__ib"))
-        fa, fb, ia, ib = (F.col(c) for c in ("__fa", "__fb", "__ia", "__ib"))
-        keys = F.array_sort(F.array_union(F.map_keys(fa), F.map_keys(fb)))
-        fields = F.transform(keys, lambda k: pair(_under(p["path"], k), F.coalesce(F.try_element_at(fa, k), null), F.coalesce(F.try_element_at(fb, k), null), True))
-        items = F.transform(F.sequence(F.lit(0), F.size(ia) - 1), lambda i: pair(_at(p["path"], i), F.get(ia, i), F.get(ib, i), True))
-        lengths = F.concat(p["path"], F.lit(".length("), F.size(ia).cast("string"), F.lit("!="), F.size(ib).cast("string"), F.lit(")"))
-        below = F.when(fa.isNotNull(), fields).when(F.size(ia) != F.size(ib), F.array(pair(lengths, p["a"], p["b"], False))).when(F.size(ia) == 0, none).when(ia.isNotNull(), items).otherwise(F.array(p))
-        now = now.select(*body, F.explode(below).alias("__p"))
-    now = now.select(*body, "__p.path", "__p.fresh", F.to_json("__p.a").alias("__a"), F.to_json("__p.b").alias("__b")).where("not fresh or __a <> __b")
-    now = now.select(*body, "path", "fresh", _number(F.col("__a")).alias("__x"), _number(F.col("__b")).alias("__y"), (F.col("__a").rlike(WHOLE) & F.col("__b").rlike(WHOLE)).alias("__whole"))
-    any_place, most = F.regexp_replace("path", r"\[\d+\]", "[*]"), F.lit(None).cast("double")
-    if tolerances:
-        given = F.create_map(*(F.lit(x) for item in tolerances.items() for x in (item[0], float(item[1]))))
-        most = F.coalesce(F.try_element_at(given, F.col("path")), F.try_element_at(given, any_place))
-    # Whole numbers with other digits differ, however large they are; others are compared as numbers.
-    off = F.abs(F.col("__x") - F.col("__y"))
-    same = F.col("fresh") & F.coalesce(F.when(most.isNotNull(), off <= most).otherwise(~F.col("__whole") & (off == 0)), F.lit(False))
-    out = now.where(~same).select(*body, F.when(F.col("path") == "", "<root>").otherwise(F.col("path")).alias("path"))
+    some = both.where(~F.col(left).eqNullSafe(F.col(right)))
+    out = some.select(*body, F.explode(differences(canonical(left), canonical(right))).alias("path"))
     return out.where(~F.col("path").isin(list(accepted))) if accepted else out
 
 

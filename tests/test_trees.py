@@ -109,3 +109,11 @@ def test_walks_stay_in_their_stage(texts):
     plan = trees.walk(texts, "l").select("path")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and plan.count("Exchange") == 1  # the fixture's own
     assert trees.deepest(texts, "l") == texts.agg(F.max(trees.depth_of(F.col("l")))).first()[0] >= 4
+
+
+def test_parity_walks_both_texts_once_however_deep_they_are(spark):
+    deep = lambda x: '{"a":[' * 300 + x + "]}" * 300
+    data = [(1, deep("1"), deep("2")), (2, deep("1"), deep("1.0")), (3, '{"a":[1,true]', '{"a":[1,true]}'), (4, '{"n":123456789012345678901}', '{"n":123456789012345678902}'), (5, '{"b":true}', '{"b":1}')]
+    found = trees.parity(spark.createDataFrame(data, "id long, l string, r string"), "l", "r")
+    assert sorted((r.id, r.path) for r in found.collect()) == [(1, ".".join(["a[0]"] * 300)), (3, "__malformed"), (3, "a"), (4, "n")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
