@@ -171,38 +171,47 @@ def _possible(d: _Doc, shared: list[int], rounds: int, powers: _Powers) -> np.nd
     return d.fresh & (names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own)
 
 
-def _windows(window: int, rounds: int):
+#: ``repeat`` has a bit for each window that goes unless it turns out to be the first of its words.
+MARKED = "doc_id long, text string, repeat binary, f1 array<long>, f2 array<int>, start array<int>"
+
+
+def _marked(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), _Powers()
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
-                batch, out = whole.slice(start, 200), [[], [], [], []]
-                for doc_id, text, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shared"))):
+                batch, repeats, out = whole.slice(start, 200), [], [[], [], []]
+                for text, shared in zip(*(batch.column(c).to_pylist() for c in ("text", "shared"))):
                     d = _Doc(text, window, hashes, powers)
-                    at = np.flatnonzero(_possible(d, shared, rounds, powers))
+                    possible = _possible(d, shared, rounds, powers)
+                    at = np.flatnonzero(possible)
                     second = spans(mix(d.h), 1, at, at + window, powers) >> np.uint64(32)
-                    for column, x in zip(out, (d.prints[at].view(np.int64), second.astype(np.uint32).view(np.int32), np.full(len(at), doc_id, np.int64), at.astype(np.int32))):
+                    repeats.append(np.packbits(~d.fresh | possible).tobytes())
+                    for column, x in zip(out, (d.prints[at].view(np.int64), second.astype(np.uint32).view(np.int32), at.astype(np.int32))):
                         column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["f1", "f2", "doc_id", "start"])
+                if repeats:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[0]])]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in out]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(repeats, pa.binary()), *lists], ["doc_id", "text", "repeat", "f1", "f2", "start"])
 
     return run
 
 
-def _last_pass(window: int, rounds: int):
+def _last_pass(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), _Powers()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch, removed, kept, n = whole.slice(start, 1000), [], [], []
-                for text, shared, firsts in zip(*(batch.column(c).to_pylist() for c in ("text", "shared", "firsts"))):
-                    d = _Doc(text, window, hashes, powers)
-                    repeat = ~d.fresh | _possible(d, shared, rounds, powers)
-                    repeat[np.array(firsts or [], np.int64)] = False
-                    covered = _covered(repeat, d.n, window)
+                for text, bits, firsts in zip(*(batch.column(c).to_pylist() for c in ("text", "repeat", "firsts"))):
+                    words = (text or "").encode().split()
+                    repeat = np.unpackbits(np.frombuffer(bits, np.uint8), count=max(0, len(words) - window + 1)).astype(bool)
+                    # Another text of the doc_id may have more windows.
+                    firsts = np.array(firsts or [], np.int64)
+                    repeat[firsts[firsts < len(repeat)]] = False
+                    covered = _covered(repeat, len(words), window)
                     removed.append(int(covered.sum()))
-                    kept.append(_kept(d.words, covered))
-                    n.append(d.n)
+                    kept.append(_kept(words, covered))
+                    n.append(len(words))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
@@ -242,10 +251,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 1, scratch:
         return out
     ids = hits.select("doc_id")
     again = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id")
-    again = scratch.table(again.join(hits, "doc_id"), "again")
-    places = again.mapInArrow(frugal(_windows(window, rounds)), "f1 long, f2 int, doc_id long, start int")
+    # Written with what is told of a text's windows, so that anchors are looked for once here and not with each reading.
+    again = scratch.table(again.join(hits, "doc_id").mapInArrow(frugal(_marked(window, rounds)), MARKED), "again")
+    places = again.select("doc_id", F.inline(F.arrays_zip("f1", "f2", "start")))
     firsts = places.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
     firsts = scratch.table(firsts.groupBy("doc_id").agg(F.collect_list("start").alias("firsts")), "firsts")
-    done = again.join(firsts, "doc_id", "left").mapInArrow(frugal(_last_pass(window, rounds)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    done = again.select("doc_id", "text", "repeat").join(firsts, "doc_id", "left").mapInArrow(frugal(_last_pass(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     rest = out.join(ids, "doc_id", "left_anti")
     return rest.unionByName(done)

@@ -13,6 +13,7 @@ import pytest
 from quarrymill.llm import crf_html, ecoc_lang, fuzzy_lines
 from quarrymill.llm.fuzzy_lines import dedup_lines
 from quarrymill.llm.minhash_join import near_duplicates
+from quarrymill.llm.recompress import substring_dedup
 from quarrymill.llm.template_decontam import EDGE, UNITS, decontaminate
 from quarrymill.session import Scratch
 
@@ -257,3 +258,10 @@ def test_lines_that_meet_by_chance_go_no_further(spark, monkeypatch):
     gone = fuzzy_lines.repeated_lines(spark.createDataFrame(lines + [(3_000, lines[7][1] + "s")], "doc_id long, text string"), scratch=scratch).collect()
     assert [r["doc_id"]["doc_id"] for r in gone] == [3_000]
     assert spark.read.parquet(f"{scratch.root}/similar").select("node").distinct().count() < 300
+
+
+def test_texts_of_one_id_with_fewer_windows_than_another(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "short"), (1, f"{' '.join(f'v{i}' for i in range(40))} {passage}"), (2, f"u {passage} t"), (3, passage)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 0), (1, 100, 0), (2, 62, 60), (3, 60, 60)]
