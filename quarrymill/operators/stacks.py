@@ -92,15 +92,22 @@ def selected_arms(ranked: DataFrame, key: str, deep: float, audit: float, seed:
 
     Each arm is a prefix of an order, taken without a global sort (see smallest).
     """
+    out = ranked
+    for name, ids in arm_ids(ranked, key, deep, audit, seed).items():
+        out = out.join(ids.withColumn(name, F.lit(True)), key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("deep", "uniform", "audit")})
+
+
+def arm_ids(ranked: DataFrame, key: str, deep: float, audit: float, seed: int = 0) -> dict[str, DataFrame]:
+    """The keys of each arm of ``selected_arms``, for callers that need no rows outside the arms."""
     n = ranked.count()
     k, a = round(deep * n), round(audit * n)
     pool = ranked.where("not holdout").select(key, "rank")
-    deep_ids = smallest(pool, F.lpad(F.hex(F.col("rank").cast("long")), 16, "0"), key, k).select(key, F.lit(True).alias("deep"))
-    uniform = smallest(pool, sample_order(seed, F.col(key), "uniform"), key, k).select(key, F.lit(True).alias("uniform"))
+    deep_ids = smallest(pool, F.lpad(F.hex(F.col("rank").cast("long")), 16, "0"), key, k).select(key)
+    uniform = smallest(pool, sample_order(seed, F.col(key), "uniform"), key, k).select(key)
     left = pool.join(deep_ids, key, "left_anti")
-    audit_ids = smallest(left, sample_order(seed, F.col(key), "audit"), key, a).select(key, F.lit(True).alias("audit"))
-    out = ranked.join(deep_ids, key, "left").join(uniform, key, "left").join(audit_ids, key, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("deep", "uniform", "audit")})
+    audit_ids = smallest(left, sample_order(seed, F.col(key), "audit"), key, a).select(key)
+    return {"deep": deep_ids, "uniform": uniform, "audit": audit_ids}
 
 
 def by_exact_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,13 @@ def top_reasons(spark, sf):
     return reasons.groupBy("reason", (F.col("place") + 1).alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _arms(spark, sf):
+def _held(spark, sf):
     ranked = Scratch(spark).table(triage.ranked(_scored(spark, sf).drop("parts"), "priority", "o_orderkey", 2), "ranked")
-    held = stacks.holdout(ranked, "o_orderkey", 0.1, 2)
-    return stacks.selected_arms(held, "o_orderkey", 0.1, 0.05, 2)
+    return stacks.holdout(ranked, "o_orderkey", 0.1, 2)
+
+
+def _arms(spark, sf):
+    return stacks.selected_arms(_held(spark, sf), "o_orderkey", 0.1, 0.05, 2)
 
 
 ARMS_SQL = SCORED_SQL + """, h AS (SELECT o_orderkey, priority, rank, ('0x' || substr(sha256('2:holdout:' || o_orderkey), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.1 AS holdout FROM r),
@@ -93,8 +98,11 @@ def arms_topk_uniform_audit(spark, sf):
 @query(ARMS_SQL + """, u AS (SELECT 'deep' AS arm, * FROM s WHERE deep UNION ALL SELECT 'uniform', * FROM s WHERE uniform UNION ALL SELECT 'audit', * FROM s WHERE audit)
     SELECT arm, count(*) AS n, count(*) FILTER (o_totalprice > 150000)::DOUBLE / count(*) AS large_rate, round_even(avg(o_totalprice), 3) AS mean_price FROM u JOIN orders USING (o_orderkey) GROUP BY 1""")
 def arm_report(spark, sf):
-    rows = _arms(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    return triage.arm_report(rows, ["deep", "uniform", "audit"], {"large_rate": F.avg((F.col("o_totalprice") > 150000).cast("double")), "mean_price": F.bround(F.avg("o_totalprice"), 3)})
+    # Most rows are in no arm, so the arms' rows are put together and not looked up in the whole pool.
+    arms = stacks.arm_ids(_held(spark, sf), "o_orderkey", 0.1, 0.05, 2)
+    members = reduce(lambda a, b: a.unionByName(b), (ids.select("o_orderkey", *(F.lit(x == name).alias(x) for x in arms)) for name, ids in arms.items()))
+    rows = members.join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return triage.arm_report(rows, list(arms), {"large_rate": F.avg((F.col("o_totalprice") > 150000).cast("double")), "mean_price": F.bround(F.avg("o_totalprice"), 3)})
 
 
 @query("""WITH s AS (SELECT l_returnflag, sum(l_quantity) AS t FROM lineitem GROUP BY 1)

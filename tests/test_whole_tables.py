@@ -94,3 +94,11 @@ def test_manifests_count_groups_beside_the_sums(spark):
     assert {(r["split"], r["rows"], r["groups"]) for r in made.collect()} == {("train", 2, 1), ("val", 1, 1), (None, 1, 1)}
     plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert not [x for x in plan.splitlines() if "HashAggregate(keys=" in x and "group#" in x.split("functions=")[0] and "sum(" in x]
+
+
+def test_arm_report_looks_up_the_arms_rows_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    report = entry.queries()["arm_report"](spark, sf)
+    flags = entry.queries()["arms_topk_uniform_audit"](spark, sf).collect()
+    assert {r.arm: r.n for r in report.collect()} == {a: n for a in ("deep", "uniform", "audit") if (n := sum(r[a] for r in flags))}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
