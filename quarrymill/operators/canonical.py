@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.hashing import content_id, split_name, split_unit
-from quarrymill.operators.components import connected_components, look_up
+from quarrymill.operators.components import connected_components, links_to_least, look_up, tied
 from quarrymill.session import Scratch
 
 
@@ -61,17 +61,17 @@ def straddling_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def link_groups(rows: DataFrame, group: str, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(group, component) where groups that share a key value belong together, transitively.
 
-    Every key links its groups to its smallest one, so edges grow with rows and not with pairs of groups. Rows without
-    a group or key link nothing; a group that shares no key is its own component.
+    Rows are tied piece by piece first (``tied``), so only ties of groups and keys that several pieces have go through the
+    rounds, and these grow with rows and not with pairs of groups. Rows without a group or key link nothing; a group that
+    shares no key is its own component.
     """
     scratch, size = scratch or Scratch(rows.sparkSession), rows.count()
-    seen = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"))
-    least = seen.groupBy("k").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("k", "least")
-    edges = seen.join(least, "k").where("g <> least").select(F.col("g").alias("src"), F.col("least").alias("dst"))
-    comp = connected_components(edges, scratch, rows=size)
-    every = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("node")).distinct()
-    found = every.join(comp, "node", "left").select(F.col("node").alias(group), F.coalesce("component", "node").alias("component"))
-    return scratch.table(found, "groups", size)
+    ties = scratch.table(tied(rows.select(F.col(group).alias("g"), F.col(key).alias("k")), size), "ties", size)
+    groups, keys = ties.where("g is not null").select("g", "tie"), ties.where("k is not null").select("k", "tie")
+    edges = links_to_least(groups, "g").unionByName(links_to_least(keys, "k"))
+    comp = connected_components(edges, scratch, rows=size).withColumnRenamed("node", "tie")
+    found = look_up(groups.groupBy("g").agg(F.min("tie").alias("tie")), comp, "tie", how="left")
+    return scratch.table(found.select(F.col("g").alias(group), F.coalesce("component", "tie").alias("component")), "groups", size)
 
 
 def without_leaks(train: DataFrame, exam: DataFrame, group: str, key: str, scratch: Scratch | None = None) -> DataFrame:

@@ -2,13 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.session import Scratch
+from quarrymill.session import PARTITIONS, ROWS_A_TASK, Scratch
 
 #: Rows of a key beyond which a join doesn't send them all to one task.
 MANY_ROWS = 200_000
+#: Rows that a task ties at a time.
+TIED_ROWS = 1 << 19
+
+
+def _ranked(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """For each entry its place among the distinct ones in their order, and these."""
+    coded = column.combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal codes together, and where each code begins in it. No code is left out."""
+    order = np.argsort(codes, kind="stable")
+    return order, np.flatnonzero(np.diff(codes[order], prepend=-1))
+
+
+def _least_linked(g: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each g the smallest one that rows (g, k) lead to."""
+    (by_k, starts_k), (by_g, starts_g) = _runs(k), _runs(g)
+    up = np.arange(len(starts_g))
+    while True:
+        per_k = np.minimum.reduceat(up[g[by_k]], starts_k)
+        seen = np.minimum.reduceat(per_k[k[by_g]], starts_g)
+        new = np.minimum(up, seen)
+        # The root of a group follows what its members see, and all follow their roots.
+        np.minimum.at(new, up, seen)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == up).all():
+            return up
+        up = new
+
+
+def _tied(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    bare = pc.unique(rows.filter(pc.is_null(rows["k"]))["g"])
+    rows = rows.filter(pc.is_valid(rows["k"]))
+    gs, ks, ties = [bare], [pa.nulls(len(bare), rows["k"].type)], [bare]
+    if rows.num_rows:
+        (g, groups), (k, keys) = _ranked(rows["g"]), _ranked(rows["k"])
+        up = _least_linked(g, k)
+        of_key = np.empty(len(keys), np.int64)
+        of_key[k] = up[g]
+        gs += [groups, pa.nulls(len(keys), groups.type)]
+        ks += [pa.nulls(len(groups), keys.type), keys]
+        ties += [groups.take(pa.array(up)), groups.take(pa.array(of_key))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (gs, ks, ties)], ["g", "k", "tie"])
+
+
+def _tie(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield _tied(held)
+                held, n = [], 0
+        if n:
+            yield _tied(held)
+
+    return run
+
+
+def tied(rows: DataFrame, size: int) -> DataFrame:
+    """(g, k, tie): every group and every key of ``rows`` (g, k), the other being null, with the smallest group that some of the
+    rows lead to from it, once or oftener. All links of the rows are those of groups and of keys to their ties.
+
+    A task ties TIED_ROWS at a time, so what is inside of such a piece is one tie after it. Rows come by key, so a key is
+    in one piece but for one with many rows, which several tasks share. ``size``: at most so many rows come in.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get(PARTITIONS)), size // ROWS_A_TASK)
+    near = rows.where("g is not null").repartitionByRange(parts, "k", F.xxhash64("g"))
+    types = {c: rows.schema[c].dataType.simpleString() for c in "gk"}
+    return near.mapInArrow(_tie(TIED_ROWS), f"g {types['g']}, k {types['k']}, tie {types['g']}")
+
+
+def links_to_least(ties: DataFrame, of: str) -> DataFrame:
+    """(src, dst): the ties of each entry of column ``of`` to the smallest of them."""
+    several = ties.groupBy(of).agg(F.min("tie").alias("least"), F.max("tie").alias("most")).where("least < most").select(of, "least")
+    return ties.join(several, of).where("tie <> least").select(F.col("tie").alias("src"), F.col("least").alias("dst"))
 
 
 def look_up(rows: DataFrame, entries: DataFrame, key: str, many: DataFrame | None = None, how: str = "inner") -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries over whole tables, where others keep a slice that SQL can follow."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarrymill import session
-from quarrymill.operators import campaigns, components, records
+from quarrymill.operators import campaigns, canonical, components, records
 from quarrymill.sources import readers
 
 ROWS = [(1, 7, 1.0), (2, 7, 50.0), (2, 8, 3.0), (3, 8, 4.0), (4, 9, 50.0), (5, 9, 50.0), (10, 5, 2.0), (11, 5, 2.0), (12, 6, 50.0), (3, 11, 9.0), (13, 11, 1.0), (14, None, 1.0)]
@@ -102,3 +104,23 @@ def test_arm_report_looks_up_the_arms_rows_alone(spark):
     flags = entry.queries()["arms_topk_uniform_audit"](spark, sf).collect()
     assert {r.arm: r.n for r in report.collect()} == {a: n for a in ("deep", "uniform", "audit") if (n := sum(r[a] for r in flags))}
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
+def test_rows_are_tied_before_the_rounds(spark, monkeypatch):
+    """Only what several pieces share goes through the rounds, however pieces fall; so it doesn't grow with the rows."""
+    rng = random.Random(4)
+    rows = [(f"g{rng.randrange(600)}", rng.randrange(2_000) if i % 50 else None) for i in range(1_200)] + [(None, 3), ("a", None)]
+    rows += [(f"c{i + d:03}", 5_000 + i) for i in range(300) for d in (0, 1)]
+    want = union_find([(g, k, 0) for g, k in rows if g is not None])
+    table = spark.createDataFrame(rows, "g string, k int").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for piece, batch in ((1, "30"), (1 << 19, before)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        monkeypatch.setattr(components, "TIED_ROWS", piece)
+        scratch = session.Scratch(spark)
+        assert {r["g"]: r["component"] for r in canonical.link_groups(table, "g", "k", scratch).collect()} == want
+    # One piece a partition: a partition's part of the chain is one tie.
+    chain = table.where("g like 'c%'").repartition(4)
+    scratch = session.Scratch(spark)
+    assert canonical.link_groups(chain, "g", "k", scratch).select("component").distinct().count() == 1
+    assert spark.read.parquet(f"{scratch.root}/cc_edges_0").count() < 20
