@@ -13,6 +13,9 @@ shingles, meet by chance in fewer bands the more rows a band has.
 How many lines meet by chance grows with the square of their number, so a member of a list goes on only if another member
 may be similar to it: of each of 64 coordinates of the signature a line has two bits, which agree with a chance of
 0.85 for lines that are 80 % similar and of 0.33 for lines at 10 %. A list is read in order, so its members meet without a join.
+
+Documents are cut into lines once, in the task that signs them; what a line is known by is written and read again. Bands
+are dealt to buckets in pieces of many, and a task sorts one bucket at a time, so no row of a single band is shuffled.
 """
 
 from __future__ import annotations
@@ -25,15 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from quarrymill.llm.pairing import BUCKETS, WORDS, linked_components
-from quarrymill.llm.words import M2, frugal, mix
+from quarrymill.llm.words import M2, frugal, mix, sliced
 from quarrymill.session import Scratch
 
 #: Up to so many documents or lines are picked by a broadcast of their ids; more by a shuffle.
 BROADCAST_IDS = 500_000
 #: Coordinates of a signature that have bits in a line's sketch, and the members of a list up to which sketches are compared.
 SKETCHED, SKETCHED_LIST = 64, 1_000
+#: Lines whose bands a task deals to buckets at once, the rows that a bucket of a band should have, and beyond which it is cut.
+DEALT_LINES, ROWS_A_BUCKET, BUCKET_ROWS = 20_000, 100_000, 1_000_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -54,39 +60,28 @@ LINES = Settings(shingle=5, bands=16, rows=5)
 #: Brings what all bits of a coordinate tell into its highest ones.
 SPREAD = np.uint32(0x9E3779B1)
 
-_kept_powers: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse modulo 2**64, kept for the next call."""
-    if not _kept_powers or len(_kept_powers[0]) < n:
-        _kept_powers.clear()
-        for base in (int(M2), pow(int(M2), -1, 1 << 64)):
-            p = np.full(2 * n, base, np.uint64)
-            p[0] = 1
-            _kept_powers.append(np.cumprod(p))
-    return _kept_powers[0][:n], _kept_powers[1][:n]
-
 
 def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every shingle of every line, and where each line's begin. A shorter line is one shingle."""
     lengths = np.array([len(x) for x in lines], np.int64)
-    # Lines are padded to a shingle's length at least, and each is followed by what no shingle crosses.
     padded = np.maximum(lengths, size)
     codes = np.frombuffer("".join(x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    up, down = _powers(len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up, out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * down[: len(sums) - size]
+    # A polynomial of the shingle's characters, from the last to the first.
+    n = len(codes) - size + 1
+    h = codes[size - 1 :].copy()
+    for i in range(size - 2, -1, -1):
+        h *= M2
+        h += codes[i : i + n]
     counts = padded - size + 1
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    begin = np.concatenate([[0], np.cumsum(padded)[:-1]])
     # Drop the shingles that cross from one line into the next.
-    at = np.arange(counts.sum()) + np.repeat(begin - starts, counts)
-    return mix(h[at]), starts
+    inside, begin = np.ones(n, bool), np.cumsum(padded)[:-1]
+    for back in range(1, size):
+        inside[begin - back] = False
+    return mix(h[inside]), starts
 
 
-def _bands(s: Settings):
+def _signed(s: Settings):
     k = s.bands * s.rows
     rng = np.random.default_rng(17)
     factors = rng.integers(0, 2**31, k, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -104,13 +99,98 @@ def _bands(s: Settings):
         return (out >> np.uint64(32)).astype(np.uint32), sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                bands, sketch = of(batch.column("line").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, s.bands, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int32)))
-                columns = [*(batch.column(c) for c in ("doc_id", "at", "k1", "k2")), lists, *(pa.array(x.view(np.int64)) for x in sketch)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "k1", "k2", "bands", "s1", "s2"])
+        for batch in sliced(batches, "text"):
+            found = [(i, at, x) for i, text in enumerate(batch.column("text").to_pylist()) for at, x in enumerate(map(_trimmed, text.split("\n"))) if x]
+            if not found:
+                continue
+            doc, at, lines = zip(*found)
+            bands, sketch = (np.concatenate(x, axis) for x, axis in zip(zip(*(of(lines[i : i + 256]) for i in range(0, len(lines), 256))), (0, 1)))
+            keys = np.frombuffer(b"".join(xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2)
+            ends = pa.py_buffer(np.arange(0, bands.nbytes + 1, 4 * s.bands, dtype=np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(lines), [None, ends, pa.py_buffer(bands)])
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(at, pa.int32()), *(pa.array(x) for x in keys.T.copy()), packed, *(pa.array(x.view(np.int64)) for x in sketch)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "k1", "k2", "bands", "s1", "s2"])
+
+    return run
+
+
+def _trimmed(line: str) -> str:
+    return line.strip(SPACE)
+
+
+def _dealt(s: Settings, parts: int):
+    """(bucket, hashes, nodes): the bands' hashes of some lines that fall into one of ``parts`` buckets of a band, as 32-bit
+    integers, and the lines' nodes, as 64-bit ones."""
+
+    def deal(rows: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        node = np.concatenate([x.to_numpy() for x, _ in rows])
+        hashes = np.frombuffer(b"".join(b for _, x in rows for b in x.to_pylist()), np.uint32).reshape(-1, s.bands)
+        out = []
+        for band in range(s.bands):
+            h = hashes[:, band]
+            bucket = h % np.uint32(parts)
+            order = np.argsort(bucket, kind="stable")
+            h, of, n = np.ascontiguousarray(h[order]), bucket[order], node[order]
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=np.uint32(parts))), len(of))
+            out += [(band * parts + int(of[i]), h[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "hashes", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                rows.append((batch.column("node"), batch.column("bands")))
+                n += batch.num_rows
+            if n >= DEALT_LINES:
+                yield deal(rows)
+                rows, n = [], 0
+        if n:
+            yield deal(rows)
+
+    return run
+
+
+def _in_order(parts: int):
+    """(token, node) list after list, from buckets that come one after another.
+
+    A bucket is sorted in memory. Of one that grows beyond BUCKET_ROWS, by lists far longer than others, what its lists have
+    over two goes on before it ends, by two at least.
+    """
+
+    def batch(token: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], ["token", "node"])
+
+    def joined(held: list) -> tuple[np.ndarray, np.ndarray]:
+        h, node = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        return h[order], node[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, n, most = None, [], 0, BUCKET_ROWS
+
+        def tokens(h: np.ndarray) -> np.ndarray:
+            return np.int64(last // parts << 32) | h.astype(np.int64)
+
+        for rows in batches:
+            for bucket, hashes, nodes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "hashes", "nodes"))):
+                if bucket != last and held:
+                    h, node = joined(held)
+                    yield batch(tokens(h), node)
+                    held, n, most = [], 0, BUCKET_ROWS
+                last = bucket
+                held.append((np.frombuffer(hashes, np.uint32), np.frombuffer(nodes, np.int64)))
+                n += len(held[-1][0])
+                if n > most:
+                    h, node = joined(held)
+                    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                    sizes = np.diff(np.append(starts, len(h)))
+                    go = np.repeat(sizes > 3, sizes) & (np.arange(len(h)) - np.repeat(starts, sizes) > 1)
+                    yield batch(tokens(h[go]), node[go])
+                    held, n = [(h[~go], node[~go])], int((~go).sum())
+                    most = max(BUCKET_ROWS, 2 * n)
+        if held:
+            h, node = joined(held)
+            yield batch(tokens(h), node)
 
     return run
 
@@ -259,34 +339,30 @@ def _document() -> Column:
     return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of the lines with anything but white space. doc_id is the document, see ``DOC``."""
-    lines = docs.where("doc_id is not null").select(_document().alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
-    return lines.withColumn("line", F.btrim("line", F.lit(SPACE))).where("line <> ''")
-
-
-def _picked(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, at): the lines to remove, as places in their documents (see ``DOC``), from 0."""
     s, scratch = settings, scratch or Scratch(docs.sparkSession)
-    keyed = lines_of(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit("second"))})
-    signed = keyed.mapInArrow(frugal(_bands(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands array<int>, s1 long, s2 long")
+    docs = docs.where("doc_id is not null").select(_document().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = scratch.table(docs.mapInArrow(frugal(_signed(s)), f"doc_id {DOC}, at int, k1 long, k2 long, bands binary, s1 long, s2 long"), "signed")
     # All of a class have the same signature, so any of them will do. Its number is written with it, and means nothing else.
     signature = F.first(F.struct("bands", "s1", "s2")).alias("signature")
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("lines"), signature)
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()).select("*", "signature.*").drop("signature"), "classes")
-    banded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    met = scratch.table(_in_lists(banded.select("node", F.expr("shiftleft(cast(band AS long), 32) | (hash & 4294967295)").alias("token")), _meeting), "met")
+    parts = 1 + classes.count() // ROWS_A_BUCKET
+    dealt = classes.select("node", "bands").mapInArrow(frugal(_dealt(s, parts)), "bucket long, hashes binary, nodes binary")
+    ordered = _in_order(parts)
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(lambda batches: _meeting(ordered(batches))), "token long, node long")
+    met = scratch.table(met, "met")
     postings = scratch.table(_in_lists(met.join(classes.select("node", "s1", "s2"), "node").select("token", "node", "s1", "s2"), _similar(s)), "similar")
     scratch.drop("met")
     nodes = scratch.table(postings.select("node").distinct().join(classes.select("node", "first.*"), "node"), "nodes")
     # A class of one line that is linked to no other keeps it.
     root = classes.where("lines > 1").select("k1", "k2", "first")
     if not nodes.isEmpty():
-        wanted = _picked(lines_of(docs), nodes, ["doc_id", "at"]).dropDuplicates(["node"]).select("node", "line")
+        # Only documents that have such a line are cut into lines again.
+        some = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("at", "node")).alias("wanted"))
+        some = docs.join(F.broadcast(some) if nodes.count() <= BROADCAST_IDS else some, "doc_id").withColumn("lines", F.split("text", "\n", -1))
+        wanted = some.select(F.inline(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.btrim(F.get("lines", w["at"]), F.lit(SPACE)).alias("line"))))).dropDuplicates(["node"])
         texts = scratch.table(wanted.mapInArrow(frugal(_sizes(s)), "node long, line string, n int"), "texts")
         postings = scratch.table(postings.join(texts.select("node", "n"), "node"), "postings")
 
@@ -305,7 +381,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
         linked = scratch.table(comp.join(classes.select("node", "k1", "k2", "first"), "node"), "linked")
         earliest = linked.groupBy("component").agg(F.min("first").alias("first"))
         root = root.join(linked.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(linked.drop("first").join(earliest, "component").select("k1", "k2", "first"))
-    places = keyed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
+    places = signed.select("doc_id", "at", "k1", "k2").join(root, ["k1", "k2"])
     return places.where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at")
 
 
@@ -320,13 +396,13 @@ def dedup_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch |
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     gone = repeated_lines(docs, settings, scratch).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     gone = scratch.table(gone, "gone")
-    ids = gone.select("doc_id")
-    lines = F.split("text", "\n", -1)
     docs = docs.select(F.when(F.col("doc_id").isNotNull(), _document()).alias("doc_id"), "text")
-    some = _picked(docs, ids, ["doc_id"]).join(gone, "doc_id").withColumn("lines", lines)
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_IDS
+    found = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left")
     removed = F.map_from_arrays("gone", F.transform("gone", lambda i: F.lit(True)))
-    some = some.withColumn("removed", removed)
-    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.try_element_at("removed", i), F.lit(False)))
-    some = some.select("doc_id.doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
-    rest = _picked(docs, ids, ["doc_id"], "left_anti").select("doc_id.doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    return some.unionByName(rest)
+    found = found.withColumn("removed", removed)
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at("removed", i), F.lit(False)))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return found.select("doc_id.doc_id", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

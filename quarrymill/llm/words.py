@@ -56,10 +56,11 @@ class WordHashes(Recent):
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(33))
-    h = h * M1
-    h = h ^ (h >> np.uint64(33))
-    h = h * M2
-    return h ^ (h >> np.uint64(33))
+    h *= M1
+    h ^= h >> np.uint64(33)
+    h *= M2
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def sequences(h: np.ndarray, n: int) -> np.ndarray:

@@ -260,6 +260,34 @@ def test_lines_that_meet_by_chance_go_no_further(spark, monkeypatch):
     assert spark.read.parquet(f"{scratch.root}/similar").select("node").distinct().count() < 300
 
 
+def test_bands_meet_in_buckets_without_a_sort_of_all(monkeypatch):
+    """Buckets give the rows that share a token, each once, in whatever pieces they come and however far a list outgrows its bucket."""
+    rng = np.random.default_rng(9)
+    s = fuzzy_lines.Settings(shingle=5, bands=3, rows=2)
+    hashes = rng.integers(0, 2_000, (900, 3)).astype(np.uint32)
+    hashes[rng.permutation(900)[:500], 1] = 7
+    node, by = np.arange(900) * 3, {}
+    for n, row in zip(node, hashes):
+        for band, h in enumerate(row):
+            by.setdefault(band << 32 | int(h), set()).add(int(n))
+    want = sorted((t, n) for t, ns in by.items() if len(ns) > 1 for n in ns)
+    lines = pa.table({"node": node, "bands": [r.tobytes() for r in hashes]})
+    for dealt, piece, rows, most in ((50, 10, 1, 20), (1_000, 900, 40, 30), (200, 100, 7, 1_000_000)):
+        monkeypatch.setattr(fuzzy_lines, "DEALT_LINES", dealt)
+        monkeypatch.setattr(fuzzy_lines, "BUCKET_ROWS", most)
+        buckets = pa.Table.from_batches(fuzzy_lines._dealt(s, 4)(iter(lines.to_batches(max_chunksize=piece)))).sort_by("bucket")
+        met = fuzzy_lines._meeting(fuzzy_lines._in_order(4)(iter(buckets.to_batches(max_chunksize=rows))))
+        assert sorted((t, n) for b in met for t, n in zip(*(b.column(c).to_pylist() for c in ("token", "node")))) == want
+
+
+def test_lines_of_odd_documents_are_counted_and_cut_alike(spark):
+    line = "a line that is long enough to be compared with its copy in others"
+    texts = [(1, f"{line}\n\n \t\nééé 日本"), (1, f"{line}\n\n \t\nééé 日本"), (2, f"\n{line} \r\n"), (3, None), (4, ""), (None, line), (5, "\n")]
+    got = dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(*texts[0], 4, 0), (*texts[0], 4, 0), (2, "\n", 3, 1), (3, "", 1, 0), (4, "", 1, 0), (None, line, 1, 0), (5, "\n", 2, 0)], key=str)
+
+
 def test_texts_of_one_id_with_fewer_windows_than_another(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, "short"), (1, f"{' '.join(f'v{i}' for i in range(40))} {passage}"), (2, f"u {passage} t"), (3, passage)]
