@@ -89,14 +89,18 @@ def _signed(s: Settings):
     def of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h, starts = shingle_hashes(lines, s.shingle)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        out, sketch = np.zeros((len(lines), s.bands), np.uint64), np.zeros((2, len(lines)), np.uint64)
+        least, scaled = np.empty((k, len(lines)), np.uint32), np.empty_like(h)
         for j in range(k):
-            least = np.minimum.reduceat(h * factors[j], starts)
-            out[:, j // s.rows] = mix(out[:, j // s.rows] * M2 + least + np.uint64(j // s.rows))
-            if j < SKETCHED:
-                bits = (least * SPREAD >> np.uint32(30)).astype(np.uint64)
-                sketch |= np.stack([bits >> np.uint64(1), bits & np.uint64(1)]) << np.uint64(j)
-        return (out >> np.uint64(32)).astype(np.uint32), sketch
+            np.minimum.reduceat(np.multiply(h, factors[j], out=scaled), starts, out=least[j])
+        band, out = np.arange(s.bands, dtype=np.uint64)[:, None], np.zeros((s.bands, len(lines)), np.uint64)
+        for r in range(s.rows):
+            out = mix(out * M2 + least[r :: s.rows] + band)
+        bits = (least[:SKETCHED] * SPREAD >> np.uint32(30)).astype(np.uint8)
+        sketch = np.zeros((2, SKETCHED // 8, len(lines)), np.uint8)
+        for i, b in enumerate((bits >> 1, bits & 1)):
+            sketch[i, : -(-len(bits) // 8)] = np.packbits(b, axis=0, bitorder="little")
+        sketch = np.ascontiguousarray(sketch.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+        return np.ascontiguousarray((out >> np.uint64(32)).astype(np.uint32).T), sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -239,18 +243,32 @@ def _alike(token: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int) -> np.n
     return out
 
 
+def _named(token: np.ndarray, node: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """Tokens by what their lists' members are, so that lists of the same members have one; those that ``stay`` are kept. Lists
+    that a chance gives one name are one longer list."""
+    if not len(token):
+        return token
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(starts, len(token)))
+    names = mix(np.add.reduceat(mix(node.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
+    return np.where(stay, token, np.repeat(names, sizes))
+
+
 def _similar(s: Settings):
-    """The rows with another of their token that may be similar. Lists of over SKETCHED_LIST rows go on whole."""
+    """The rows with another of their token that may be similar. Lists of over SKETCHED_LIST rows go on whole; the others' tokens
+    are made anew from their members."""
     most = most_apart(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "node", "s1", "s2"]
-        rest, long = [np.zeros(0, np.int64)] * 4, None
+        rest, long = [np.zeros(0, np.int64)] * 4, []
 
         def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
             token, node, s1, s2 = rows
-            keep = _alike(token, s1.view(np.uint64), s2.view(np.uint64), most) | (token == long if long is not None else False)
-            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names[:2])
+            whole = np.isin(token, np.array(long, np.int64))
+            keep = _alike(token, s1.view(np.uint64), s2.view(np.uint64), most) | whole
+            token, node = token[keep], node[keep]
+            return pa.RecordBatch.from_arrays([pa.array(_named(token, node, whole[keep])), pa.array(node)], names[:2])
 
         for batch in batches:
             if not batch.num_rows:
@@ -258,10 +276,11 @@ def _similar(s: Settings):
             rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, names)]
             # The last list waits for its end, unless it is a long one.
             start = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            going_on = len(rows[0]) - start > SKETCHED_LIST or rows[0][-1] == long
+            going_on = len(rows[0]) - start > SKETCHED_LIST or rows[0][-1] in long[-1:]
             cut, last = len(rows[0]) if going_on else start, rows[0][-1]
             if cut:
-                long = last if going_on else long
+                # One that ends here, before another begins, is a long one still.
+                long = [*long[-1:], last] if going_on else long
                 yield kept([x[:cut] for x in rows])
             rest = [x[cut:] for x in rows]
         if len(rest[0]):
@@ -353,7 +372,9 @@ def repeated_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch
     ordered = _in_order(parts)
     met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(lambda batches: _meeting(ordered(batches))), "token long, node long")
     met = scratch.table(met, "met")
-    postings = scratch.table(_in_lists(met.join(classes.select("node", "s1", "s2"), "node").select("token", "node", "s1", "s2"), _similar(s)), "similar")
+    postings = _in_lists(met.join(classes.select("node", "s1", "s2"), "node").select("token", "node", "s1", "s2"), _similar(s))
+    # Similar lines meet in most bands, in lists of the same members, of which one will do.
+    postings = scratch.table(postings.distinct(), "similar")
     scratch.drop("met")
     nodes = scratch.table(postings.select("node").distinct().join(classes.select("node", "first.*"), "node"), "nodes")
     # A class of one line that is linked to no other keeps it.
@@ -396,9 +417,10 @@ def dedup_lines(docs: DataFrame, settings: Settings = LINES, scratch: Scratch |
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     gone = repeated_lines(docs, settings, scratch).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     gone = scratch.table(gone, "gone")
+    for name in ("signed", "classes", "texts"):
+        scratch.drop(name)
     docs = docs.select(F.when(F.col("doc_id").isNotNull(), _document()).alias("doc_id"), "text")
-    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_IDS
-    found = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left")
+    found = docs.join(gone, "doc_id", "left")
     removed = F.map_from_arrays("gone", F.transform("gone", lambda i: F.lit(True)))
     found = found.withColumn("removed", removed)
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at("removed", i), F.lit(False)))

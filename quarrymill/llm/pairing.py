@@ -126,10 +126,12 @@ def linked_components(
     beside = F.least("mx", "my")
     for i in range(WORDS):
         beside = beside + F.bit_count(F.col(f"xb{i}").bitwiseAND(F.col(f"yb{i}")))
-    bound = F.least("ex", "ey", beside)
-    for i in range(BUCKETS):
-        bound = bound + F.least(f"x{i}", f"y{i}")
-    met = x.join(y, (x["pivot"] == y["pivot"]) & (x["size"] == y["size"]) & (F.col("cx") != F.col("cy")) & enough(bound, F.col("nx"), F.col("ny")))
+    inside = F.least("x0", "y0")
+    for i in range(1, BUCKETS):
+        inside = inside + F.least(f"x{i}", f"y{i}")
+    # The bitmaps are only looked at where the counts don't tell enough.
+    fits = [enough(bound, F.col("nx"), F.col("ny")) for bound in (inside + F.least("ex", "ey"), inside + F.least("ex", "ey", beside))]
+    met = x.join(y, (x["pivot"] == y["pivot"]) & (x["size"] == y["size"]) & (F.col("cx") != F.col("cy")) & fits[0] & fits[1])
     pairs = scratch.table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(close).distinct(), "open_pairs")
     # Components of what was found, contracted to the components so far.
     own = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))

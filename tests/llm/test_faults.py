@@ -260,6 +260,32 @@ def test_lines_that_meet_by_chance_go_no_further(spark, monkeypatch):
     assert spark.read.parquet(f"{scratch.root}/similar").select("node").distinct().count() < 300
 
 
+def test_lists_of_the_same_lines_are_one(spark, monkeypatch):
+    """Lines that meet in many bands are looked at once for all of them, and a long list stays one list, in whatever pieces it comes."""
+    monkeypatch.setattr(fuzzy_lines, "SKETCHED_LIST", 20)
+    rng = np.random.default_rng(4)
+    sketches = rng.integers(-(2**63), 2**63 - 1, (200, 2))
+    sketches[:40] = 5
+    pairs = [(token, node) for token in range(16) for node in (3, 9)] + [(16, 3), (16, 9), (16, 11)]
+    # The first long list ends in the piece in which the second begins.
+    long = [(17, node) for node in range(100, 145)] + [(18, node) for node in range(150, 199)]
+    token, node = (np.array(x) for x in zip(*pairs, *long))
+    rows = pa.table({"token": token, "node": node, "s1": sketches[node, 0], "s2": sketches[node, 1]})
+    for size in (1, 40, 41, 79, 200):
+        lists = {}
+        for b in fuzzy_lines._similar(fuzzy_lines.LINES)(iter(rows.to_batches(max_chunksize=size))):
+            for t, n in zip(*(b.column(c).to_pylist() for c in ("token", "node"))):
+                lists.setdefault(t, set()).add(n)
+        assert sorted(map(sorted, lists.values())) == [[3, 9], [3, 9, 11], list(range(100, 145)), list(range(150, 199))], size
+
+    line = "a line that is long enough to be compared with its copy in other documents"
+    scratch = Scratch(spark)
+    got = dedup_lines(spark.createDataFrame([(1, line), (2, line + "s"), (3, "another")], "doc_id long, text string"), scratch=scratch)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0), (2, 1), (3, 0)]
+    # What only told which lines go is deleted before documents are read again.
+    assert not {"signed", "classes", "texts"} & set(os.listdir(scratch.root.removeprefix("file:")))
+
+
 def test_bands_meet_in_buckets_without_a_sort_of_all(monkeypatch):
     """Buckets give the rows that share a token, each once, in whatever pieces they come and however far a list outgrows its bucket."""
     rng = np.random.default_rng(9)
