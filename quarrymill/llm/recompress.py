@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.words import M1, M2, M3, WordHashes, frugal, mix
+from quarrymill.llm.words import M1, M2, M3, frugal, mix, word_hash
 from quarrymill.session import Scratch
 
 #: Up to so many doc_ids are broadcast to pick the texts that are looked at again; more are joined by a shuffle.
@@ -134,9 +134,11 @@ def _kept(words: list[bytes], covered: np.ndarray) -> str:
 class _Doc:
     """The words and windows of one text."""
 
-    def __init__(self, text: str | None, window: int, hashes: WordHashes, powers: _Powers):
+    def __init__(self, text: str | None, window: int, powers: _Powers):
         self.words = (text or "").encode().split()
-        self.h, self.window, self.n = hashes.of(self.words), window, len(self.words)
+        # A third of the words are rare ones, so to hash them all takes less than to look them up.
+        self.h = np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
+        self.window, self.n = window, len(self.words)
         self.starts = np.arange(max(0, self.n - window + 1))
         self.prints = spans(self.h, 0, self.starts, self.starts + window, powers) if len(self.starts) else np.zeros(0, np.uint64)
         self.fresh = _fresh(self.prints)
@@ -147,12 +149,12 @@ FIRST = "doc_id long, sequence binary, n_words long, n_removed long, kept_sha256
 
 def _first_pass(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), _Powers()
+        powers = _Powers()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch, rows, names = whole.slice(start, 1000), [], []
                 for text in batch.column("text").to_pylist():
-                    d = _Doc(text, window, hashes, powers)
+                    d = _Doc(text, window, powers)
                     covered = _covered(~d.fresh, d.n, window)
                     rows.append((blake2b(d.h.tobytes(), digest_size=16).digest(), d.n, int(covered.sum()), _kept(d.words, covered)))
                     names.append(np.unique(anchors(d.h, window, rounds, powers)[d.fresh]) if len(d.starts) else np.zeros(0, np.uint64))
@@ -177,12 +179,12 @@ MARKED = "doc_id long, text string, repeat binary, f1 array<long>, f2 array<int>
 
 def _marked(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), _Powers()
+        powers = _Powers()
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch, repeats, out = whole.slice(start, 200), [], [[], [], []]
                 for text, shared in zip(*(batch.column(c).to_pylist() for c in ("text", "shared"))):
-                    d = _Doc(text, window, hashes, powers)
+                    d = _Doc(text, window, powers)
                     possible = _possible(d, shared, rounds, powers)
                     at = np.flatnonzero(possible)
                     second = spans(mix(d.h), 1, at, at + window, powers) >> np.uint64(32)

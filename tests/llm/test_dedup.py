@@ -3,6 +3,7 @@ import random
 import re
 from collections import OrderedDict
 
+from quarrymill.llm import recompress
 from quarrymill.llm.exact_names import exact_dedup
 from quarrymill.llm.fuzzy_lines import Settings as LineSettings
 from quarrymill.llm.fuzzy_lines import dedup_lines
@@ -128,6 +129,15 @@ def test_substrings_of_few_words(spark):
     assert got == brute_substrings(data)
 
 
+def test_words_are_hashed_as_they_come(monkeypatch):
+    """Looking up the many rare words of a text took longer than the hashes of all."""
+    words, hashed, digest = [f"w{i % 900}".encode() for i in range(2_000)], [], recompress.word_hash
+    monkeypatch.setattr(recompress, "word_hash", lambda w: hashed.append(w) or digest(w))
+    d = recompress._Doc(b" ".join(words).decode(), 20, recompress._Powers())
+    assert hashed == words and d.h.tolist() == list(map(digest, words))
+    assert d.fresh.tolist() == [True] * 900 + [False] * 1_081
+
+
 def test_substrings_odd(odd, empty):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup(odd).collect())
     n = 26
